@@ -1,0 +1,72 @@
+"""Line diffs. Ratcliff-Obershelp matching has no built-in expression, so these are the
+two places where text goes through Python; each call sees one function's before and after.
+"""
+
+from __future__ import annotations
+
+import difflib
+
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def _matcher(before: list[str], after: list[str]) -> difflib.SequenceMatcher:
+    return difflib.SequenceMatcher(None, before, after, autojunk=False)
+
+
+def changed_lines(before: str, after: str) -> list[int]:
+    """Lines of ``before`` that no matching block covers, i.e. deleted or rewritten ones."""
+    old = before.split("\n")
+    kept = set()
+    for block in _matcher(old, after.split("\n")).get_matching_blocks():
+        kept.update(range(block.a, block.a + block.size))
+    return [i for i in range(len(old)) if i not in kept]
+
+
+@F.arrow_udf("array<int>")
+def _changed_lines(before: pa.Array, after: pa.Array) -> pa.Array:
+    rows = [
+        None if old is None or new is None else changed_lines(old, new)
+        for old, new in zip(before.to_pylist(), after.to_pylist())
+    ]
+    return pa.array(rows, type=pa.list_(pa.int32()))
+
+
+def derive_flaw_lines(before: Column, after: Column, when: Column | None = None) -> Column:
+    """Indices of lines the fix removed or changed; rows where ``when`` is false get NULL
+    and send no text to Python."""
+    if when is not None:
+        before, after = F.when(when, before), F.when(when, after)
+    return _changed_lines(before, after)
+
+
+DIFF_ROW = pa.struct([("kind", pa.string()), ("line", pa.int32()), ("text", pa.string())])
+
+
+def diff_rows(before: str, after: str, context: int) -> list[tuple]:
+    old, new = before.rstrip("\n").split("\n"), after.rstrip("\n").split("\n")
+    rows: list[tuple] = []
+    for hunk in _matcher(old, new).get_grouped_opcodes(context):
+        if rows:
+            rows.append(("gap", None, ""))
+        for tag, a0, a1, b0, b1 in hunk:
+            was = "context" if tag == "equal" else "removed"
+            rows.extend((was, n + 1, old[n]) for n in range(a0, a1))
+            if tag != "equal":
+                rows.extend(("added", None, text) for text in new[b0:b1])
+    return rows
+
+
+def fix_diff(before: Column, after: Column, context: int = 2) -> Column:
+    """The fix as display rows (context, removed, added, gap) with old line numbers."""
+
+    @F.arrow_udf("array<struct<kind:string,line:int,text:string>>")
+    def rows_of(olds: pa.Array, news: pa.Array) -> pa.Array:
+        out = []
+        for old, new in zip(olds.to_pylist(), news.to_pylist()):
+            rows = [] if not old or not new else diff_rows(old, new, context)
+            out.append([dict(zip(("kind", "line", "text"), row)) for row in rows])
+        return pa.array(out, type=pa.list_(DIFF_ROW))
+
+    return rows_of(before, after)
