@@ -9,6 +9,7 @@ import difflib
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 def _matcher(before: list[str], after: list[str]) -> difflib.SequenceMatcher:
@@ -24,7 +25,7 @@ def changed_lines(before: str, after: str) -> list[int]:
     return [i for i in range(len(old)) if i not in kept]
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(ArrayType(IntegerType()))
 def _changed_lines(before: pa.Array, after: pa.Array) -> pa.Array:
     rows = [
         None if old is None or new is None else changed_lines(old, new)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lineflow.config import FilterConfig
 from lineflow.functions import text
 from lineflow.functions.diff import derive_flaw_lines
+from lineflow.functions.graph import settled
 
 STAGES = (
     "loaded", "vulnerable", "selected_cwes", "has_flaw_lines", "has_code_flaw_lines",
@@ -17,9 +18,8 @@ STAGES = (
 )
 
 
-def code_flaw_indices(code: Column, indices: Column) -> Column:
-    """The indices in range whose line carries code."""
-    mask = text.code_line_mask(code)
+def code_flaw_indices(mask: Column, indices: Column) -> Column:
+    """The indices in range whose line carries code; ``mask`` is the code-line mask."""
     return F.filter(
         indices, lambda i: (i >= 0) & (i < F.size(mask)) & F.coalesce(F.get(mask, i), F.lit(False))
     )
@@ -47,12 +47,12 @@ def staged(df: DataFrame, config: FilterConfig, derive: bool = True) -> DataFram
     else:
         flawed = df.withColumn("_flaws", listed)
     flawed = flawed.withColumn("_selected", F.coalesce(selected, F.lit(False)))
+    wanted = F.col("_selected") & (F.size("_flaws") > 0)
     reached = flawed.withColumn(
+        "_mask", settled(F.when(wanted, text.code_line_mask(F.col("func_before"))))
+    ).withColumn(
         "flaw_line_indices",
-        F.when(
-            F.col("_selected") & (F.size("_flaws") > 0),
-            code_flaw_indices(F.col("func_before"), F.col("_flaws")),
-        ).otherwise(none),
+        F.coalesce(code_flaw_indices(F.col("_mask"), F.col("_flaws")), none),
     ).withColumn("num_lines", text.num_lines(F.col("func_before")))
     level = (
         F.when(~F.coalesce(vulnerable, F.lit(False)), 0)
@@ -65,7 +65,7 @@ def staged(df: DataFrame, config: FilterConfig, derive: bool = True) -> DataFram
     return (
         reached.withColumn("level", level)
         .withColumn("body_hash", F.when(F.col("level") == 5, text.body_hash(F.col("func_before"))))
-        .drop("_flaws", "_selected")
+        .drop("_flaws", "_selected", "_mask")
     )
 
 
@@ -82,11 +82,11 @@ def filter_corpus(
     first = survivors.groupBy("body_hash").agg(
         F.min_by(F.struct(*kept), F.col("ordinal")).alias("row")
     )
-    rows = first.select("row.*", "body_hash")
-    source = text.lines_of(F.col("func_before"))
-    return rows.withColumn(
-        "flaw_lines", F.transform("flaw_line_indices", lambda i: F.get(source, i))
+    rows = first.select("row.*", "body_hash").withColumn(
+        "_lines", settled(text.lines_of(F.col("func_before")))
     )
+    texts = F.transform("flaw_line_indices", lambda i: F.get(F.col("_lines"), i))
+    return rows.withColumn("flaw_lines", texts).drop("_lines")
 
 
 def _stage_counts(df: DataFrame, by: list[str]) -> DataFrame:

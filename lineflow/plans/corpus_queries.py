@@ -12,7 +12,7 @@ from lineflow.operators import eda
 from lineflow.plans.views import corpus, fixed_corpus, table
 from lineflow.sources.files import manifest
 
-CONFIG = FilterConfig(cwes=["CWE-119", "CWE-125"], min_lines=3, max_lines=300)
+CONFIG = FilterConfig()
 CWES = ["CWE-119", "CWE-125"]
 
 
@@ -161,7 +161,8 @@ corpus AS (
          d.source || '/' || d.lang || '/' || CAST(d.n_chars // 512 AS VARCHAR) AS commit_id,
          CASE d.lang WHEN 'en' THEN 'CWE-119' WHEN 'fr' THEN 'CWE-125' WHEN 'de' THEN 'CWE-119' ELSE '' END AS cwe,
          CAST(CASE WHEN l.quality = 0 OR l.toxic = 1 THEN 0 ELSE 1 END AS INTEGER) AS vul,
-         d.text AS func_before, string_split(d.text, chr(10)) AS all_lines
+         'int f() {{' || chr(10) || d.text || chr(10) || '}}' AS func_before,
+         string_split('int f() {{' || chr(10) || d.text || chr(10) || '}}', chr(10)) AS all_lines
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
 corpus_lines AS (
   SELECT ordinal, unnest(all_lines) AS x, generate_subscripts(all_lines, 1) - 1 AS i,
@@ -179,7 +180,7 @@ levels AS (
   SELECT c.*, len(all_lines) AS num_lines, f.idx, f.txt, f.first_i, coalesce(f.coded, 0) AS flaw_count,
          CASE WHEN vul <> 1 THEN 0 WHEN cwe NOT IN ('CWE-119', 'CWE-125') THEN 1
               WHEN coalesce(listed, 0) = 0 THEN 2 WHEN coded = 0 THEN 3
-              WHEN len(all_lines) NOT BETWEEN 3 AND 300 THEN 4 ELSE 5 END AS level,
+              WHEN len(all_lines) NOT BETWEEN 5 AND 300 THEN 4 ELSE 5 END AS level,
          {sql_hash('func_before')} AS body_hash
   FROM corpus c LEFT JOIN flaws f USING (ordinal)),
 survivors AS (

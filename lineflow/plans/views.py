@@ -1,7 +1,7 @@
 """The driver tables seen as a function corpus.
 
-A document is a function: its lines are statements, its source a project, its language a
-CWE. Everything is derived from the row's own content, so the views are narrow projections
+A document is a function: a header and a closing brace are put around its lines, which are
+the statements; its source is a project, its language a CWE. Everything is derived from the row's own content, so the views are narrow projections
 that scale with the tables.
 """
 
@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineflow.config import FilterConfig
 from lineflow.functions import text
+from lineflow.functions.graph import settled
+from lineflow.operators.attrition import filter_corpus
+from lineflow.operators.build import build_candidates, build_graphs
 from lineflow.sources.corpus import canonicalise
 
 
@@ -20,14 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` and ``labels`` under the column names of a preprocessed release."""
+    body = F.concat(F.lit("int f() {\n"), F.col("text"), F.lit("\n}"))
     lines = F.filter(
-        F.transform(text.lines_of(F.col("text")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
+        F.transform(text.lines_of(F.col("processed_func")), lambda x, i: F.struct(i.alias("i"), x.alias("x"))),
         lambda line: F.length(line["x"]) % 5 == 0,
     )
     labels = table(spark, sf_dir, "labels")
     return (
         table(spark, sf_dir, "documents")
         .join(labels, "doc_id", "left")
+        .withColumn("processed_func", body)
         .withColumn("_flawed", lines)
         .select(
             F.col("doc_id").alias("ordinal"),
@@ -36,7 +42,7 @@ def raw_release(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("CWE ID"),
             F.expr("concat(source, '/', lang, '/', n_chars div 512)").alias("commit_id"),
             F.col("source").alias("project"),
-            F.col("text").alias("processed_func"),
+            "processed_func",
             F.expr(
                 "CASE WHEN quality = 0 THEN '0' WHEN toxic = 1 THEN 'n/a' ELSE '1' END"
             ).alias("target"),
@@ -61,3 +67,122 @@ def fixed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda x: F.when(F.length(x) % 7 == 1, F.regexp_replace(x, r"\.$", ";")).otherwise(x),
     )
     return canonicalise(raw.withColumn("func_after", F.array_join(edited, "\n")))
+
+
+# --- parser exports ------------------------------------------------------------------------
+
+
+def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parse of every function, as a parser would export it: one row per method.
+
+    Each parsed line is a chain of expression nodes (its first word, the words before commas
+    as calls, operators by its length) with flow to the next line; its content decides about
+    branches, loops, switches, returns and merged lines. Text with ``###`` does not parse, and
+    lines whose length ends in 7 are left out of the parse. Every file also holds a second,
+    empty method, and every function is parsed as C and as C++.
+    """
+    code = F.col("func_before")
+    listed = F.filter(
+        F.transform(
+            F.arrays_zip(text.lines_of(code).alias("x"), text.code_line_mask(code).alias("m")),
+            lambda s, i: F.struct((i + 1).cast("int").alias("line"), s["x"].alias("x"), s["m"].alias("m")),
+        ),
+        lambda s: s["m"] & (s["line"] > 1) & (F.length(s["x"]) % 10 != 7),
+    )
+
+    def facts(s, i):
+        size = F.length(s["x"])
+        commas = size - F.length(F.replace(s["x"], F.lit(","), F.lit("")))
+        none = F.array().cast("array<string>")
+        ops = (
+            F.when(size % 4 == 0, F.array(F.lit("<operator>.assignment"), F.lit("<operator>.addition")))
+            .when(size % 4 == 1, F.array(F.lit("<operator>.indirectIndexAccess")))
+            .otherwise(none)
+        )
+        calls = F.regexp_extract_all(s["x"], F.lit("([A-Za-z]+),"), F.lit(1))
+        return F.struct(
+            (i + 1).cast("bigint").alias("k"), s["line"].alias("line"), s["x"].alias("x"),
+            size.alias("size"), commas.cast("bigint").alias("commas"),
+            F.concat(calls, ops).alias("names"),
+            (size % 11 == 0).alias("returns"), (size % 2 == 0).alias("trails"),
+        )
+
+    rows = (
+        corpus(spark, sf_dir)
+        .filter(~F.contains("func_before", F.lit("###")))
+        .withColumn("_lines", settled(F.transform(listed, facts)))
+        .withColumn("_m", F.size("_lines").cast("bigint"))
+    )
+    head = "k * 1000000"
+    chain = "CAST(size(names) AS BIGINT) + IF(returns, 1, 0)"
+    expand = f"""
+        transform(_lines, r -> concat(
+          array(named_struct('id', r.{head}, 'label', 'IDENTIFIER', 'line', r.line,
+                'name', regexp_extract(r.x, '([A-Za-z]+)', 1), 'code', left(r.x, 200))),
+          transform(r.names, (w, j) -> named_struct('id', r.{head} + j + 1, 'label', 'CALL',
+                'line', r.line, 'name', w, 'code', w)),
+          IF(r.returns, array(named_struct('id', r.{head} + size(r.names) + 1, 'label', 'RETURN',
+                'line', r.line, 'name', '', 'code', 'return')), array()),
+          IF(r.trails, array(named_struct('id', r.{head} + 999999, 'label', 'UNKNOWN',
+                'line', -1, 'name', '', 'code', '')), array())))"""
+    inner = f"""
+        flatten(transform(_lines, r -> concat(
+          transform(filter(sequence(CAST(0 AS BIGINT), {chain.replace('names', 'r.names').replace('returns', 'r.returns')}),
+                j -> j > 0), j -> named_struct('src', r.{head} + j - 1, 'dst', r.{head} + j)),
+          IF(r.trails, array(named_struct('src', r.{head} + {chain.replace('names', 'r.names').replace('returns', 'r.returns')},
+                'dst', r.{head} + 999999)), array()))))"""
+    tail = f"r.{head} + IF(r.trails, 999999, {chain.replace('names', 'r.names').replace('returns', 'r.returns')})"
+    outer = f"""
+        flatten(transform(_lines, r -> transform(
+          IF(r.returns, array(_m + 1), concat(array(r.k + 1),
+             IF(r.commas >= 1 AND r.size % 3 = 0, array(least(r.k + 2, _m + 1)), array()),
+             IF(r.x RLIKE '^[AEIOUaeiou]' AND r.size % 3 = 1, array(greatest(r.k - 3, 1)), array()),
+             IF(r.size % 7 = 0 AND r.commas >= 2,
+                transform(sequence(CAST(2 AS BIGINT), r.commas + 1), j -> least(r.k + j, _m + 1)), array()))),
+          t -> named_struct('src', {tail}, 'dst', IF(t > _m, CAST(2 AS BIGINT), t * 1000000)))))"""
+    ends = """array(named_struct('id', CAST(1 AS BIGINT), 'label', 'METHOD', 'line', 1, 'name', 'f', 'code', ''),
+                    named_struct('id', CAST(2 AS BIGINT), 'label', 'METHOD_RETURN', 'line', 1, 'name', 'f', 'code', ''))"""
+    extra = "array(named_struct('id', CAST(3 AS BIGINT), 'label', 'UNKNOWN', 'line', -1, 'name', '', 'code', ''))"
+    controls = """flatten(transform(_lines, r -> concat(
+        IF(r.commas >= 1 AND r.size % 3 = 0, array(named_struct('type', 'IF', 'line', r.line, 'first', r.line, 'last', r.line)), array()),
+        IF(r.x RLIKE '^[AEIOUaeiou]' AND r.size % 3 = 1, array(named_struct('type', 'WHILE', 'line', r.line, 'first', -1, 'last', -1)), array()),
+        IF(r.size % 7 = 0 AND r.commas >= 2, array(named_struct('type', 'SWITCH', 'line', r.line, 'first', r.line, 'last', r.line)), array()),
+        IF(r.size % 17 = 0, array(named_struct('type', 'GOTO', 'line', r.line, 'first', r.line, 'last', r.line)), array()),
+        IF(r.size % 23 = 0, array(named_struct('type', 'ELSE', 'line', r.line, 'first', r.line, 'last', r.line)), array()))))"""
+    stmts = """flatten(transform(_lines, r -> concat(
+        IF(r.size % 6 = 0, array(named_struct('label', 'LOCAL', 'first', r.line, 'last', r.line)), array()),
+        IF(r.size % 19 = 0, array(named_struct('label', 'CALL', 'first', r.line, 'last', r.line + 1)), array()))))"""
+    first = "IF(_m > 0, array(named_struct('src', CAST(1 AS BIGINT), 'dst', CAST(1000000 AS BIGINT))), array())"
+    full = rows.select(
+        "sample_id",
+        F.col("func_before"),
+        settled(F.expr(f"concat({ends}, flatten({expand}))")).alias("nodes"),
+        settled(F.expr(f"concat({first}, {inner}, {outer})")).alias("edges"),
+        settled(F.expr(controls)).alias("controls"),
+        settled(F.expr(stmts)).alias("stmts"),
+        text.num_lines(code).alias("line_end"),
+    )
+    grown = f"IF(length(func_before) % 3 = 0, concat(nodes, {extra}), nodes)"
+    variants = F.expr(
+        f"""array(
+          named_struct('file', concat('src/', sample_id, '.c'), 'name', 'f', 'line', 1, 'line_end', line_end,
+                       'nodes', nodes, 'edges', edges, 'controls', controls, 'stmts', stmts),
+          named_struct('file', concat('src/', sample_id, '.c'), 'name', 'g', 'line', 2, 'line_end', line_end,
+                       'nodes', {ends}, 'edges', slice(edges, 1, 0), 'controls', slice(controls, 1, 0), 'stmts', slice(stmts, 1, 0)),
+          named_struct('file', concat('src/', sample_id, '.cpp'), 'name', 'f', 'line', 1, 'line_end', line_end,
+                       'nodes', {grown}, 'edges', edges, 'controls', controls, 'stmts', stmts))"""
+    )
+    return full.select(F.inline(variants))
+
+
+def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_corpus(corpus(spark, sf_dir), FilterConfig(), derive=False)
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_candidates(filtered(spark, sf_dir), methods(spark, sf_dir))
+
+
+def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph records of every usable function."""
+    return build_graphs(filtered(spark, sf_dir), methods(spark, sf_dir))

@@ -1,7 +1,5 @@
 """Row types of the engine and the fixed vocabularies they use."""
 
-from pyspark.sql import types as T
-
 # --- Fixed values -----------------------------------------------------------------------
 NODE_KINDS = (
     "ENTRY", "EXIT", "ASSIGN", "CALL", "BRANCH", "LOOP", "SWITCH", "RETURN", "JUMP", "DECL", "OTHER",
@@ -18,7 +16,7 @@ CANONICAL_COLUMNS = (
 END_REASONS = ("correct", "wrong_declare", "timeout", "dead_end", "exhausted")
 # ----------------------------------------------------------------------------------------
 
-FUNC = T.StructType.fromDDL(
+FUNC_DDL = (
     "sample_id string, project string, commit_id string, cwe string, vul int, func_before string,"
     " func_after string, flaw_lines array<string>, flaw_line_indices array<int>"
 )
@@ -33,13 +31,13 @@ GRAPH_DDL = (
     f" nodes array<{NODE_DDL}>, edges array<{EDGE_DDL}>, back_edges array<{EDGE_DDL}>,"
     " entry int, exit int, vuln_nodes array<int>, features map<string,array<array<double>>>"
 )
-GRAPH = T.StructType.fromDDL(GRAPH_DDL)
-GRAPH_COLUMNS = tuple(GRAPH.fieldNames())
+GRAPH_COLUMNS = (
+    "sample_id", "project", "commit_id", "cwe", "source_lines", "nodes", "edges", "back_edges",
+    "entry", "exit", "vuln_nodes", "features",
+)
 
 # The JSON form of a record writes an edge as a two-element array.
-GRAPH_JSON = T.StructType.fromDDL(
-    GRAPH_DDL.replace(f"array<{EDGE_DDL}>", "array<array<int>>")
-)
+GRAPH_JSON_DDL = GRAPH_DDL.replace(f"array<{EDGE_DDL}>", "array<array<int>>")
 
 METHOD_DDL = (
     "file string, name string, line int, line_end int,"
@@ -48,9 +46,8 @@ METHOD_DDL = (
     " controls array<struct<type:string,line:int,first:int,last:int>>,"
     " stmts array<struct<label:string,first:int,last:int>>"
 )
-METHOD = T.StructType.fromDDL(METHOD_DDL)
 # Exported methods hold mixed-type tuples; read every cell as text, then cast.
-METHOD_JSON = T.StructType.fromDDL(
+METHOD_JSON_DDL = (
     "file string, name string, line int, line_end int, nodes array<array<string>>,"
     " edges array<array<bigint>>, controls array<array<string>>, stmts array<array<string>>"
 )
@@ -61,8 +58,7 @@ EPISODE_DDL = (
     " first_declare_correct boolean, nodes_inspected int, actions_taken int,"
     " cumulative_reward double, first_hit_step int, end_reason string"
 )
-EPISODE = T.StructType.fromDDL(EPISODE_DDL)
-EPISODE_COLUMNS = tuple(EPISODE.fieldNames())
+EPISODE_COLUMNS = tuple(field.split()[0] for field in EPISODE_DDL.split(","))
 
 STEP_DDL = (
     "struct<t:int,node:int,action:string,next_node:int,reward:double,"
@@ -73,4 +69,3 @@ TRACE_DDL = (
     " outcome struct<success:boolean,declared_node:int,return:double,end_reason:string,"
     "nodes_inspected:int>"
 )
-TRACE = T.StructType.fromDDL(TRACE_DDL)
