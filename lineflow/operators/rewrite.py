@@ -45,9 +45,9 @@ def limit_out_degree(graphs: DataFrame, k: int) -> DataFrame:
     return rows.withColumns(rewritten).select(*graphs.columns)
 
 
-def draw(seed: int, sample_id: Column, item: Column) -> Column:
+def draw(seed: int | Column, sample_id: Column, item: Column) -> Column:
     """A value that orders items at random, alike on every run and every executor."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), sample_id, item.cast("string")).cast("binary"))
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), sample_id, item.cast("string")).cast("binary"))
 
 
 def shuffle_labels(graphs: DataFrame, seed: int = 0) -> DataFrame:

@@ -15,6 +15,10 @@ from lineflow.functions import text
 from lineflow.functions.graph import settled
 from lineflow.operators.attrition import filter_corpus
 from lineflow.operators.build import build_candidates, build_graphs
+from lineflow.functions.lexical import Lexicon
+from lineflow.operators.features import with_heuristic_score
+from lineflow.operators.search import run_evaluation
+from lineflow.session import written_once
 from lineflow.sources.corpus import canonicalise
 
 
@@ -184,5 +188,41 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph records of every usable function."""
-    return build_graphs(filtered(spark, sf_dir), methods(spark, sf_dir))
+    """Graph records of every usable function, built once per application."""
+    return written_once(
+        spark, f"graphs:{sf_dir}",
+        lambda: build_graphs(filtered(spark, sf_dir), methods(spark, sf_dir)),
+    )
+
+
+PROSE_LEXICON = Lexicon(
+    dangerous_calls=("que", "und", "the", "de", "la", "en", "der"),
+    alloc_calls=("le", "et", "and", "los"), free_calls=("on", "of", "est"),
+)
+
+
+def scored_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs with the heuristic suspicion of every node, under a lexicon of common words."""
+    return written_once(
+        spark, f"scored:{sf_dir}",
+        lambda: with_heuristic_score(graphs(spark, sf_dir), lexicon=PROSE_LEXICON),
+    )
+
+
+SEARCHERS = ("dfs", "bfs", "line_order", "heuristic_first", "random_walk", "random_order")
+THRESHOLDS = {
+    "bfs": 0.1, "dfs": 0.1, "heuristic_first": 0.1, "line_order": 0.1, "random_order": 0.1,
+    "random_walk": 0.05,
+}
+
+
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every search method under both declare rules over every graph, three seeds."""
+
+    def run():
+        rows = scored_graphs(spark, sf_dir)
+        free = run_evaluation(rows, SEARCHERS, seeds=(0, 1, 2))
+        ruled = run_evaluation(rows, SEARCHERS, seeds=(0, 1, 2), threshold=THRESHOLDS)
+        return free.unionByName(ruled)
+
+    return written_once(spark, f"episodes:{sf_dir}", run)

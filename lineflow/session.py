@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,30 @@ def local_session(cores: str = "*", partitions: int = 8, **settings: str) -> Spa
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the cluster names; only where none is set, as in
-    tests, to a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for intermediate tables; only where it names none,
+    as in tests, a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get(CHECKPOINT_KEY, None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lineflow-checkpoint-"))
-    return df.checkpoint()
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if named is None:
+        named = tempfile.mkdtemp(prefix="lineflow-")
+        context.setCheckpointDir(named)
+    return named
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def written_once(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``key``, written to the shared folder on first use in this application.
+
+    Later uses read the files, so they neither repeat the work nor hold it in memory, and a
+    lost executor costs no recomputation.
+    """
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _WRITTEN:
+        name = hashlib.sha1(":".join(slot).encode()).hexdigest()[:16]
+        path = f"{shared_folder(spark)}/lineflow-tables/{name}"
+        make().write.mode("overwrite").parquet(path)
+        _WRITTEN[slot] = path
+    return spark.read.parquet(_WRITTEN[slot])
