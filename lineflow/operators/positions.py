@@ -95,3 +95,19 @@ def running_totals(
         )
         .drop("_bucket", *[f"_{t}" for t in totals])
     )
+
+
+def median_of(df: DataFrame, value: str) -> float | None:
+    """Exact median: values are counted first and located by two-level running totals."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return None
+    placed = running_totals(counts, value, ["n"])
+
+    def at(position):
+        here = (F.col("n_before") <= position) & (F.col("n_before") + F.col("n") > position)
+        return F.max(F.when(here, F.col(value)))
+
+    low, high = placed.agg(at((total - 1) // 2).alias("a"), at(total // 2).alias("b")).first()
+    return float((low + high) / 2)
