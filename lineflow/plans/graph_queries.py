@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineflow.operators import build
-from lineflow.plans.corpus_queries import S_CLASS, S_TRIVIAL, SQL_CORPUS
-from lineflow.plans.views import candidates, filtered, graphs, methods
+from lineflow.functions import graph
+from lineflow.functions import lexical as lx
+from lineflow.operators import build, features, ranking, rewrite
+from lineflow.operators import graphs as records
+from lineflow.plans.corpus_queries import S_CLASS, S_TRIVIAL, SQL_CORPUS, _rounded
+from lineflow.plans.views import (
+    PROSE_LEXICON, candidates, filtered, graphs, methods, scored_graphs,
+)
 
 def _joined(column):
     return F.array_join(column, "|")
@@ -70,11 +75,116 @@ def graph_nodes(spark, sf):
     )
 
 
+def successor_slots(spark, sf):
+    """Slot number of every edge in its node's action space, and whether it closes a loop."""
+    return records.edge_list(graphs(spark, sf)).select("sample_id", "u", "v", "slot")
+
+
+def back_edges(spark, sf):
+    return graphs(spark, sf).select("sample_id", F.inline("back_edges"))
+
+
+def graph_metadata(spark, sf):
+    return records.graph_metadata(graphs(spark, sf))
+
+
+def distance_to_vulnerable(spark, sf):
+    rows = records.distance_to_vulnerable(graphs(spark, sf))
+    return rows.select("sample_id", F.posexplode("distance").alias("id", "distance"))
+
+
+def out_degree_table(spark, sf):
+    return _rounded(records.out_degree_table(graphs(spark, sf)))
+
+
+def smallest_k(spark, sf):
+    return records.smallest_k(records.out_degree_table(graphs(spark, sf)))
+
+
+def graph_distributions(spark, sf):
+    measures = records.graph_measures(graphs(spark, sf))
+    return _rounded(records.distribution(measures, measures.columns))
+
+
+def graph_counts(spark, sf):
+    return records.graph_counts(graphs(spark, sf))
+
+
+def record_violations(spark, sf):
+    """Structural rules broken by records whose edges are read back to front."""
+    flipped = F.transform("edges", lambda e: F.struct(e["v"].alias("u"), e["u"].alias("v")))
+    rows = records.with_violations(graphs(spark, sf).withColumn("edges", flipped))
+    return rows.select("sample_id", F.array_join("violations", "|").alias("violations"))
+
+
+def shuffled_labels(spark, sf):
+    rows = rewrite.shuffle_labels(graphs(spark, sf), seed=7)
+    return rows.select("sample_id", _joined(F.col("vuln_nodes").cast("array<string>")).alias("vuln_nodes"))
+
+
+def permuted_edges(spark, sf):
+    return rewrite.permute_node_ids(graphs(spark, sf), seed=7).select("sample_id", F.inline("edges"))
+
+
+def lexical_flags(spark, sf):
+    rows = features.with_lexical(graphs(spark, sf), PROSE_LEXICON)
+    flat = rows.select("sample_id", F.posexplode("lexical").alias("id", "f"))
+    return _rounded(flat.select("sample_id", "id", "f.*"))
+
+
+def heuristic_score(spark, sf):
+    rows = scored_graphs(spark, sf).select("sample_id", F.posexplode("score").alias("id", "score"))
+    return _rounded(rows)
+
+
+def structural_features(spark, sf):
+    """Tier S per node: degrees, depth, cycle membership and relative line."""
+    names = ("in_degree", "out_degree", "depth", "in_loop", "rel_line")
+    rows = features.featurize(graphs(spark, sf), "S").select("sample_id", F.posexplode("x").alias("id", "x"))
+    return rows.select(
+        "sample_id", "id",
+        *[
+            F.round(F.get(F.col("x"), F.lit(features.TIER_S_NAMES.index(n))).cast("double"), 5).alias(n)
+            for n in names
+        ],
+    )
+
+
+def full_features(spark, sf):
+    """Column means of the 30-wide Tier L matrix."""
+    rows = features.featurize(graphs(spark, sf), "L", PROSE_LEXICON).select(F.explode("x").alias("x"))
+    return rows.agg(
+        F.count("*").alias("nodes"),
+        *[F.avg(F.get(F.col("x"), F.lit(i))).alias(n) for i, n in enumerate(features.TIER_L_NAMES)],
+    )
+
+
+def top_k_accuracy(spark, sf):
+    return _rounded(ranking.top_k_accuracy(scored_graphs(spark, sf)))
+
+
+def chance_top_k(spark, sf):
+    return _rounded(ranking.chance_top_k(graphs(spark, sf)))
+
+
+def feature_ceiling(spark, sf):
+    rows = features.with_lexical(graphs(spark, sf), PROSE_LEXICON)
+    flags = F.filter(
+        F.zip_with("nodes", "lexical", lambda n, f: F.when(graph.is_statement(n["kind"]), f["dangerous_call"] > 0)),
+        lambda f: f.isNotNull(),
+    )
+    return _rounded(ranking.feature_ceiling(rows.select(graph.settled(flags).alias("flags")), 0.9, 0.1))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         method_selection, line_graph_nodes, line_graph_edges, line_coverage, flaw_alignment,
-        build_attrition, build_reasons, graph_edges, graph_nodes,
+        build_attrition, build_reasons, graph_edges, graph_nodes, successor_slots, back_edges,
+        graph_metadata, distance_to_vulnerable, out_degree_table, smallest_k,
+        graph_distributions, graph_counts, record_violations, shuffled_labels, permuted_edges,
+        lexical_flags, heuristic_score, structural_features, full_features, top_k_accuracy,
+        chance_top_k, feature_ceiling,
     )
 }
 
@@ -282,3 +392,145 @@ ORACLE = {
         " LEFT JOIN (SELECT ordinal, u FROM reach WHERE u = v) c ON c.ordinal = n.ordinal AND c.u = n.id", SQL_CYCLES
     ),
 }
+
+SQL_FLAT = """,
+size AS (SELECT ordinal, count(*) AS n FROM node GROUP BY 1),
+dist AS (SELECT l.ordinal, min(b.depth) AS d FROM label l JOIN bfs b ON b.ordinal = l.ordinal AND b.id = l.id GROUP BY 1)
+"""
+
+
+def _re(pattern: str) -> str:
+    return pattern.replace(r"\x85", r"\x{85}").replace("'", "''")
+
+
+def _ops(names) -> str:
+    listed = ", ".join(f"'<operator>.{n}'" for n in names)
+    return f"list_has_any(string_split(ops, '|'), [{listed}])"
+
+
+def _flag(names, pattern, text="code") -> str:
+    return f"CASE WHEN ops <> '' THEN {_ops(names)} ELSE regexp_matches({text}, '{_re(pattern)}') END"
+
+
+def _named(names) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"calls <> '' AND list_has_any(string_split(calls, '|'), [{listed}])"
+
+
+_FLAGS = {
+    "has_call": "calls <> ''",
+    "dangerous_call": _named(PROSE_LEXICON.dangerous_calls),
+    "alloc_call": _named(PROSE_LEXICON.alloc_calls),
+    "free_call": _named(PROSE_LEXICON.free_calls),
+    "array_subscript": _flag(lx.SUBSCRIPT_OPS, lx.SUBSCRIPT),
+    "pointer_deref": _flag(lx.DEREF_OPS, lx.DEREF),
+    "pointer_arith": f"regexp_matches(code, '{_re(lx.POINTER_ARITH)}')",
+    "arith_op": _flag(lx.ARITH_OPS, lx.ARITH),
+    "comparison": _flag(lx.COMPARE_OPS, lx.COMPARE),
+    "uses_sizeof": _flag(lx.SIZEOF_OPS, lx.SIZEOF),
+    "has_cast": _flag(lx.CAST_OPS, lx.CAST, "replace(code, 'sizeof(', 'sizeof#')"),
+    "length_like_ident": f"len(list_filter(regexp_extract_all(code, '{_re(lx.IDENTIFIER)}', 1),"
+    f" lambda w: lower(w) <> 'sizeof' AND regexp_matches(lower(w), '{_re(lx.LENGTH_LIKE)}'))) > 0",
+}
+_FLAG_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {n}" for n, c in _FLAGS.items())
+_TOKENS = f"least(len(regexp_extract_all(code, '{_re(lx.TOKEN)}')), 40) / 40"
+_SCORE = " + ".join(f"{w} * {n}" for n, w in lx.DEFAULT_WEIGHTS.items())
+
+SQL_SCORES = f""",
+flag AS MATERIALIZED (SELECT ordinal, sample_id, id, kind, {_FLAG_SQL}, {_TOKENS} AS token_count FROM node),
+score AS MATERIALIZED (SELECT ordinal, sample_id, id, kind, dangerous_call, ({_SCORE}) / 10.5 AS score FROM flag)
+"""
+
+_LABELLED = "EXISTS (SELECT 1 FROM label l WHERE l.ordinal = {0}.ordinal AND l.id = {0}.id)"
+
+ORACLE |= {
+    "successor_slots": graph_sql(
+        "SELECT n.sample_id, e.u, e.v, CAST(row_number() OVER (PARTITION BY e.ordinal, e.u ORDER BY n.line, e.v) - 1 AS INTEGER) AS slot"
+        " FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v"
+    ),
+    "graph_metadata": graph_sql(
+        "SELECT k.sample_id AS graph_id, c.project, c.cwe, CAST(s.n AS INTEGER) AS num_nodes,"
+        " CAST((SELECT count(*) FROM label l WHERE l.ordinal = k.ordinal) AS INTEGER) AS num_vuln,"
+        " CAST(coalesce(d.d, -1) AS INTEGER) AS dist_to_vuln FROM kept k JOIN corpus c USING (ordinal)"
+        " JOIN size s USING (ordinal) LEFT JOIN dist d USING (ordinal)", SQL_FLAT
+    ),
+    "distance_to_vulnerable": graph_sql(
+        "SELECT n.sample_id, n.id, CAST(coalesce(u.depth, s.n) AS INTEGER) AS distance FROM node n JOIN size s USING (ordinal)"
+        " LEFT JOIN und u ON u.ordinal = n.ordinal AND u.id = n.id",
+        SQL_FLAT + """, both_ways AS MATERIALIZED (SELECT ordinal, u, v FROM edge UNION SELECT ordinal, v, u FROM edge),
+        und(ordinal, id, depth) USING KEY (ordinal, id) AS (SELECT ordinal, id, 0 FROM label UNION
+          SELECT b.ordinal, e.v, b.depth + 1 FROM und b JOIN both_ways e ON e.ordinal = b.ordinal AND e.u = b.id
+          WHERE NOT EXISTS (SELECT 1 FROM recurring.und r WHERE r.ordinal = e.ordinal AND r.id = e.v))""",
+    ),
+    "out_degree_table": graph_sql(
+        "SELECT CAST(g.g AS INTEGER) AS out_degree, count(*) FILTER (d.d = g.g) AS nodes,"
+        " round(count(*) FILTER (d.d <= g.g) / count(*), 6) AS nodes_covered,"
+        " round((SELECT count(*) FILTER (w.w <= g.g) / count(*) FROM wide w), 6) AS graphs_covered"
+        " FROM range((SELECT max(d) + 1 FROM deg)) g(g), deg d GROUP BY g.g",
+        """, deg AS (SELECT n.ordinal, n.id, count(e.u) AS d FROM node n LEFT JOIN edge e ON e.ordinal = n.ordinal AND e.u = n.id GROUP BY ALL),
+        wide AS (SELECT ordinal, max(d) AS w FROM deg GROUP BY 1)""",
+    ),
+    "smallest_k": graph_sql(
+        "SELECT CAST(greatest(min(d), 1) AS INTEGER) AS smallest_k FROM (SELECT d, sum(count(*)) OVER (ORDER BY d) / sum(count(*)) OVER () AS c FROM deg GROUP BY d) WHERE c >= 0.99",
+        ", deg AS (SELECT n.ordinal, n.id, count(e.u) AS d FROM node n LEFT JOIN edge e ON e.ordinal = n.ordinal AND e.u = n.id GROUP BY ALL)",
+    ),
+    "graph_distributions": graph_sql(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS measure, round(avg({col}), 6) AS mean, "
+            + ", ".join(f"round(quantile_cont(CAST({col} AS DOUBLE), {q / 100}), 6) AS p{q}" for q in records.PERCENTILES)
+            + " FROM m"
+            for name, col in (("nodes", "n"), ("vulnerable_nodes", "v"), ("vulnerable_node_fraction", "v / n"), ("distance_entry_to_vulnerable", "d"))
+        ),
+        SQL_FLAT + ", m AS (SELECT s.n, (SELECT count(*) FROM label l WHERE l.ordinal = s.ordinal) AS v, dist.d FROM size s LEFT JOIN dist USING (ordinal))",
+    ),
+    "graph_counts": graph_sql(
+        "SELECT 'kind' AS measure, kind AS value, count(*) AS n FROM node GROUP BY kind UNION ALL"
+        " SELECT 'cwe', c.cwe, count(*) FROM kept JOIN corpus c USING (ordinal) GROUP BY c.cwe"
+    ),
+    "shuffled_labels": graph_sql(
+        "SELECT sample_id, string_agg(CAST(id AS VARCHAR), '|' ORDER BY id) AS vuln_nodes FROM ("
+        " SELECT n.ordinal, n.sample_id, n.id, row_number() OVER (PARTITION BY n.ordinal ORDER BY md5('7:' || n.sample_id || ':' || CAST(n.id AS VARCHAR))) AS r"
+        " FROM node n JOIN bfs b ON b.ordinal = n.ordinal AND b.id = n.id WHERE n.kind NOT IN ('ENTRY', 'EXIT')) q"
+        " JOIN (SELECT ordinal, count(*) AS c FROM label GROUP BY 1) w USING (ordinal) WHERE r <= c GROUP BY sample_id"
+    ),
+    "permuted_edges": graph_sql(
+        "SELECT a.sample_id, a.j AS u, b.j AS v FROM edge e JOIN p a ON a.ordinal = e.ordinal AND a.id = e.u"
+        " JOIN p b ON b.ordinal = e.ordinal AND b.id = e.v",
+        ", p AS MATERIALIZED (SELECT ordinal, sample_id, id, CAST(row_number() OVER (PARTITION BY ordinal ORDER BY md5('7:' || sample_id || ':' || CAST(id AS VARCHAR))) - 1 AS INTEGER) AS j FROM node)",
+    ),
+    "lexical_flags": graph_sql(
+        f"SELECT sample_id, id, {', '.join(_FLAGS)}, round(token_count, 6) AS token_count FROM flag", SQL_SCORES
+    ),
+    "heuristic_score": graph_sql("SELECT sample_id, id, round(score, 6) AS score FROM score", SQL_SCORES),
+    "top_k_accuracy": graph_sql(
+        "SELECT " + ", ".join(f"round(count(*) FILTER (best <= {k}) / count(*), 6) AS top{k}" for k in (1, 3, 5))
+        + f" FROM (SELECT ordinal, min(r) FILTER (hit) AS best FROM (SELECT s.ordinal, {_LABELLED.format('s')} AS hit,"
+        " row_number() OVER (PARTITION BY s.ordinal ORDER BY score DESC, id) AS r FROM score s WHERE kind NOT IN ('ENTRY', 'EXIT')) GROUP BY 1)",
+        SQL_SCORES,
+    ),
+    "chance_top_k": graph_sql(
+        "SELECT "
+        + ", ".join(
+            f"round(avg(1 - coalesce((SELECT product(greatest(s - v - i, 0) / (s - i)) FROM range(least({k}, s)) r(i)), 1)), 6) AS top{k}"
+            for k in (1, 3, 5)
+        )
+        + " FROM (SELECT n.ordinal, count(*) AS s, (SELECT count(*) FROM label l WHERE l.ordinal = n.ordinal) AS v"
+        " FROM node n WHERE kind NOT IN ('ENTRY', 'EXIT') GROUP BY n.ordinal)"
+    ),
+    "feature_ceiling": graph_sql(
+        "SELECT round(avg(best), 6) AS ceiling FROM (SELECT max(w) / sum(w) AS best FROM (SELECT ordinal,"
+        " CASE WHEN dangerous_call > 0 THEN 0.9 / 0.1 ELSE (1 - 0.9) / (1 - 0.1) END AS w FROM score WHERE kind NOT IN ('ENTRY', 'EXIT')) GROUP BY ordinal)",
+        SQL_SCORES,
+    ),
+}
+# ``loop_header`` follows back edges, which depend on the search order and have no set form.
+ORACLE["structural_features"] = graph_sql(
+    "SELECT n.sample_id, n.id,"
+    " round(least((SELECT count(*) FROM edge e WHERE e.ordinal = n.ordinal AND e.v = n.id), 4) / 4, 5) AS in_degree,"
+    " round(least((SELECT count(*) FROM edge e WHERE e.ordinal = n.ordinal AND e.u = n.id), 4) / 4, 5) AS out_degree,"
+    " round(CAST(CAST(greatest(coalesce(b.depth, -1), 0) / greatest(1, max(b.depth) OVER (PARTITION BY n.ordinal)) AS FLOAT) AS DOUBLE), 5) AS depth,"
+    " CAST(n.kind NOT IN ('ENTRY', 'EXIT') AND c.u IS NOT NULL AS DOUBLE) AS in_loop,"
+    " round(CAST(CAST(least(n.line / greatest(1, f.num_lines, max(n.line) OVER (PARTITION BY n.ordinal)), 1) AS FLOAT) AS DOUBLE), 5) AS rel_line"
+    " FROM node n JOIN fn f USING (ordinal) LEFT JOIN bfs b ON b.ordinal = n.ordinal AND b.id = n.id"
+    " LEFT JOIN (SELECT ordinal, u FROM reach WHERE u = v) c ON c.ordinal = n.ordinal AND c.u = n.id", SQL_CYCLES
+)

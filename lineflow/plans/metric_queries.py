@@ -25,10 +25,8 @@ EPISODE_SQL = """
 
 
 def line_episodes(spark, sf):
-    cells = [c.strip() for c in EPISODE_SQL.format(text="STRING").split(",\n") if c.strip()]
-    flat = ",".join(cells)
-    table(spark, sf, "lineitem").createOrReplaceTempView("_lineitem_episodes")
-    return spark.sql(f"SELECT {flat} FROM _lineitem_episodes")
+    lineitem = table(spark, sf, "lineitem")
+    return spark.sql(f"SELECT {EPISODE_SQL.format(text='STRING')} FROM {{lineitem}}", lineitem=lineitem)
 
 
 def episode_metrics(spark, sf):
