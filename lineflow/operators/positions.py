@@ -69,45 +69,46 @@ def value_cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
 
 
 def running_totals(
-    df: DataFrame, value: str, totals: Sequence[str], buckets: int = 256
+    df: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (), buckets: int = 256
 ) -> DataFrame:
-    """For one row per distinct ``value``, add ``<total>_before``: sums over smaller values."""
+    """For one row per distinct ``value`` (within ``by``), add ``<total>_before``, the sum over
+    smaller values, and ``<total>_all``, the sum over all."""
+    by = list(by)
     cuts = value_cuts(df, value, buckets)
     edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
     bucket = F.size(F.filter(edges, lambda e: e < F.col(value)))
     rows = df.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket, at most ``buckets`` of them.
-    offsets = rows.groupBy("_bucket").agg(*[F.sum(t).alias(f"_{t}") for t in totals]).select(
-        F.col("_bucket"),
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # At most ``buckets`` rows per group from here on.
+    sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
+    offsets = sums.select(
+        *by, "_bucket",
         *[F.coalesce(F.sum(f"_{t}").over(before), F.lit(0)).alias(f"_{t}") for t in totals],
+        *[F.sum(f"_{t}").over(group).alias(f"{t}_all") for t in totals],
     )
-    inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(
+    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1
     )
+    # The window leaves rows partitioned on the join keys already.
     return (
-        rows.join(F.broadcast(offsets), "_bucket")
-        .withColumns(
-            {
-                f"{t}_before": F.col(f"_{t}") + F.coalesce(F.sum(t).over(inside), F.lit(0))
-                for t in totals
-            }
-        )
-        .drop("_bucket", *[f"_{t}" for t in totals])
+        rows.withColumns({f"_{t}_in": F.coalesce(F.sum(t).over(inside), F.lit(0)) for t in totals})
+        .join(offsets, [*by, "_bucket"])
+        .withColumns({f"{t}_before": F.col(f"_{t}") + F.col(f"_{t}_in") for t in totals})
+        .drop("_bucket", *[f"_{t}" for t in totals], *[f"_{t}_in" for t in totals])
     )
 
 
-def median_of(df: DataFrame, value: str) -> float | None:
-    """Exact median: values are counted first and located by two-level running totals."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0]
-    if not total:
-        return None
-    placed = running_totals(counts, value, ["n"])
+def medians(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact ``median`` per group: values are counted first, then located by running totals."""
+    by = list(by)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
     def at(position):
         here = (F.col("n_before") <= position) & (F.col("n_before") + F.col("n") > position)
         return F.max(F.when(here, F.col(value)))
 
-    low, high = placed.agg(at((total - 1) // 2).alias("a"), at(total // 2).alias("b")).first()
-    return float((low + high) / 2)
+    low, high = F.floor((F.col("n_all") - 1) / 2), F.floor(F.col("n_all") / 2)
+    return running_totals(counts, value, ["n"], by).groupBy(*by).agg(
+        ((at(low) + at(high)) / 2).alias("median")
+    )
