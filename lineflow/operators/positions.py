@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+def small_or_plain(df: DataFrame) -> DataFrame:
+    """``df`` as a broadcast of its collected rows if it has at most ``BROADCAST_ROWS``, else
+    unchanged: joins with it are then shuffled like any other."""
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def ranked(
     df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str,
     max_buckets: int,
