@@ -128,6 +128,13 @@ def action_mix(steps: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def best_evaluation(history: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """The best row per group: most success, then fewest nodes, then the earliest ``order``."""
+    rank = F.struct(F.col("success_rate"), -F.col("nodes_inspected"), -F.col(order))
+    rest = [c for c in history.columns if c not in by]
+    return history.groupBy(*by).agg(F.max_by(F.struct(*rest), rank).alias("_best")).select(*by, "_best.*")
+
+
 def running_best(history: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Best evaluation so far at each point: most success, then fewest nodes."""
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus_queries", "graph_queries", "search_queries", "split_queries", "metric_queries")
+MODULES = (
+    "corpus_queries", "graph_queries", "search_queries", "policy_queries", "split_queries",
+    "metric_queries",
+)
 
 
 def queries() -> dict:
