@@ -9,7 +9,7 @@ from lineflow.functions import text
 from lineflow.functions.diff import fix_diff
 from lineflow.operators import attrition as cascade
 from lineflow.operators import eda
-from lineflow.plans.views import corpus, fixed_corpus, table
+from lineflow.plans.views import corpus, fixed_corpus, texts
 from lineflow.sources.files import manifest
 
 CONFIG = FilterConfig()
@@ -83,7 +83,7 @@ def comment_stripping(spark, sf):
     """Pages hold markup, scripts and URLs: every comment form occurs."""
     html = F.col("html")
     mask = text.code_line_mask(html)
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages", "page_id").select(
         "page_id",
         F.sha1(F.encode(text.strip_comments(html), "UTF-8")).alias("stripped_sha1"),
         text.body_hash(html).alias("body_hash"),
@@ -94,7 +94,7 @@ def comment_stripping(spark, sf):
 
 def trivial_lines(spark, sf):
     """Fragments between angle brackets, judged one by one."""
-    parts = table(spark, sf, "pages").select("page_id", F.explode(F.split("html", "[<>]", -1)).alias("part"))
+    parts = texts(spark, sf, "pages", "page_id").select("page_id", F.explode(F.split("html", "[<>]", -1)).alias("part"))
     return parts.groupBy("page_id").agg(
         F.count("*").alias("fragments"),
         F.count_if(text.is_trivial_line(F.col("part"))).alias("trivial"),

@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, over at least as many tasks as there are cores.
+
+    Parsing text costs far more than moving it, so a scan of few splits (small files, a single
+    row group) is spread by key first; a scan that fills the cores already is left alone.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def raw_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` and ``labels`` under the column names of a preprocessed release."""
     body = F.concat(F.lit("int f() {\n"), F.col("text"), F.lit("\n}"))
@@ -35,7 +46,7 @@ def raw_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     labels = table(spark, sf_dir, "labels")
     return (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir, "documents", "doc_id")
         .join(labels, "doc_id", "left")
         .withColumn("processed_func", body)
         .withColumn("_flawed", lines)
