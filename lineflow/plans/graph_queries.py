@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from lineflow.functions import graph
 from lineflow.functions import lexical as lx
-from lineflow.operators import build, features, ranking, rewrite
+from lineflow.operators import build, embeddings, features, ranking, rewrite, traces
 from lineflow.operators import graphs as records
 from lineflow.plans.corpus_queries import S_CLASS, S_TRIVIAL, SQL_CORPUS, _rounded
 from lineflow.plans.views import (
     PROSE_LEXICON, candidates, filtered, graphs, methods, scored_graphs,
 )
+from lineflow.schema import GRAPH_JSON_DDL
+from lineflow.session import written_once
+from lineflow.sources import records as jsonl
 
 def _joined(column):
     return F.array_join(column, "|")
@@ -176,6 +179,56 @@ def feature_ceiling(spark, sf):
     return _rounded(ranking.feature_ceiling(rows.select(graph.settled(flags).alias("flags")), 0.9, 0.1))
 
 
+def sampled_graphs(spark, sf):
+    """Forty graphs of at most sixty nodes, drawn uniformly."""
+    return records.sample_graphs(graphs(spark, sf), 40, seed=3, max_nodes=60).select("sample_id")
+
+
+def graph_width(spark, sf):
+    """Graphs wider than three slots before any chain, and graphs at the step cap."""
+    return records.wide_graphs(_line_graphs(spark, sf), 3)
+
+
+def node_labels(spark, sf):
+    """Display labels: line and collapsed code, cut to width."""
+    shown = F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), traces.node_label(n).alias("label")))
+    return graphs(spark, sf).select("sample_id", F.inline(shown))
+
+
+def json_records(spark, sf):
+    """Records written as JSON text and parsed back: none may change."""
+    rows = graphs(spark, sf)
+    texts = jsonl.graph_json(rows)
+    parsed = texts.select("sample_id", F.from_json("json", GRAPH_JSON_DDL).alias("r"))
+    again = parsed.select("sample_id", F.size("r.nodes").alias("nodes"), F.size("r.edges").alias("edges"),
+                          F.size("r.vuln_nodes").alias("labels"))
+    return again
+
+
+def _letter_vectors():
+    """A stand-in for a text encoder: letter frequencies."""
+
+    def encode(batch):
+        letters = "abcdefghijklmnopqrstuvwxyz0123456789.,;:!?*/<>=+-()[]{}"
+        return [[text.lower().count(c) / (len(text) + 1) for c in letters] for text in batch]
+
+    return encode
+
+
+def embedded_features(spark, sf):
+    """Statement texts encoded once each, projected, stored on the records, read as Tier E."""
+    rows = graphs(spark, sf)
+    vectors = written_once(
+        spark, f"vectors:{sf}",
+        lambda: embeddings.encode_texts(embeddings.statement_texts(rows), _letter_vectors),
+    )
+    reduced = embeddings.project(vectors, embeddings.fit_projection(vectors, features.EMBED_DIM))
+    full = features.featurize(embeddings.attach_embeddings(rows, reduced), "E", PROSE_LEXICON)
+    return full.select(F.explode("x").alias("x")).groupBy(F.size("x").alias("width")).agg(
+        F.count("*").alias("nodes"), F.avg(F.get(F.col("x"), F.lit(30))).alias("first_component")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -184,7 +237,8 @@ QUERIES = {
         graph_metadata, distance_to_vulnerable, out_degree_table, smallest_k,
         graph_distributions, graph_counts, record_violations, shuffled_labels, permuted_edges,
         lexical_flags, heuristic_score, structural_features, full_features, top_k_accuracy,
-        chance_top_k, feature_ceiling,
+        chance_top_k, feature_ceiling, sampled_graphs, graph_width, node_labels, json_records,
+        embedded_features,
     )
 }
 
@@ -444,6 +498,22 @@ score AS MATERIALIZED (SELECT ordinal, sample_id, id, kind, dangerous_call, ({_S
 _LABELLED = "EXISTS (SELECT 1 FROM label l WHERE l.ordinal = {0}.ordinal AND l.id = {0}.id)"
 
 ORACLE |= {
+    "sampled_graphs": graph_sql(
+        "SELECT k.sample_id FROM kept k JOIN size s USING (ordinal) WHERE s.n <= 60 ORDER BY md5('3:' || k.sample_id), k.sample_id LIMIT 40", SQL_FLAT
+    ),
+    "graph_width": graph_sql(
+        "SELECT count(*) AS graphs, count(*) FILTER (w > 3) AS graphs_wider_than_k, count(*) FILTER (4 * (exit + 1) >= 200) AS graphs_at_step_cap"
+        " FROM (SELECT f.ordinal, f.exit, max(d) AS w FROM fn f LEFT JOIN (SELECT ordinal, u, count(*) AS d FROM e0 GROUP BY ALL) USING (ordinal) GROUP BY ALL)"
+    ),
+    "node_labels": graph_sql(
+        "SELECT sample_id, id, CASE WHEN kind IN ('ENTRY', 'EXIT') THEN kind ELSE CAST(line AS VARCHAR) || ': ' || CASE WHEN c = '' THEN kind"
+        " WHEN length(c) > 34 THEN substr(c, 1, 33) || '…' ELSE c END END AS label"
+        f" FROM (SELECT *, trim(regexp_replace(code, '{S_CLASS}+', ' ', 'g')) AS c FROM node)"
+    ),
+    "json_records": graph_sql(
+        "SELECT k.sample_id, CAST(s.n AS INTEGER) AS nodes, CAST((SELECT count(*) FROM edge e WHERE e.ordinal = k.ordinal) AS INTEGER) AS edges,"
+        " CAST((SELECT count(*) FROM label l WHERE l.ordinal = k.ordinal) AS INTEGER) AS labels FROM kept k JOIN size s USING (ordinal)", SQL_FLAT
+    ),
     "successor_slots": graph_sql(
         "SELECT n.sample_id, e.u, e.v, CAST(row_number() OVER (PARTITION BY e.ordinal, e.u ORDER BY n.line, e.v) - 1 AS INTEGER) AS slot"
         " FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v"
