@@ -63,7 +63,9 @@ def metric_columns() -> list[Column]:
 
 def compute_metrics(df: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """One row of metrics per group; rows without a key value are left out."""
-    keyed = df.dropna(subset=list(by)) if by else df
+    keyed = df
+    for name in by:
+        keyed = keyed.filter(F.col(name).isNotNull())
     return keyed.groupBy(*by).agg(*metric_columns())
 
 

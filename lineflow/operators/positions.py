@@ -108,10 +108,9 @@ def running_totals(
     )
 
 
-def medians(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact ``median`` per group: values are counted first, then located by running totals."""
+def medians(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact ``median`` per group of a table of distinct values and their counts ``n``."""
     by = list(by)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
 
     def at(position):
         here = (F.col("n_before") <= position) & (F.col("n_before") + F.col("n") > position)

@@ -67,12 +67,13 @@ def end_reason_shares(spark, sf):
 
 
 def graph_means(spark, sf):
-    return _rounded(stats.per_graph(line_episodes(spark, sf)))
+    # Means of a few episodes often end in a 5 at the seventh digit: keep more of them.
+    return _rounded(stats.per_graph(line_episodes(spark, sf)), 10)
 
 
 def paired_graphs(spark, sf):
     pairs = stats.paired(line_episodes(spark, sf), "A", "N")
-    return _rounded(pairs.select("graph_id", "success_a", "success_b", "nodes_inspected_a", "nodes_inspected_b"))
+    return _rounded(pairs.select("graph_id", "success_a", "success_b", "nodes_inspected_a", "nodes_inspected_b"), 10)
 
 
 def mcnemar_success(spark, sf):
@@ -165,9 +166,9 @@ ORACLE = {
     "end_reason_shares": f"""{_EP} SELECT method, end_reason, round(count(*) / sum(count(*)) OVER (PARTITION BY method), 6) AS share
         FROM b GROUP BY method, end_reason""",
     "graph_means": f"""{_EP}{_GRAPH} SELECT method, graph_id, """
-    + ", ".join(f"round({m}, 6) AS {m}" for m in stats.GRAPH_METRICS) + " FROM pg",
-    "paired_graphs": f"""{_EP}{_GRAPH} SELECT graph_id, round(success_a, 6) AS success_a, round(success_b, 6) AS success_b,
-        round(nodes_inspected_a, 6) AS nodes_inspected_a, round(nodes_inspected_b, 6) AS nodes_inspected_b FROM pr""",
+    + ", ".join(f"round({m}, 10) AS {m}" for m in stats.GRAPH_METRICS) + " FROM pg",
+    "paired_graphs": f"""{_EP}{_GRAPH} SELECT graph_id, round(success_a, 10) AS success_a, round(success_b, 10) AS success_b,
+        round(nodes_inspected_a, 10) AS nodes_inspected_a, round(nodes_inspected_b, 10) AS nodes_inspected_b FROM pr""",
     "mcnemar_success": f"""{_EP}{_GRAPH}, c AS (SELECT count(*) AS graphs,
         count(*) FILTER (success_a >= 0.5 AND success_b < 0.5) AS a_only,
         count(*) FILTER (success_b >= 0.5 AND success_a < 0.5) AS b_only FROM pr)

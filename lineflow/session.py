@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,17 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, into a table of the shared folder, and read back from there.
+
+    For small tables that several steps of one operator read: without it every step, and every
+    job an operator starts to size its buckets, would scan the input again.
+    """
+    path = f"{shared_folder(df.sparkSession)}/lineflow-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 

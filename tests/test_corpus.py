@@ -143,5 +143,5 @@ def test_positions_and_running_totals(spark):
         assert (r.n_before, r.n_all) == (sum(v < r.v for v in mine), len(mine))
     import statistics
 
-    assert {r.g: r["median"] for r in medians(vals, "v", ["g"]).collect()} == {
+    assert {r.g: r["median"] for r in medians(counts, "v", ["g"]).collect()} == {
         g: statistics.median(v for h, v in values if h == g) for g in "ab"}
