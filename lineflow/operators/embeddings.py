@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lineflow.functions import graph
 from lineflow.operators.features import EMBED_DIM, EMBED_KEY
+from lineflow.operators.positions import join_lookup
 
 # --- Fixed values -----------------------------------------------------------------------
 MAX_TOKENS = 64
@@ -84,18 +85,12 @@ def load_projection(path: str) -> PipelineModel:
 def attach_embeddings(graphs: DataFrame, reduced: DataFrame) -> DataFrame:
     """Store projected vectors (``text, reduced``) on the records, rounded to four digits.
 
-    Texts are looked up per distinct (graph, text); a graph's vectors then meet in its row.
+    A text such as "}" or "ENTRY" occurs in every graph, so common texts are looked up by
+    broadcast; a graph's vectors then meet in its row.
     """
-    # A text such as "}" or "ENTRY" occurs in every graph: dictionary rows repeat per salt.
-    salts = 32
-    salt = F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int")
-    wanted = statement_texts(graphs).withColumn("_salt", salt)
-    table = reduced.select("text", "reduced").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    found = wanted.join(table, ["text", "_salt"], "left").groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("id", "reduced"))).alias("_v")
-    )
+    found = join_lookup(statement_texts(graphs), reduced.select("text", "reduced"), "text").groupBy(
+        "sample_id"
+    ).agg(F.array_sort(F.collect_list(F.struct("id", "reduced"))).alias("_v"))
     rounded = F.transform("_v", lambda p: F.transform(p["reduced"], lambda x: F.bround(x.cast("double"), 4)))
     kept = F.map_filter("features", lambda k, _: k != EMBED_KEY)
     return (

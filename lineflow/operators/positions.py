@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+HOT_SHARE = 200
 
 
 def small_or_plain(df: DataFrame) -> DataFrame:
@@ -25,6 +26,23 @@ def small_or_plain(df: DataFrame) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row per key) although a few keys may hold most rows.
+
+    Fewer than ``HOT_SHARE`` keys can each hold more than one row in ``HOT_SHARE``: their
+    lookup rows are broadcast, so hot rows stay where they are, and the rest joins evenly.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.filter(F.col("n") * HOT_SHARE > total).select(key).collect()]
+    hot = [value for value in hot if value is not None]
+    if not hot:
+        return rows.join(lookup, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    near = rows.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), key, how)
+    return near.unionByName(rows.filter(~is_hot).join(lookup, key, how))
+
+
 def ranked(
     df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], name: str,
     max_buckets: int,

@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 
 from lineflow.config import SplitConfig
 from lineflow.functions import text
-from lineflow.operators.positions import BROADCAST_ROWS, ranked, small_or_plain
+from lineflow.operators.positions import BROADCAST_ROWS, join_lookup, ranked, small_or_plain
 from lineflow.schema import SPLITS
 
-SALTS = 32
-
 
 class LeakageError(AssertionError):
     """A commit or a function body appears in more than one split."""
@@ -40,8 +38,7 @@ def commits(graphs: DataFrame) -> DataFrame:
     per_cwe = graphs.groupBy(commit_key().alias("key"), "cwe").agg(
         F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first")
     )
-    # max_by keeps the last maximum on equal keys, so "first seen" is part of the key: ids
-    # sort like row positions, and the smaller one must win.
+    # Ids sort like row positions, so among equally common CWEs the smallest id was seen first.
     top = per_cwe.groupBy("key").agg(F.sum("n").alias("size"), F.max("n").alias("most"))
     tied = per_cwe.join(top, "key").filter("n = most")
     return tied.groupBy("key", "size").agg(F.min_by("cwe", "first").alias("stratum"))
@@ -118,15 +115,10 @@ def assign_commits(graphs: DataFrame, config: SplitConfig | None = None) -> Data
 
 
 def split_by_commit(graphs: DataFrame, config: SplitConfig | None = None) -> DataFrame:
-    """The graphs with their ``split``. One commit may hold very many graphs: its rows are
-    salted over tasks and the (small) commit rows repeated once per salt."""
-    homes = assign_commits(graphs, config).select("key", "split").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    rows = graphs.withColumn("key", commit_key()).withColumn(
-        "_salt", F.pmod(F.xxhash64("sample_id"), F.lit(SALTS)).cast("int")
-    )
-    return rows.join(homes, ["key", "_salt"]).drop("key", "_salt")
+    """The graphs with their ``split``. One commit may hold very many graphs, so the few
+    commits that do are looked up by broadcast."""
+    homes = assign_commits(graphs, config).select("key", "split")
+    return join_lookup(graphs.withColumn("key", commit_key()), homes, "key", "inner").drop("key")
 
 
 def source_hash() -> Column:

@@ -145,3 +145,14 @@ def test_positions_and_running_totals(spark):
 
     assert {r.g: r["median"] for r in medians(counts, "v", ["g"]).collect()} == {
         g: statistics.median(v for h, v in values if h == g) for g in "ab"}
+
+
+def test_join_with_hot_keys(spark):
+    from lineflow.operators.positions import join_lookup
+
+    rows = [("hot", i) for i in range(500)] + [(f"k{i % 300}", i) for i in range(600)] + [(None, 1), ("lone", 2)]
+    left = spark.createDataFrame(rows, "k string, i int")
+    right = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"v{i}") for i in range(300)], "k string, v string")
+    plain = left.join(right, "k", "left")
+    assert sorted(map(str, join_lookup(left, right, "k").collect())) == sorted(map(str, plain.collect()))
+    assert join_lookup(left, right, "k", "inner").count() == 1100
