@@ -5,22 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import quality, sql
+from lineflow.llm import pii, quality, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("_pii", lambda s: s["kind"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, k.name))).cast("long").alias(f"n_{k.name}")
+        for k in pii.KINDS
+    ]
+    return docs.select(
+        "doc_id", *counts,
+        F.sha2(pii.listed(pii.base_only(F.col("_pii"))), 256).alias("base_sha256"),
+        pii.listed(F.col("_pii")).alias("spans"),
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs).select("doc_id", "_quality.*").drop("n_lines")
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_quality": op4_quality,
 }
 
 ORACLE = {
+    "op1_pii": sql.OP1,
     "op4_quality": sql.OP4,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lineflow.llm import quality
+from lineflow.llm import pii, quality
 
 _STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
 
@@ -40,3 +40,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_st
        {quality.verdict_sql()} AS kept
 FROM m
 """
+
+
+# Patterns in the regex dialect of DuckDB, which needs no possessive runs.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_BARE = "replace(m, ' ', '')"
+_VALID = {
+    "email": "true",
+    "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3"
+          " OR coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) > 255)) = 0",
+    "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length({_DIGITS})),"
+            f" lambda i: CASE WHEN i % 2 = 1 THEN CAST(substring(reverse({_DIGITS}), i + 1, 1) AS INTEGER) * 2"
+            f" // 10 + CAST(substring(reverse({_DIGITS}), i + 1, 1) AS INTEGER) * 2 % 10"
+            f" ELSE CAST(substring(reverse({_DIGITS}), i + 1, 1) AS INTEGER) END)) % 10 = 0",
+    "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
+    "iban": f"length({_BARE}) BETWEEN 15 AND 34 AND CAST(array_to_string(list_transform(string_split("
+            f"substring({_BARE}, 5) || left({_BARE}, 4), ''), lambda c: CASE WHEN ascii(c) < 65 THEN c"
+            f" ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '') AS HUGEINT) % 97 = 1",
+    "ssn": "NOT regexp_matches(m, '^(000|666|9)|-00-|0000$') AND regexp_matches(near,"
+           " 'ssn|social security')",
+}
+
+
+def _spans_sql(kind: str, rank: int) -> str:
+    pattern = _PATTERNS[kind]
+    return f"""
+  SELECT rid, '{kind}' AS kind, {rank} AS rank, s, s + length(m) AS e, m, near FROM (
+    SELECT rid, ms[i] AS m, lower(right(ps[i], {pii.CONTEXT_CHARS})) AS near,
+      list_sum(list_transform(ps[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT rid, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS ps
+      FROM d) WHERE len(ms) > 0)
+  ) WHERE {_VALID[kind]}"""
+
+
+_ALL_SPANS = " UNION ALL ".join(_spans_sql(k, i) for i, k in enumerate(_PATTERNS))
+_SPAN = "kind || ':' || s || ':' || e"
+OP1 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+a AS ({_ALL_SPANS}),
+g AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PATTERNS)},
+    string_agg({_SPAN}, ',' ORDER BY s, rank) FILTER (rank < 4) AS base,
+    string_agg({_SPAN}, ',' ORDER BY s, rank) AS spans
+  FROM a GROUP BY rid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _PATTERNS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (rid)
+"""
