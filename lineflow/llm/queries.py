@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import pii, quality, sql
+from lineflow.llm import langid, pii, quality, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs).select("doc_id", "_quality.*").drop("n_lines")
 
 
+def _fold(folds: int) -> Column:
+    """The fold a document belongs to, from its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    model = langid.fit(docs.filter(~held_out & F.col("doc_id").isNotNull()))
+    found = docs.withColumn("_lang", langid.predicted(F.col("text"), model))
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("_lang.lang").alias("lang_pred"),
+        "_lang.score", "_lang.rejected",
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op4_quality": op4_quality,
+    "op8_language": op8_language,
 }
 
 ORACLE = {
