@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import langid, pii, quality, simhash, sql
+from lineflow.llm import langid, packing, pii, quality, simhash, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +53,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op4_quality": op4_quality,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_packing": op9_packing,
 }
 
 ORACLE = {
