@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import langid, packing, pii, quality, simhash, sql
+from lineflow.llm import langid, packing, pii, quality, simhash, sql, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,13 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.new_path(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfile.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, path).drop("ids")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.spelled(F.col("fp")).alias("fingerprint"), "component_id")
@@ -61,6 +68,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op4_quality": op4_quality,
+    "op6_tokenfile": op6_tokenfile,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_packing": op9_packing,

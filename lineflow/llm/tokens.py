@@ -17,6 +17,8 @@ from tokenizers import Tokenizer
 
 #: Pieces a worker process remembers; beyond it, the table starts anew.
 REMEMBERED = 600_000
+#: Longer pieces, in code points, are not remembered.
+LONG = 64
 
 _BEFORE_STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|$)")
 _OTHER_SPACE = re.compile(
@@ -59,6 +61,7 @@ def encoder(path: str, pieces: Callable[[str], list[str]]) -> Callable[[list[str
         for text in texts:
             parts = pieces(text)
             new = list({p for p in parts if p not in table})
+            long = {}
             if new:
                 if len(table) + len(new) > REMEMBERED:
                     table.clear()
@@ -66,8 +69,12 @@ def encoder(path: str, pieces: Callable[[str], list[str]]) -> Callable[[list[str
                 for piece, done in zip(
                     new, model.encode_batch_fast(new, add_special_tokens=False), strict=True
                 ):
-                    table[piece] = np.array(done.ids, dtype="<u4").tobytes()
-            out.append(b"".join([table[p] for p in parts]))
+                    ids = np.array(done.ids, dtype="<u4").tobytes()
+                    (table if len(piece) <= LONG else long)[piece] = ids
+            if long:
+                out.append(b"".join([table[p] if p in table else long[p] for p in parts]))
+            else:
+                out.append(b"".join([table[p] for p in parts]))
         return out
 
     return encode
