@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import langid, packing, pii, quality, simhash, sql, tokenfile
+from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return ids.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality(docs).select("doc_id", "_quality.*").drop("n_lines")
@@ -67,6 +79,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
     "op6_tokenfile": op6_tokenfile,
     "op7_simhash": op7_simhash,
