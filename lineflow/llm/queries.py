@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile
+from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Host, path and verdict of the rules that ``op10_url_rules`` judges by.
+URL_RULES = (
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+)
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urlrules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -85,9 +97,11 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
     "op9_packing": op9_packing,
+    "op10_url_rules": op10_url_rules,
 }
 
 ORACLE = {
     "op1_pii": sql.OP1,
     "op4_quality": sql.OP4,
+    "op10_url_rules": sql.OP10,
 }
