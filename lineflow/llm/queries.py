@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile, urlrules
+from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile, topk, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def _fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.new_path(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,6 +98,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op4_quality": op4_quality,
+    "op5_top_k": op5_top_k,
     "op6_tokenfile": op6_tokenfile,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
@@ -103,5 +109,6 @@ QUERIES = {
 ORACLE = {
     "op1_pii": sql.OP1,
     "op4_quality": sql.OP4,
+    "op5_top_k": sql.OP5,
     "op10_url_rules": sql.OP10,
 }
