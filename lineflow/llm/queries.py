@@ -6,13 +6,35 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile, topk, urlrules
+from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile, topk, toxicity, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(folds: int) -> Column:
+    """The fold a document belongs to, from its id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.new_path(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokenfile.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.read(spark, path).drop("ids")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.spelled(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("_pii", lambda s: s["kind"])
@@ -39,31 +61,21 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.quality(docs).select("doc_id", "_quality.*").drop("n_lines")
-
-
-def _fold(folds: int) -> Column:
-    """The fold a document belongs to, from its id as text."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-
-
-def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return topk.top_k(vectors, F.col("vec_id") % 50 == 0)
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = toxicity.fit(docs, labels)
+    scored = docs.withColumn("score", toxicity.score(F.col("text"), model))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
-def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenfile.new_path(spark)
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokenfile.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.read(spark, path).drop("ids")
-
-
-def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", simhash.spelled(F.col("fp")).alias("fingerprint"), "component_id")
+    return quality.quality(docs).select("doc_id", "_quality.*").drop("n_lines")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +109,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_top_k": op5_top_k,
     "op6_tokenfile": op6_tokenfile,
