@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineflow.llm.tokens import once_per_process
+
 DIM = 4096
 CLUSTERS = 4
 ROUNDS = 10
@@ -31,15 +33,12 @@ SLACK = 0.5
 UNKNOWN = "und"
 BLOCK = 256
 
-_LETTERS: list[np.ndarray] = []
-
 
 def _letters() -> np.ndarray:
     """Which code points are letters; made once per process."""
-    if not _LETTERS:
-        flags = [chr(c).isalpha() for c in range(0x110000)]
-        _LETTERS.append(np.array(flags))
-    return _LETTERS[0]
+    return once_per_process(
+        "letters", lambda: np.array([chr(c).isalpha() for c in range(0x110000)])
+    )
 
 
 def grams(text: str | None) -> np.ndarray | None:

@@ -37,6 +37,19 @@ EPOCHS = 2
 POPULATION = 4
 GENERATIONS = 12
 WELL_FILLED = 0.99
+#: Documents encoded together.
+TOGETHER = 256
+
+
+def _cut(names: pd.Series, coded: list[bytes], last: bytes, capacity: int) -> pd.DataFrame:
+    rows = []
+    for name, ids in zip(names, coded, strict=True):
+        ids += last
+        for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+            part = ids[at : at + 4 * capacity]
+            rows.append((name, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+    out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+    return out.astype({"id": names.dtype})
 
 
 def pieces(
@@ -46,18 +59,13 @@ def pieces(
     """(id, piece, start, length, ids_crc32) of every document's ids, end token included."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(tokenizer, tokens.bare_pieces)
+        encode = tokens.encoder(tokenizer, tokens.BARE)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch["text"]]
-            rows = []
-            for name, ids in zip(batch["id"], encode(texts), strict=True):
-                ids += last
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((name, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"id": batch["id"].dtype})
+            for at in range(0, len(batch), TOGETHER):
+                part = batch.iloc[at : at + TOGETHER]
+                coded = encode(["" if t is None else t for t in part["text"]])
+                yield _cut(part["id"], coded, last, capacity)
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return source.mapInPandas(

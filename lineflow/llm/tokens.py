@@ -1,80 +1,136 @@
 """Token ids of whole texts, as the tokenizer gives them, with each distinct piece encoded once.
 
 A text is cut where the tokenizer itself always cuts, whatever stands around: at single spaces
-between visible characters, and between a letter and a comma or full stop that ends a word.
-Pieces are looked up in a bounded table of a worker process and encoded by the tokenizer if
-new. Texts with any other white space than single spaces and line ends are not cut at all.
-Tests compare the results with encodings of whole texts.
+and line ends between visible characters, and between a letter and the comma or full stop that
+ends a word. Pieces are looked up in a bounded table of a worker process. New ones that are
+plain words, symbol runs or a word with a symbol run behind need no normalising and splitting
+and go straight to the tokenizer's merges; all others are encoded like texts. Texts with
+unusual white space are not cut at all. Tests compare the results with encodings of whole texts.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import struct
+import sys
 from collections.abc import Callable
+from types import ModuleType
+from typing import NamedTuple
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces a worker process remembers; beyond it, the table starts anew.
-REMEMBERED = 600_000
+#: Pieces a worker process remembers; beyond it a new table is begun, which takes over from the
+#: last one what still occurs.
+REMEMBERED = 250_000
 #: Longer pieces, in code points, are not remembered.
 LONG = 64
 
-_BEFORE_STOP = re.compile(r"(?<=[a-z\xdf-\xf6\xf8-\xff])([.,])(?=[ \n]|$)")
-_OTHER_SPACE = re.compile(
-    r"[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]"
-    r"|[ \n] | \n"
-)
+_BEFORE_STOP = re.compile(r"[.,](?<=[a-z\xdf-\xf6\xf8-\xff][.,])(?=[ \n]|$)")
+_LETTERS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]"
+_SYMBOLS = r"[!-&(-/:-@\[-`{-~]"
+_SPACED = re.compile(rf"( ?{_LETTERS}+)?( ?{_SYMBOLS}+)?")
+_BARE = re.compile(rf"({_LETTERS}+)?({_SYMBOLS}+)?")
 
-_LOADED: dict[str, Tokenizer] = {}
-_TABLES: dict[tuple, dict[str, bytes]] = {}
+
+
+def once_per_process(name: str, make: Callable[[], object]) -> object:
+    """``make()``, called once in each process under this name. The package's functions travel
+    to tasks by value, so their own globals would start anew with every task."""
+    held = sys.modules.setdefault("_lineflow_held", ModuleType("_lineflow_held")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
 
 
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer in a file, loaded once per process."""
-    if path not in _LOADED:
-        _LOADED[path] = Tokenizer.from_file(path)
-    return _LOADED[path]
+    # Spark already runs one task per core.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return once_per_process(f"tokenizer {path}", lambda: Tokenizer.from_file(path))
 
 
-def spaced_pieces(text: str) -> list[str]:
-    """Pieces for a tokenizer that keeps white space: each begins with the space before it."""
-    if _OTHER_SPACE.search(text) or text[:1] == " ":
+def _spaced_pieces(text: str) -> list[str]:
+    plain = text.replace("\n", "").isprintable()  # no white space but spaces and line ends
+    if not plain or text[:1] == " " or "  " in text or "\n " in text or " \n" in text:
         return [text]
-    # NUL marks the cut before a stop; texts that hold one are not cut.
-    cut = _BEFORE_STOP.sub("\0\\1", text).replace(" ", "\0 ")
+    # NUL marks the cuts; a text that holds one is not plain.
+    cut = _BEFORE_STOP.sub("\0\\g<0>", text).replace(" ", "\0 ")
+    if "\n\n" not in text:
+        cut = cut.replace("\n", "\0\n\0")
     return cut.split("\0")
 
 
-def bare_pieces(text: str) -> list[str]:
-    """Pieces for a tokenizer that drops white space."""
-    return [p for p in _BEFORE_STOP.sub(" \\1", text).replace("\n", " ").split(" ") if p]
+def _bare_pieces(text: str) -> list[str]:
+    return [p for p in _BEFORE_STOP.sub(" \\g<0>", text).replace("\n", " ").split(" ") if p]
+
+
+class Cutting(NamedTuple):
+    """How texts are cut into pieces, and which pieces are words and symbol runs."""
+
+    name: str
+    pieces: Callable[[str], list[str]]
+    plain: re.Pattern
+    lower: bool
+
+
+#: For a byte-level tokenizer that keeps white space.
+SPACED = Cutting("spaced", _spaced_pieces, _SPACED, False)
+#: For a byte-level tokenizer that lower-cases and drops white space.
+BARE = Cutting("bare", _bare_pieces, _BARE, True)
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level tokenizers write for each byte: visible ones for
+    themselves, the others, in order, from code point 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_characters()
+#: Latin-1 characters as the characters of their UTF-8 bytes.
+_SPELLED = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def _encoded(model: Tokenizer, cutting: Cutting, new: set[str]) -> dict[str, bytes]:
+    out: dict[str, bytes] = {}
+    rest = []
+    match, merges = cutting.plain.fullmatch, model.model.tokenize
+    for piece in new:
+        found = match(piece)
+        if not found:
+            rest.append(piece)
+            continue
+        ids: list[int] = []
+        for part in found.groups():
+            if part:
+                spelled = (part.lower() if cutting.lower else part).translate(_SPELLED)
+                ids += [token.id for token in merges(spelled)]
+        out[piece] = struct.pack(f"<{len(ids)}I", *ids)
+    for piece, done in zip(rest, model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+        out[piece] = struct.pack(f"<{len(done.ids)}I", *done.ids)
+    return out
 
 
-def encoder(path: str, pieces: Callable[[str], list[str]]) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str, cutting: Cutting) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids, as little-endian unsigned 32-bit integers."""
     model = tokenizer(path)
-    table = _TABLES.setdefault((path, pieces.__name__), {})
+    tables = once_per_process(f"ids {cutting.name} {path}", lambda: [{}, {}])
 
     def encode(texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            parts = pieces(text)
-            new = list({p for p in parts if p not in table})
-            long = {}
-            if new:
-                if len(table) + len(new) > REMEMBERED:
-                    table.clear()
-                    new = list(set(parts))
-                for piece, done in zip(
-                    new, model.encode_batch_fast(new, add_special_tokens=False), strict=True
-                ):
-                    ids = np.array(done.ids, dtype="<u4").tobytes()
-                    (table if len(piece) <= LONG else long)[piece] = ids
-            if long:
-                out.append(b"".join([table[p] if p in table else long[p] for p in parts]))
-            else:
-                out.append(b"".join([table[p] for p in parts]))
-        return out
+        if len(tables[0]) > REMEMBERED:
+            tables[:] = [{}, tables[0]]
+        table, older = tables
+        cut = [cutting.pieces(text) for text in texts]
+        new = set().union(*cut).difference(table)
+        again = new.intersection(older)
+        table.update((piece, older[piece]) for piece in again)
+        long = {}
+        for piece, ids in _encoded(model, cutting, new - again).items():
+            (table if len(piece) <= LONG else long)[piece] = ids
+        if not long:
+            return [b"".join([table[p] for p in parts]) for parts in cut]
+        return [b"".join([table[p] if p in table else long[p] for p in parts]) for parts in cut]
 
     return encode
