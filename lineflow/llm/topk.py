@@ -205,7 +205,7 @@ def top_k(
         ).applyInPandas(compare, scored)
 
     unknown = asked.withColumn("floors", F.lit(None).cast("binary"))
-    first_block = blocks.filter(F.col("block") == longest).withColumn("block", F.lit(0).cast("long"))
+    first_block = blocks.filter(F.col("block") <= longest).filter(F.col("block") >= longest)
     start = written(against(first_block, unknown))
 
     kth = start.groupBy("group", "query").agg(
