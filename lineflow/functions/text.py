@@ -95,7 +95,8 @@ def parse_flaw_lines(value: Column, kind: str = "string") -> Column:
 
 
 def parse_flaw_line_indices(value: Column, kind: str = "string") -> Column:
-    """Line indices from a release column; in text every digit run counts, signs do not."""
+    """Line indices from a release column; in text every digit run counts, signs do not. A run
+    beyond the integers becomes the largest one, so that the range filter drops it later."""
     none = F.array().cast("array<int>")
     if kind.startswith("array"):
         return F.coalesce(value.cast("array<int>"), none)
@@ -104,7 +105,8 @@ def parse_flaw_line_indices(value: Column, kind: str = "string") -> Column:
             F.array(value.cast("int"))
         )
     runs = F.regexp_extract_all(value, F.lit(r"([0-9]+)"), F.lit(1))
-    return F.coalesce(F.transform(runs, lambda run: run.cast("int")), none)
+    most = F.lit(2**31 - 1)
+    return F.coalesce(F.transform(runs, lambda run: F.coalesce(run.try_cast("int"), most)), none)
 
 
 def escape_label(text: Column) -> Column:

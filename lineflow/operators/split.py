@@ -20,6 +20,7 @@ from lineflow.config import SplitConfig
 from lineflow.functions import text
 from lineflow.operators.positions import BROADCAST_ROWS, join_lookup, ranked, small_or_plain
 from lineflow.schema import SPLITS
+from lineflow.session import written
 
 
 class LeakageError(AssertionError):
@@ -114,11 +115,17 @@ def assign_commits(graphs: DataFrame, config: SplitConfig | None = None) -> Data
     )
 
 
-def split_by_commit(graphs: DataFrame, config: SplitConfig | None = None) -> DataFrame:
+def split_by_commit(
+    graphs: DataFrame, config: SplitConfig | None = None, check: bool = True
+) -> DataFrame:
     """The graphs with their ``split``. One commit may hold very many graphs, so the few
-    commits that do are looked up by broadcast."""
-    homes = assign_commits(graphs, config).select("key", "split")
-    return join_lookup(graphs.withColumn("key", commit_key()), homes, "key", "inner").drop("key")
+    commits that do are looked up by broadcast. A body that would land in several splits is
+    an error; ``check=False`` leaves it to the caller to look for ``leaks``."""
+    homes = written(assign_commits(graphs, config).select("key", "split"))
+    placed = join_lookup(graphs.withColumn("key", commit_key()), homes, "key", "inner").drop("key")
+    if check:
+        check_no_leakage(placed)
+    return placed
 
 
 def source_hash() -> Column:

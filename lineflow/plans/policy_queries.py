@@ -1,68 +1,21 @@
-"""Policies, projections, the classifier and run bookkeeping over the driver tables."""
+"""Projections, the classifier and run bookkeeping over the driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lineflow.config import RewardConfig
-from lineflow.operators import metrics, rollout, traces
+from lineflow.operators import metrics
 from lineflow.operators.classifier import NodeClassifier
 from lineflow.operators.embeddings import fit_projection, project, statement_texts
 from lineflow.operators.ranking import top_k_accuracy
 from lineflow.operators.split import split_by_commit
 from lineflow.plans.corpus_queries import SQL_CORPUS, _rounded
-from lineflow.plans.graph_queries import SQL_FLAT, graph_sql
+from lineflow.plans.graph_queries import graph_sql
 from lineflow.plans.views import PROSE_LEXICON, corpus, graphs, table
 from lineflow.session import written_once
 from lineflow.sources.files import attach_background, collect_runs
 
 
-def _policy(spark, sf, name, seeds=(0,)):
-    return _rounded(rollout.evaluate_policy(graphs(spark, sf), rollout.POLICIES[name](), name, seeds=seeds))
-
-
-def oracle_policy_episodes(spark, sf):
-    return _policy(spark, sf, "oracle")
-
-
-def random_policy_episodes(spark, sf):
-    return _policy(spark, sf, "random", (0, 1))
-
-
-def declare_immediately_episodes(spark, sf):
-    return _policy(spark, sf, "declare_immediately")
-
-
-def never_declare_episodes(spark, sf):
-    return _policy(spark, sf, "never_declare")
-
-
-def shaped_returns(spark, sf):
-    """Unshaped and shaped return of the oracle policy."""
-    rows = rollout.rollouts(graphs(spark, sf), rollout.OraclePolicy(), reward=RewardConfig(shaping=True))
-    return rows.select(
-        "sample_id", F.round("rollout.cumulative_reward", 6).alias("plain"),
-        F.round("rollout.shaped_return", 6).alias("shaped"),
-    )
-
-
-def _first_valid(observation, mask):
-    """A stand-in for a trained model: declare where allowed, else the first valid action."""
-    options = [a for a, ok in enumerate(mask) if ok]
-    chosen = options[-1]
-    share = 1.0 / len(options)
-    return chosen, [share if ok else 0.0 for ok in mask], float(observation.mean())
-
-
-def predict_traces(spark, sf):
-    """Traces of a predict callable with options and values, trimmed for display."""
-    rows = rollout.policy_traces(graphs(spark, sf), rollout.PredictPolicy(_first_valid), "model")
-    shown = traces.trace_payload(rows).select("graph_id", F.size("steps").alias("steps"), F.inline("steps"))
-    return rows.select("graph_id", F.size("steps").alias("actions")).join(
-        shown.groupBy("graph_id").agg(F.sum(F.size("options")).alias("options"), F.avg("value").alias("value")), "graph_id"
-    )
-
-
 def embedding_projection(spark, sf):
     """Vectors projected to eight squashed components; means by label."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
@@ -127,25 +80,12 @@ def best_evaluations(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        oracle_policy_episodes, random_policy_episodes, declare_immediately_episodes,
-        never_declare_episodes, shaped_returns, predict_traces, embedding_projection,
-        distinct_statements, classifier_top_k, function_background, run_collection,
+        embedding_projection, distinct_statements, classifier_top_k, function_background, run_collection,
         best_evaluations,
     )
 }
 
 ORACLE = {
-    "oracle_policy_episodes": graph_sql(
-        "SELECT 'oracle' AS method, CAST(0 AS INTEGER) AS seed, 'val' AS split, k.sample_id AS graph_id, c.project, c.cwe, CAST(s.n AS INTEGER) AS num_nodes,"
-        " CAST((SELECT count(*) FROM label l WHERE l.ordinal = k.ordinal) AS INTEGER) AS num_vuln, CAST(d.d AS INTEGER) AS dist_to_vuln,"
-        " CAST(least(200, 4 * s.n) AS INTEGER) AS max_steps, d.d < least(200, 4 * s.n) AS success, d.d < least(200, 4 * s.n) AS first_declare_correct,"
-        " CAST(least(d.d, least(200, 4 * s.n)) + 1 AS INTEGER) AS nodes_inspected,"
-        " CAST(CASE WHEN d.d < least(200, 4 * s.n) THEN d.d + 1 ELSE least(200, 4 * s.n) END AS INTEGER) AS actions_taken,"
-        " round(CASE WHEN d.d < least(200, 4 * s.n) THEN -0.01::DOUBLE * d.d + 1 ELSE -0.01::DOUBLE * least(200, 4 * s.n) - 0.5 END, 6) AS cumulative_reward,"
-        " CAST(CASE WHEN d.d <= least(200, 4 * s.n) THEN d.d END AS INTEGER) AS first_hit_step,"
-        " CASE WHEN d.d < least(200, 4 * s.n) THEN 'correct' ELSE 'timeout' END AS end_reason"
-        " FROM kept k JOIN corpus c USING (ordinal) JOIN size s USING (ordinal) JOIN dist d USING (ordinal)", SQL_FLAT
-    ),
     "distinct_statements": graph_sql(
         "SELECT md5(CASE WHEN kind IN ('ENTRY', 'EXIT') OR code = '' THEN kind ELSE code END) AS text_md5, count(*) AS uses FROM node GROUP BY 1"
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,11 +31,14 @@ def local_session(cores: str = "*", partitions: int = 8, **settings: str) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for intermediate tables; only where it names none,
-    as in tests, a temporary one."""
+    """The shared folder the cluster names for intermediate tables. A local master may name
+    none, as in tests, and gets a temporary one; a cluster has to name one that all executors
+    share."""
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lineflow-")
         context.setCheckpointDir(named)
     return named

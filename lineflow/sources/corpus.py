@@ -74,7 +74,9 @@ def canonicalise(raw: DataFrame, ordinal: str = "ordinal") -> DataFrame:
         string("project").alias("project"),
         string("commit_id").alias("commit_id"),
         text.normalise_cwe(source("cwe")).alias("cwe"),
-        F.coalesce(source("vul").try_cast("double").cast("int"), F.lit(0)).alias("vul"),
+        F.coalesce(
+            F.nanvl(source("vul").try_cast("double"), F.lit(0.0)).try_cast("int"), F.lit(0)
+        ).alias("vul"),
         string("func_before").alias("func_before"),
         (string("func_after") if "func_after" in mapping else F.lit("")).alias("func_after"),
         (

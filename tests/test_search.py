@@ -3,10 +3,9 @@ import pytest
 from conftest import diamond, line, loop, switch, tree
 from pyspark.sql import functions as F
 
-from lineflow.config import EnvConfig, RewardConfig
-from lineflow.operators import metrics, rollout, search, traces
+from lineflow.config import EnvConfig
+from lineflow.operators import metrics, search, traces
 from lineflow.operators.features import with_heuristic_score
-from lineflow.operators.synthetic import synthetic_graphs
 
 
 def orders(graphs, name, **options):
@@ -48,99 +47,24 @@ def test_line_order_budget(make_graphs):
     assert cut.cumulative_reward == pytest.approx(-0.07 - 0.5)
 
 
-class Walker:
-    """Drives the state machine the way a walk says, declaring when the rule fires."""
-
-    def __init__(self, rule, walk):
-        self.rule, self.walk = rule, walk
-
-    def act(self, episode, rng):
-        key = episode.row["id"]
-        declare = episode.env.k + 1
-        if self.rule[key][episode.node] and episode.mask()[declare]:
-            return declare
-        slots = self.walk[key]
-        moves = episode.t - len(episode.declared)
-        if moves >= len(slots):
-            return None
-        slot = slots[moves]
-        return episode.env.k if slot < 0 else slot
-
-
-def play(row, walker, env):
-    episode = rollout.Episode(row, env, RewardConfig())
-    exhausted = False
-    while not episode.end_reason:
-        action = walker.act(episode, None)
-        if action is None:
-            exhausted = True
-            break
-        episode.step(action)
-    return (
-        episode.success, sum(v > 0 for v in episode.visits), episode.t,
-        round(episode.total + (-0.5 if exhausted else 0.0), 6), episode.first_hit,
-        "exhausted" if exhausted else episode.end_reason,
-        episode.declared[-1] if episode.declared else None,
-    )
-
-
-@pytest.mark.parametrize("name", ["dfs", "random_walk"])
-@pytest.mark.parametrize("declares,back,per_node,threshold", [
-    (1, True, 4.0, None), (3, True, 4.0, 0.1), (5, True, 0.7, 0.05), (2, False, 4.0, 0.1), (1, False, 1.0, None)])
-def test_walk_scores_match_stepping(spark, name, declares, back, per_node, threshold):
-    """Closed-form scoring of walks against taking every action one by one."""
-    env = EnvConfig(max_declares=declares, allow_backtrack=back, max_steps_per_node=per_node)
-    scored = with_heuristic_score(synthetic_graphs(spark, 40, seed=4))
-    rows = search.run_evaluation(scored, [name], env=env, seeds=(3,), threshold=threshold, episodes=False).collect()
-    for r in rows:
-        row = {
-            "id": r.sample_id, "n": len(r.nodes), "u": [s.u for s in r.slots], "v": [s.v for s in r.slots],
-            "entry": r.entry, "labelled": r.labelled, "statement": r.statement, "max_steps": r.max_steps}
-        expected = play(row, Walker({r.sample_id: r.fires}, {r.sample_id: r.path.slots}), env)
-        got = (r.success, r.nodes_inspected, r.actions_taken, round(r.cumulative_reward, 6),
-               r.first_hit_step, r.end_reason, r.declared_node)
-        assert got == expected, r.sample_id
-        if name == "dfs" and back:
-            assert len(r.path.slots) <= 2 * len(r.nodes)
-
-
-def test_policies(spark):
-    graphs = synthetic_graphs(spark, 30, seed=2)
-    oracle = rollout.evaluate_policy(graphs, rollout.OraclePolicy(), "oracle").collect()
-    assert all(r.success and r.actions_taken == r.dist_to_vuln + 1 for r in oracle)
-    never = rollout.evaluate_policy(graphs, rollout.NeverDeclarePolicy(), "never").collect()
-    assert all(r.end_reason == "timeout" and r.actions_taken == r.max_steps for r in never)
-    some = rollout.evaluate_policy(graphs, rollout.RandomPolicy(), "random", seeds=(0, 1))
-    assert sorted(some.collect()) == sorted(some.collect())
-    first = rollout.evaluate_policy(graphs, rollout.DeclareImmediatelyPolicy(), "now").collect()
-    assert all(r.actions_taken == 2 for r in first)
-
-
-def test_predict_callable_and_traces(spark, make_graphs):
-    def sees_248(observation, mask):
-        assert observation.shape == (248,) and 0.0 <= observation.min() and observation.max() <= 1.0
-        return int(np.flatnonzero(mask)[-1]), [0.5] * len(mask), 0.25
-
-    assert rollout.observation_dim(EnvConfig()) == 248
-    rows = rollout.policy_traces(make_graphs(diamond(), loop()), rollout.PredictPolicy(sees_248), "model")
-    checked = rows.withColumn("problem", traces.trace_problem()).collect()
-    assert all(r.problem is None and r.steps[0].probs == [0.5] * 8 for r in checked)
-    shown = traces.trace_payload(rows).first()
-    assert shown.steps[0].options[0].p == 0.5 and shown.steps[0].value == 0.25
-
-
-def test_masks_and_dead_ends(make_graphs):
-    row = {"id": "g", "n": 3, "u": [0, 1], "v": [1, 2], "entry": 0, "labelled": [False] * 3,
-           "statement": [False, True, False], "max_steps": 9}
-    env = EnvConfig(allow_backtrack=False)
-    episode = rollout.Episode(row, env, RewardConfig())
-    with pytest.raises(rollout.InvalidActionError):
-        episode.step(3)
-    assert episode.mask() == [True] + [False] * 7
-    episode.step(0)
-    assert episode.step(0) == pytest.approx(-0.51) and episode.end_reason == "dead_end"
-    lenient = rollout.Episode(row, EnvConfig(strict_masks=False), RewardConfig())
-    assert lenient.step(5) == pytest.approx(-0.01) and lenient.node == 0
+# What each graph's walk with backtracking does up to its declaration, counted by hand:
+# success, nodes inspected, actions, return before revisits, declared node.
+WALKS = {
+    "line3": (True, 4, 4, 0.97, 3),
+    "loop": (True, 4, 4, 0.97, 3),
+    "diamond": (True, 6, 9, 0.92, 3),
+}
+
+
+def test_depth_first_walks_by_hand(make_graphs):
+    got = orders(make_graphs(line(3, vuln=3), loop(), diamond()), "dfs")
+    for name, (success, nodes, actions, _, declared) in WALKS.items():
+        r = got[name]
+        assert (r.success, r.nodes_inspected, r.actions_taken, r.declared_node) == (success, nodes, actions, declared), name
+    assert got["line3"].cumulative_reward == pytest.approx(0.97)
+
+
+def test_refused_evaluations(make_graphs):
     with pytest.raises(search.TestSplitError):
         search.run_evaluation(make_graphs(loop()), ["bfs"], split="test")
     with pytest.raises(ValueError, match="unknown baseline"):
@@ -155,8 +79,23 @@ def test_random_order_is_fair(make_graphs):
     assert abs(np.mean(places) - 3.5) < 0.3 and set(places) == {1, 2, 3, 4, 5, 6}
 
 
-def test_threshold_curve(spark):
-    scored = with_heuristic_score(synthetic_graphs(spark, 30, seed=6))
+CODE = ["", "if (n > 3)", "memcpy(a, b, n);", "x = y[i] + 1;", "strcpy(d, s);", "return;", "p->q = 0;", "", ""]
+CALLS = [[], [], ["memcpy"], [], ["strcpy"], [], [], [], []]
+
+
+def scored_graphs(make_graphs):
+    """Small graphs of every shape, with code that scores differently."""
+    specs = []
+    for i, make in enumerate((line, loop, diamond, tree, lambda **m: switch(3, **m)) * 4):
+        spec = make(vuln=2 + i % 2)
+        n = len(spec["kinds"])
+        turn = [(k + i) % 9 for k in range(n)]
+        specs.append(spec | {"id": f"g{i}", "code": [CODE[k] for k in turn], "calls": [CALLS[k] for k in turn]})
+    return with_heuristic_score(make_graphs(*specs))
+
+
+def test_threshold_curve(make_graphs):
+    scored = scored_graphs(make_graphs)
     curve = search.threshold_curve(scored, "line_order", (0.05, 0.2, 0.99)).orderBy("threshold").collect()
     for r in curve:
         one = search.run_evaluation(scored, ["line_order"], threshold=r.threshold)
@@ -195,10 +134,10 @@ def test_replay(spark, make_graphs):
     assert bad.select(traces.trace_problem().alias("p")).first().p == "steps not consecutive"
 
 
-def test_traces_of_searches_replay_to_their_outcome(spark, tmp_path):
+def test_traces_of_searches_replay_to_their_outcome(spark, make_graphs, tmp_path):
     from lineflow.sources import records
 
-    graphs = with_heuristic_score(synthetic_graphs(spark, 20, seed=9))
+    graphs = scored_graphs(make_graphs)
     for name, threshold in (("dfs", None), ("dfs", 0.1), ("bfs", 0.1), ("random_walk", None)):
         rows = traces.search_traces(graphs, name, threshold=threshold)
         state = traces.replay(rows, 10_000).withColumnRenamed("graph_id", "g")

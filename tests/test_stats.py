@@ -2,10 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lineflow.config import CurriculumConfig, EnvConfig, FilterConfig, SplitConfig, apply_overrides, checkpoint_seed, from_dict
+from lineflow.config import FilterConfig, SplitConfig, configured, read_config
 from lineflow.operators import metrics, split, stats
 from lineflow.schema import EPISODE_DDL
-from lineflow.streaming.curriculum import Curriculum, curriculum_caps
 
 
 def episode(method="m", seed=0, graph="g", success=True, **more):
@@ -49,21 +48,30 @@ def test_seeds(spark):
     assert r.seeds == 2 and r.success_rate_mean == 0.75 and r.success_rate_std == 0.25
 
 
-def test_bootstrap_paths(spark):
+def test_bootstrap_tree(spark):
     rng = np.random.default_rng(0)
-    values = rng.random(50)
-    draws = np.random.default_rng(0).integers(50, size=(10_000, 50))
-    expected = np.quantile(values[draws].mean(axis=1), [0.025, 0.975])
-    assert stats.bootstrap_ci(values)[1:] == pytest.approx(tuple(expected), abs=1e-12)
-    with pytest.raises(ValueError):
-        stats.bootstrap_ci([])
     sample = np.round(rng.gamma(2.0, 3.0, size=3000), 2)
-    df = spark.createDataFrame([("a", f"g{i:05d}", float(v)) for i, v in enumerate(sample)], "m string, graph_id string, value double")
-    small = stats.grouped_bootstrap(df, ["m"], n_resamples=2000).first()
-    large = stats.grouped_bootstrap(df, ["m"], n_resamples=2000, one_task=100).first()
-    spread = small.high - small.low
-    assert large.mean == pytest.approx(small.mean) and large.graphs == 3000
-    assert abs(large.low - small.low) < 0.1 * spread and abs(large.high - small.high) < 0.1 * spread
+    draws = np.random.default_rng(1).integers(3000, size=(2000, 3000))
+    expected = np.quantile(sample[draws].mean(axis=1), [0.025, 0.975])
+    df = spark.createDataFrame(
+        [("a", f"g{i:05d}", float(v)) for i, v in enumerate(sample)] + [("b", "g", 2.0), ("b", "h", None)],
+        "m string, graph_id string, value double")
+    spread = expected[1] - expected[0]
+    for leaf in (5000, 100, 5):  # no inner node, one level, three levels
+        rows = {r.m: r for r in stats.grouped_bootstrap(df, ["m"], n_resamples=2000, leaf_values=leaf).collect()}
+        a = rows["a"]
+        assert a.mean == pytest.approx(sample.mean()) and a.graphs == 3000
+        assert abs(a.low - expected[0]) < 0.1 * spread and abs(a.high - expected[1]) < 0.1 * spread
+        assert tuple(rows["b"])[1:] == (2.0, 2.0, 2.0, 1)
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    df = spark.range(500).selectExpr("'a' AS m", "string(id) AS graph_id", "double(id * id % 97) AS value")
+    got = {tuple(stats.grouped_bootstrap(d, ["m"], n_resamples=300, leaf_values=10).first())
+           for d in (df.coalesce(1), df.repartition(7), df.orderBy("value"))}
+    assert len({tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in got}) == 1
+    with pytest.raises(ValueError):
+        stats.grouped_bootstrap(df, ["m"], confidence=1.0)
 
 
 def outcomes(spark, a, b, nodes=None):
@@ -124,35 +132,12 @@ def test_split_keeps_commits_whole(spark):
         split.check_no_leakage(leaky)
 
 
-def test_configs():
+def test_configs(tmp_path):
     with pytest.raises(ValueError, match="sum to 1"):
         SplitConfig(0.5, 0.1, 0.1)
-    with pytest.raises(ValueError, match="unknown keys"):
-        from_dict(FilterConfig, {"nope": 1})
-    with pytest.raises(ValueError, match="unknown features"):
-        EnvConfig(masked_features=("nope",))
-    assert checkpoint_seed("runs/x/seed3/m.zip", 0) == 3 and checkpoint_seed("x", 7) == 7
-    assert apply_overrides({"env": EnvConfig()}, ["env.k=4"])["env"].k == 4
-
-
-def test_curriculum_stream(spark, tmp_path):
-    sizes, counts = [10, 15, 20, 25, 30, 40, 60, 90], [1] * 8
-    config = CurriculumConfig(enabled=True, window=4)
-    run = Curriculum(sizes, counts, config)
-    assert (run.cap, run.eligible) == (20, 3)
-    wins = [True, True, False, True, True, True, True] + [True] * 12
-    expected = []
-    for win in wins:
-        run.report(win)
-        expected.append((run.cap, run.eligible))
-    assert run.finished or run.cap > 30
-    for part in range(3):
-        rows = [("r", i, w) for i, w in enumerate(wins) if part * 7 <= i < part * 7 + 7][::-1]
-        spark.createDataFrame(rows, "run string, episode long, success boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("run string, episode long, success boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = curriculum_caps(stream, sizes, counts, config).writeStream.format("memory").queryName("caps").outputMode(
-        "append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = [(r.cap, r.eligible) for r in spark.table("caps").orderBy("episode").collect()]
-    assert got == expected
+    with pytest.raises(ValueError, match="takes"):
+        configured(FilterConfig, {"nope": 1})
+    (tmp_path / "c.json").write_text('{"filter": {"min_lines": 7}}')
+    assert read_config(FilterConfig, tmp_path / "c.json", "filter").min_lines == 7
+    (tmp_path / "e.json").write_text("")
+    assert read_config(FilterConfig, tmp_path / "e.json") == FilterConfig()
