@@ -255,12 +255,11 @@ src AS MATERIALIZED (
   SELECT s.ordinal, s.sample_id, s.num_lines, l.i + 1 AS line, l.x, length(l.x) AS size,
          length(l.x) - length(replace(l.x, ',', '')) AS commas,
          NOT regexp_matches(l.bare, '{S_TRIVIAL}') AS code
-  FROM survivors s JOIN corpus_lines l USING (ordinal)
-  WHERE NOT contains(s.func_before, '###')),
+  FROM survivors s JOIN corpus_lines l USING (ordinal)),
 pl0 AS (
   SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY line) AS k,
          count(*) OVER (PARTITION BY ordinal) AS m
-  FROM src WHERE code AND line > 1 AND size % 10 <> 7),
+  FROM src WHERE code AND line > 1),
 spans AS (SELECT ordinal, line FROM pl0 WHERE size % 19 = 0),
 pl1 AS (
   SELECT p.*, CASE WHEN o.line IS NULL AND b.line IS NOT NULL THEN p.line - 1 ELSE p.line END AS canon
@@ -347,7 +346,7 @@ aligned AS MATERIALIZED (
   GROUP BY ALL),
 cand AS MATERIALIZED (
   SELECT s.ordinal, s.sample_id, a.exit, a.num_lines,
-    CASE WHEN contains(s.func_before, '###') THEN 'not_parsed' WHEN a.ordinal IS NULL THEN 'no_statements'
+    CASE WHEN a.ordinal IS NULL THEN 'no_statements'
          WHEN c.coverage < 0.6 THEN 'low_coverage' WHEN b.id IS NULL THEN 'exit_unreachable'
          WHEN a.mapped = 0 THEN 'no_flaw_on_node' WHEN a.seen = 0 THEN 'flaw_unreachable'
          WHEN a.exit + 1 < 5 THEN 'too_few_nodes' WHEN a.exit + 1 > 300 THEN 'too_many_nodes' END AS reason
@@ -407,14 +406,14 @@ ORACLE = {
                len(regexp_extract_all(l.x, '([A-Za-z]+),', 1)) + CASE size % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END
                + CASE WHEN size % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN size % 2 = 0 THEN 1 ELSE 0 END AS chain
         FROM corpus c JOIN corpus_lines l USING (ordinal)
-        WHERE NOT regexp_matches(l.bare, '{S_TRIVIAL}') AND l.i >= 1 AND size % 10 <> 7)
+        WHERE NOT regexp_matches(l.bare, '{S_TRIVIAL}') AND l.i >= 1)
         SELECT c.sample_id, 'src/' || c.sample_id || CASE WHEN length(c.func_before) % 3 = 0 THEN '.cpp' ELSE '.c' END AS file, 'f' AS name,
           CAST(2 + coalesce(sum(1 + chain), 0) + CASE WHEN length(c.func_before) % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS flow_nodes,
           CAST(coalesce(sum(chain), 0) + CASE WHEN count(p.k) > 0 THEN 1 ELSE 0 END + coalesce(sum(CASE WHEN p.k IS NULL THEN 0 WHEN size % 11 = 0 THEN 1 ELSE 1
             + CASE WHEN commas >= 1 AND size % 3 = 0 THEN 1 ELSE 0 END
             + CASE WHEN regexp_matches(p.x, '^[AEIOUaeiou]') AND size % 3 = 1 THEN 1 ELSE 0 END
             + CASE WHEN size % 7 = 0 AND commas >= 2 THEN commas ELSE 0 END END), 0) AS INTEGER) AS flow_edges
-        FROM corpus c LEFT JOIN p USING (sample_id) WHERE NOT contains(c.func_before, '###')
+        FROM corpus c LEFT JOIN p USING (sample_id)
         GROUP BY c.sample_id, c.func_before""",
     "line_graph_nodes": graph_sql(
         "SELECT f.sample_id, CAST(n.id AS INTEGER) AS id, CAST(n.line AS INTEGER) AS line, n.kind, md5(n.code) AS code_md5,"

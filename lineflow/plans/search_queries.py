@@ -102,7 +102,7 @@ def step_table(spark, sf):
 
 def replay_fold(spark, sf):
     """Where the depth-first replays stand after all their steps."""
-    rows = traces.replay(traces.search_traces(graphs(spark, sf), "dfs"), 1_000)
+    rows = traces.replay(traces.search_traces(graphs(spark, sf), "dfs"))
     return rows.select(
         "graph_id", "current", F.size("visits").alias("visited"), F.size("stack").alias("depth"),
         F.array_join(F.col("declared").cast("array<string>"), ",").alias("declared"),

@@ -32,7 +32,7 @@ def random_split_leaks(spark, sf):
     rows = graphs(spark, sf)
     third = F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")),
                          (F.conv(F.substring(F.md5(F.col("sample_id").cast("binary")), 1, 2), 16, 10).cast("int") % 3) + 1)
-    return split.leaks(rows.withColumn("split", third)).filter("kind = 'commit'").select("key", "splits")
+    return split.leaks(rows.withColumn("split", third))
 
 
 def split_summary(spark, sf):
@@ -71,13 +71,19 @@ home AS MATERIALIZED (SELECT m.sample_id, m.cwe, m.key, d.split FROM member m JO
 """
 
 ORACLE = {
+    "split_summary": graph_sql(
+        "SELECT split, count(*) AS graphs, round_even(count(*) / (SELECT count(*) FROM home), 4) AS share,"
+        " count(DISTINCT key) AS commits, (SELECT '{' || string_agg('\"' || cwe || '\":' || n, ',' ORDER BY cwe) || '}'"
+        " FROM (SELECT cwe, count(*) AS n FROM home i WHERE i.split = h.split GROUP BY cwe)) AS by_cwe"
+        " FROM home h GROUP BY split", _DEAL
+    ),
     "commit_strata": graph_sql("SELECT key, stratum, CAST(size AS BIGINT) AS size FROM commit", _COMMITS),
     "split_by_commit": graph_sql("SELECT sample_id, split FROM home", _DEAL),
     "split_leaks": graph_sql(
         "SELECT 'commit' AS kind, key, min(split) || ',' || max(split) AS splits FROM home GROUP BY key HAVING min(split) <> max(split)", _DEAL
     ),
     "random_split_leaks": graph_sql(
-        "SELECT key, min(s) || ',' || max(s) AS splits FROM (SELECT key, ['train', 'val', 'test'][CAST('0x' || substr(md5(sample_id), 1, 2) AS INTEGER) % 3 + 1] AS s FROM member)"
+        "SELECT 'commit' AS kind, key, min(s) || ',' || max(s) AS splits FROM (SELECT key, ['train', 'val', 'test'][CAST('0x' || substr(md5(sample_id), 1, 2) AS INTEGER) % 3 + 1] AS s FROM member)"
         " GROUP BY key HAVING min(s) <> max(s)", _COMMITS,
     ),
 }

@@ -92,8 +92,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each parsed line is a chain of expression nodes (its first word, the words before commas
     as calls, operators by its length) with flow to the next line; its content decides about
-    branches, loops, switches, returns and merged lines. Text with ``###`` does not parse, and
-    lines whose length ends in 7 are left out of the parse. Every file also holds a second,
+    branches, loops, switches, returns and merged lines. Every file also holds a second,
     empty method, and every function is parsed as C and as C++.
     """
     code = F.col("func_before")
@@ -102,7 +101,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.arrays_zip(text.lines_of(code).alias("x"), text.code_line_mask(code).alias("m")),
             lambda s, i: F.struct((i + 1).cast("int").alias("line"), s["x"].alias("x"), s["m"].alias("m")),
         ),
-        lambda s: s["m"] & (s["line"] > 1) & (F.length(s["x"]) % 10 != 7),
+        lambda s: s["m"] & (s["line"] > 1),
     )
 
     def facts(s, i):
@@ -124,7 +123,6 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = (
         corpus(spark, sf_dir)
-        .filter(~F.contains("func_before", F.lit("###")))
         .withColumn("_lines", settled(F.transform(listed, facts)))
         .withColumn("_m", F.size("_lines").cast("bigint"))
     )
@@ -133,7 +131,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     expand = f"""
         transform(_lines, r -> concat(
           array(named_struct('id', r.{head}, 'label', 'IDENTIFIER', 'line', r.line,
-                'name', regexp_extract(r.x, '([A-Za-z]+)', 1), 'code', left(r.x, 200))),
+                'name', regexp_extract(r.x, '([A-Za-z]+)', 1), 'code', r.x)),
           transform(r.names, (w, j) -> named_struct('id', r.{head} + j + 1, 'label', 'CALL',
                 'line', r.line, 'name', w, 'code', w)),
           IF(r.returns, array(named_struct('id', r.{head} + size(r.names) + 1, 'label', 'RETURN',
