@@ -235,22 +235,3 @@ def random_walk(
         slots.append(slot)
         nodes.append(path[-1])
     return {"nodes": nodes, "slots": slots}
-
-
-@row_kernel(INTS)
-def shortest_route(n: int, u: list[int], v: list[int], entry: int, goals: list[int]) -> list[int]:
-    """Nodes of a shortest forward path to the nearest goal, earlier slots preferred; empty
-    if none is reachable."""
-    out, came, wanted = targets(n, u, v), {entry: entry}, set(goals)
-    order = [entry]
-    for node in order:
-        if node in wanted:
-            route = [node]
-            while route[-1] != entry:
-                route.append(came[route[-1]])
-            return route[::-1]
-        for b in out[node]:
-            if b not in came:
-                came[b] = node
-                order.append(b)
-    return []

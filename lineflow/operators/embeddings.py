@@ -16,9 +16,7 @@ from lineflow.operators.features import EMBED_DIM, EMBED_KEY
 from lineflow.operators.positions import join_lookup
 
 # --- Fixed values -----------------------------------------------------------------------
-MAX_TOKENS = 64
 BATCH_TEXTS = 64
-MIN_SCALE = 1e-8
 # ----------------------------------------------------------------------------------------
 
 

@@ -13,17 +13,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineflow.session import written
+
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 200
+BUCKET_ROWS = 50_000  # distinct values that one task sorts, on average
 
 
 def small_or_plain(df: DataFrame) -> DataFrame:
-    """``df`` as a broadcast of its collected rows if it has at most ``BROADCAST_ROWS``, else
-    unchanged: joins with it are then shuffled like any other."""
-    rows = df.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    """``df``, written once, with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows:
+    joins with a larger one are shuffled like any other."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def join_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -96,18 +97,21 @@ def value_cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
 
 
 def running_totals(
-    df: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (), buckets: int = 256
+    df: DataFrame, value: str, totals: Sequence[str], by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """For one row per distinct ``value`` (within ``by``), add ``<total>_before``, the sum over
-    smaller values, and ``<total>_all``, the sum over all."""
+    smaller values, and ``<total>_all``, the sum over all. The number of buckets follows from
+    the number of rows."""
     by = list(by)
-    cuts = value_cuts(df, value, buckets)
+    df = written(df)
+    buckets = 1 + df.count() // bucket_rows
+    cuts = value_cuts(df, value, buckets) if buckets > 1 else []
     edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
     bucket = F.size(F.filter(edges, lambda e: e < F.col(value)))
     rows = df.withColumn("_bucket", bucket)
     group = Window.partitionBy(*by)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``buckets`` rows per group from here on.
+    # One row per group and bucket from here on.
     sums = rows.groupBy(*by, "_bucket").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
     offsets = sums.select(
         *by, "_bucket",

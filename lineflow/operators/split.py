@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lineflow.config import SplitConfig
 from lineflow.functions import text
-from lineflow.operators.positions import BROADCAST_ROWS, join_lookup, ranked, small_or_plain
+from lineflow.operators.positions import BROADCAST_ROWS, BUCKET_ROWS, join_lookup, ranked, small_or_plain
 from lineflow.schema import SPLITS
 from lineflow.session import written
 
@@ -95,15 +95,18 @@ def assign_commits(graphs: DataFrame, config: SplitConfig | None = None) -> Data
     hash of the seed and the commit, so the outcome needs no global permutation."""
     config = config or SplitConfig()
     shares = list(config.ratios)
-    groups = commits(graphs).withColumn(
+    groups = written(commits(graphs).withColumn(
         "at", F.md5(F.concat_ws(":", F.lit(str(config.seed)), "key").cast("binary"))
-    )
+    ))
     sizes = groups.groupBy("stratum", "size").agg(F.count(F.lit(1)).alias("m"))
     states = sizes.groupBy("stratum").applyInPandas(
         partial(_fold_sizes, shares=shares), "stratum string, size long, total long, counts array<long>"
     )
-    # Hash prefixes follow the hash order and spread commits of one size over 4096 tasks.
-    bucket = F.conv(F.substring("at", 1, 3), 16, 10).cast("int")
+    # Hash prefixes follow the hash order; they are as long as the number of commits asks.
+    count, digits = groups.count(), 1
+    while count > BUCKET_ROWS * 16**digits:
+        digits += 1
+    bucket = F.conv(F.substring("at", 1, digits), 16, 10).cast("long")
     placed = ranked(groups, ["stratum", "size"], bucket, [F.col("at"), F.col("key")], "rank", BROADCAST_ROWS + 1)
 
     @F.pandas_udf("string")

@@ -13,14 +13,8 @@ CANONICAL_COLUMNS = (
     "sample_id", "project", "commit_id", "cwe", "vul",
     "func_before", "func_after", "flaw_lines", "flaw_line_indices",
 )
-END_REASONS = ("correct", "wrong_declare", "timeout", "dead_end", "exhausted")
 # ----------------------------------------------------------------------------------------
 
-FUNC_DDL = (
-    "sample_id string, project string, commit_id string, cwe string, vul int, func_before string,"
-    " func_after string, flaw_lines array<string>, flaw_line_indices array<int>"
-)
-
 NODE_DDL = (
     "struct<id:int,line:int,kind:string,code:string,depth:int,in_loop:boolean,"
     "calls:array<string>,ops:array<string>>"

@@ -138,7 +138,7 @@ def test_positions_and_running_totals(spark):
     values = [(g, float(v)) for g in "ab" for v in rng.choices(range(60), k=301)]
     vals = spark.createDataFrame(values, "g string, v double")
     counts = vals.groupBy("g", "v").agg(F.count("*").alias("n"))
-    for r in running_totals(counts, "v", ["n"], ["g"], buckets=7).collect():
+    for r in running_totals(counts, "v", ["n"], ["g"], bucket_rows=17).collect():
         mine = [v for g, v in values if g == r.g]
         assert (r.n_before, r.n_all) == (sum(v < r.v for v in mine), len(mine))
     import statistics
@@ -156,3 +156,15 @@ def test_join_with_hot_keys(spark):
     plain = left.join(right, "k", "left")
     assert sorted(map(str, join_lookup(left, right, "k").collect())) == sorted(map(str, plain.collect()))
     assert join_lookup(left, right, "k", "inner").count() == 1100
+
+
+def test_broken_labels_and_long_digit_runs(spark):
+    from lineflow.functions import text
+    from lineflow.sources.corpus import canonicalise
+
+    assert spark.sql("SELECT '2,99999999999,x7' AS v").select(
+        text.parse_flaw_line_indices(F.col("v")).alias("i")).first().i == [2, 2**31 - 1, 7]
+    for value in ("'nan'", "double('NaN')", "'1e300'", "''", "NULL"):
+        raw = spark.sql(
+            f"SELECT 0L AS ordinal, 'p' AS project, 'c' AS commit_id, 'CWE-1' AS `CWE ID`, {value} AS vul, 'f' AS func_before, 'f' AS func_after")
+        assert canonicalise(raw, "ordinal").first().vul == 0

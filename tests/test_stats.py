@@ -141,3 +141,12 @@ def test_configs(tmp_path):
     assert read_config(FilterConfig, tmp_path / "c.json", "filter").min_lines == 7
     (tmp_path / "e.json").write_text("")
     assert read_config(FilterConfig, tmp_path / "e.json") == FilterConfig()
+
+
+def test_split_refuses_a_body_in_two_splits(spark, make_graphs):
+    from conftest import line
+
+    specs = [line(3, commit=f"c{i}", cwe="CWE-119") | {"id": f"g{i}"} for i in range(40)]
+    with pytest.raises(split.LeakageError):
+        split.split_by_commit(make_graphs(*specs))
+    assert split.split_by_commit(make_graphs(*specs), check=False).count() == 40
