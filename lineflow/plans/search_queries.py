@@ -137,10 +137,25 @@ _ORDERS = {
     " FROM node, (VALUES (0), (1), (2)) s(seed)",
     # Among shortest paths the queue prefers the smallest sequence of slots.
     "bfs": "SELECT ordinal, 0 AS seed, id, row_number() OVER (PARTITION BY ordinal ORDER BY depth, path) - 1 AS p FROM wave",
+    # A walk stands on nodes more than once; m counts the different ones so far.
+    "dfs": "SELECT ordinal, 0 AS seed, node AS id, t AS p, len(met) AS m FROM walk",
 }
-_WAVES = """, slotted AS MATERIALIZED (
+_SLOTTED = """, slotted AS MATERIALIZED (
   SELECT e.ordinal, e.u, e.v, row_number() OVER (PARTITION BY e.ordinal, e.u ORDER BY n.line, e.v) AS r
-  FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v),
+  FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v)"""
+# Step by step: to the first successor not met, else back along the path.
+_WALK = _SLOTTED + """, leads AS MATERIALIZED (
+  SELECT ordinal, u, list(v ORDER BY r) AS vs FROM slotted GROUP BY ALL),
+walk(ordinal, t, node, path, met) AS (
+  SELECT ordinal, 0, 0, [0], [0] FROM kept
+  UNION ALL
+  SELECT ordinal, t + 1, coalesce(nx, path[len(path) - 1]),
+    CASE WHEN nx IS NULL THEN path[1:len(path) - 1] ELSE list_append(path, nx) END,
+    CASE WHEN nx IS NULL THEN met ELSE list_append(met, nx) END
+  FROM (SELECT w.*, CAST(list_filter(l.vs, lambda x: NOT list_contains(w.met, x))[1] AS INTEGER) AS nx
+        FROM walk w LEFT JOIN leads l ON l.ordinal = w.ordinal AND l.u = w.node)
+  WHERE nx IS NOT NULL OR len(path) > 1)"""
+_WAVES = _SLOTTED + """,
 wave(ordinal, id, depth, path) USING KEY (ordinal, id) AS (
   SELECT ordinal, 0, 0, '' FROM kept
   UNION
@@ -152,7 +167,14 @@ wave(ordinal, id, depth, path) USING KEY (ordinal, id) AS (
 
 def _search_cte(name: str, rules: str) -> str:
     """Outcomes ``ep`` of one order under every declare rule of ``rules(ordinal, id, rule)``."""
-    return f"""{SQL_FLAT}{SQL_SCORES}{_WAVES if name == 'bfs' else ''},
+    walks = name == "dfs"
+    # The node reached with the last step of an order is inspected, but no hit.
+    hit = "hit" if walks else "hit AND p < cap"
+    seen = (
+        "y.m AS inspected FROM ep0 e JOIN vis y ON y.ordinal = e.ordinal AND y.seed = e.seed AND y.p = e.moves"
+        if walks else "moves + 1 AS inspected FROM ep0 e"
+    )
+    return f"""{SQL_FLAT}{SQL_SCORES}{ {'bfs': _WAVES, 'dfs': _WALK}.get(name, '')},
 vis AS MATERIALIZED ({_ORDERS[name]}),
 fire AS MATERIALIZED ({rules}),
 rules AS (SELECT DISTINCT rule FROM fire),
@@ -162,13 +184,14 @@ o AS (SELECT v.ordinal, v.seed, r.rule, v.id, v.p, c.n, c.cap, f.id IS NOT NULL
   LEFT JOIN fire f ON f.ordinal = v.ordinal AND f.id = v.id AND f.rule = r.rule
   LEFT JOIN label l ON l.ordinal = v.ordinal AND l.id = v.id),
 ends AS (SELECT ordinal, seed, rule, n, cap, count(*) AS len, min(p) FILTER (fires AND p < cap) AS d,
-  min(p) FILTER (hit AND p < cap) AS h FROM o GROUP BY ALL),
-ep AS (SELECT e.*, k.sample_id, coalesce(x.hit, false) AS success,
+  min(p) FILTER ({hit}) AS h FROM o GROUP BY ALL),
+ep0 AS (SELECT e.*, k.sample_id, coalesce(x.hit, false) AS success,
   coalesce(d, CASE WHEN len > e.cap THEN e.cap ELSE len - 1 END) AS moves,
   CASE WHEN d IS NULL THEN -0.5 WHEN x.hit THEN 1.0 ELSE -0.5 END AS final,
   CASE WHEN d IS NOT NULL THEN CASE WHEN x.hit THEN 'correct' ELSE 'wrong_declare' END WHEN len > e.cap THEN 'timeout' ELSE 'exhausted' END AS end_reason
   FROM ends e JOIN kept k USING (ordinal)
-  LEFT JOIN o x ON x.ordinal = e.ordinal AND x.seed = e.seed AND x.rule = e.rule AND x.p = e.d)"""
+  LEFT JOIN o x ON x.ordinal = e.ordinal AND x.seed = e.seed AND x.rule = e.rule AND x.p = e.d),
+ep AS (SELECT e.*, {seen})"""
 
 
 _ORACLE_RULE = "SELECT ordinal, id, 0 AS rule FROM label"
@@ -186,10 +209,10 @@ def _episode_sql(name: str, rules: str, label: str) -> str:
         f"SELECT '{label}' AS method, CAST(seed AS INTEGER) AS seed, 'val' AS split, ep.sample_id AS graph_id, c.project, c.cwe,"
         " CAST(n AS INTEGER) AS num_nodes, CAST((SELECT count(*) FROM label l WHERE l.ordinal = ep.ordinal) AS INTEGER) AS num_vuln,"
         " CAST(coalesce(dist.d, -1) AS INTEGER) AS dist_to_vuln, CAST(cap AS INTEGER) AS max_steps, success,"
-        " success AS first_declare_correct, CAST(moves + 1 AS INTEGER) AS nodes_inspected,"
+        " success AS first_declare_correct, CAST(inspected AS INTEGER) AS nodes_inspected,"
         " CAST(CASE WHEN ep.d IS NULL THEN moves ELSE moves + 1 END AS INTEGER) AS actions_taken,"
         " round(moves * -0.01::DOUBLE + final, 6) AS cumulative_reward,"
-        " CAST(CASE WHEN ep.d IS NULL OR h <= ep.d THEN h END AS INTEGER) AS first_hit_step, end_reason"
+        " CAST(CASE WHEN h <= moves THEN h END AS INTEGER) AS first_hit_step, end_reason"
         " FROM ep JOIN corpus c USING (ordinal) LEFT JOIN dist USING (ordinal)",
         _search_cte(name, rules),
     )
@@ -198,7 +221,7 @@ def _episode_sql(name: str, rules: str, label: str) -> str:
 def _curve_sql(name: str, tail: str = "") -> str:
     return graph_sql(
         f"SELECT '{name}' AS method, 'heuristic' AS scorer, rule AS threshold, round(avg(CAST(success AS INT)), 6) AS success_rate,"
-        " round(avg(CAST(d IS NOT NULL AS INT)), 6) AS declared_rate, round(avg(moves + 1), 6) AS nodes_inspected,"
+        " round(avg(CAST(d IS NOT NULL AS INT)), 6) AS declared_rate, round(avg(inspected), 6) AS nodes_inspected,"
         f" round(avg(moves * -0.01::DOUBLE + final), 6) AS cumulative_reward FROM ep WHERE seed = 0 GROUP BY rule{tail}",
         _search_cte(name, _GRID_RULE),
     )
