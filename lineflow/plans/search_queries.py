@@ -139,6 +139,7 @@ _ORDERS = {
     "bfs": "SELECT ordinal, 0 AS seed, id, row_number() OVER (PARTITION BY ordinal ORDER BY depth, path) - 1 AS p FROM wave",
     # A walk stands on nodes more than once; m counts the different ones so far.
     "dfs": "SELECT ordinal, 0 AS seed, node AS id, t AS p, len(met) AS m FROM walk",
+    "heuristic_first": "SELECT ordinal, 0 AS seed, node AS id, t AS p FROM best",
 }
 _SLOTTED = """, slotted AS MATERIALIZED (
   SELECT e.ordinal, e.u, e.v, row_number() OVER (PARTITION BY e.ordinal, e.u ORDER BY n.line, e.v) AS r
@@ -155,6 +156,20 @@ walk(ordinal, t, node, path, met) AS (
   FROM (SELECT w.*, CAST(list_filter(l.vs, lambda x: NOT list_contains(w.met, x))[1] AS INTEGER) AS nx
         FROM walk w LEFT JOIN leads l ON l.ordinal = w.ordinal AND l.u = w.node)
   WHERE nx IS NOT NULL OR len(path) > 1)"""
+# Step by step: the frontier's highest score, then the earlier line, then the smaller id.
+_BEST = """, leads AS MATERIALIZED (
+  SELECT e.ordinal, e.u, list({'low': -s.score, 'line': n.line, 'id': e.v}) AS vs
+  FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v JOIN score s ON s.ordinal = e.ordinal AND s.id = e.v
+  GROUP BY ALL),
+best(ordinal, t, node, front, met) AS (
+  SELECT k.ordinal, 0, 0, (SELECT vs[1:0] FROM leads LIMIT 1), [0] FROM kept k
+  UNION ALL
+  SELECT ordinal, t + 1, nx.id, list_filter(ahead, lambda x: x.id <> nx.id), list_concat(met, list_transform(new, lambda x: x.id))
+  FROM (SELECT *, list_sort(ahead)[1] AS nx FROM (
+    SELECT *, list_concat(front, new) AS ahead FROM (
+      SELECT b.*, coalesce(list_filter(l.vs, lambda x: NOT list_contains(b.met, x.id)), b.front[1:0]) AS new
+      FROM best b LEFT JOIN leads l ON l.ordinal = b.ordinal AND l.u = b.node)))
+  WHERE nx IS NOT NULL)"""
 _WAVES = _SLOTTED + """,
 wave(ordinal, id, depth, path) USING KEY (ordinal, id) AS (
   SELECT ordinal, 0, 0, '' FROM kept
@@ -174,7 +189,7 @@ def _search_cte(name: str, rules: str) -> str:
         "y.m AS inspected FROM ep0 e JOIN vis y ON y.ordinal = e.ordinal AND y.seed = e.seed AND y.p = e.moves"
         if walks else "moves + 1 AS inspected FROM ep0 e"
     )
-    return f"""{SQL_FLAT}{SQL_SCORES}{ {'bfs': _WAVES, 'dfs': _WALK}.get(name, '')},
+    return f"""{SQL_FLAT}{SQL_SCORES}{ {'bfs': _WAVES, 'dfs': _WALK, 'heuristic_first': _BEST}.get(name, '')},
 vis AS MATERIALIZED ({_ORDERS[name]}),
 fire AS MATERIALIZED ({rules}),
 rules AS (SELECT DISTINCT rule FROM fire),
@@ -227,7 +242,14 @@ def _curve_sql(name: str, tail: str = "") -> str:
     )
 
 
-ORACLE = {}
+# A back edge leads to a node on the path that its source was reached by.
+ORACLE = {
+    "back_edges": graph_sql(
+        "SELECT DISTINCT k.sample_id, CAST(e.u AS INTEGER) AS u, CAST(e.v AS INTEGER) AS v FROM edge e JOIN kept k USING (ordinal)"
+        " JOIN walk w ON w.ordinal = e.ordinal AND w.node = e.u WHERE list_contains(w.path, e.v)",
+        SQL_FLAT + _WALK.replace("ORDER BY n.line, e.v", "ORDER BY e.v"),
+    )
+}
 for _name in _ORDERS:
     ORACLE[f"{_name}_episodes"] = _episode_sql(_name, _ORACLE_RULE, _name)
     ORACLE[f"{_name}_heuristic_episodes"] = _episode_sql(
