@@ -234,10 +234,12 @@ def near_duplicates(
     linked = written(distinct.join(roots, "fp").select("fp", "root", "first"))
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(firsts, "root").select("fp", "root", "component_id")
-    facts = distinct.join(named, "fp", "left").select(
+    # Written, so that the join below has a plain shuffle on both sides and a fingerprint with
+    # very many copies can be split over tasks.
+    facts = written(distinct.join(named, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("group"),
         F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    ))
     return prints.join(facts, "fp").select(id, "fp", "group", "component_id")
 
 
