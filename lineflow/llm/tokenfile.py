@@ -102,7 +102,7 @@ def write(
     width = 2 if max(vocabulary, end + 1) <= 1 << 16 else 4
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokens.encoder(tokenizer, tokens.spaced_pieces)
+        encode = tokens.encoder(tokenizer, tokens.SPACED)
         last = np.array([end], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()
         number, before = 0, 0
