@@ -1,17 +1,18 @@
 """Byte-level BPE over a whole corpus, every distinct word encoded once.
 
 Texts are split into pre-tokens; a document is its words by position. Consecutive documents
-form blocks, and each distinct word of a block is one row (block, word, its number there), so
-a frequent word is counted in before anything is shuffled and no word has more rows than there
-are blocks. The rows meet by word in one shuffle, sorted: equal words are neighbours, the
-first is encoded and its ids go to all of them. The ids travel back to their blocks, where the
-documents, as positions of word numbers, are put together again. Decoding looks every id up in
-the table of token bytes, which is as large as the vocabulary.
-
-Word rows and positions come from the same scan, evaluated once for each. A block's name is a
-hash of what it holds; should the two evaluations ever see other documents in other order, the
-names differ and the job fails rather than mixing them up. ``docs`` must therefore be a table
-or another reproducible frame.
+form blocks, and a block sends each of its distinct words once, packed by the part of the
+vocabulary that the word's hash chooses. So a frequent word is counted in before anything is
+shuffled, and there are as many rows as blocks times parts. A part gathers its words from all
+blocks, encodes each distinct one once and answers every block with the ids of the words it
+sent, in the same order. The answers are joined back to the block, where the documents, as
+positions of word numbers, are put together again. Decoding looks every id up in the table of
+token bytes, which is as large as the vocabulary.
+
+Words and positions come from the same scan, evaluated once for each. A block's name is a hash
+of what it holds; should the two evaluations ever see other documents in other order, the names
+differ and the job fails rather than mixing them up. ``docs`` must therefore be a table or
+another reproducible frame.
 
 Defined results: NULL and empty texts have no ids. Repeated rows are encoded like any other;
 rows without an id keep their place. An empty table gives an empty result. A block ends after
@@ -21,6 +22,7 @@ rows without an id keep their place. An empty table gives an empty result. A blo
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,12 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 32_000_000
-BLOCK_DOCS = 100_000
-WORD_ROWS = 20_000
+from lineflow.llm.tokens import once_per_process
 
-_LOADED: dict[tuple[str, str], tiktoken.Encoding] = {}
-_BYTES: dict[str, list[bytes]] = {}
+BLOCK_CHARS = 16_000_000
+BLOCK_DOCS = 100_000
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -49,22 +49,25 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = tiktoken.Encoding(
+    """The encoding of a rank file, made once per process."""
+    return once_per_process(
+        f"encoding {path} {pattern}",
+        lambda: tiktoken.Encoding(
             "own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={}
-        )
-    return _LOADED[path, pattern]
+        ),
+    )
+
+
+def _by_id(known: dict[bytes, int]) -> list[bytes]:
+    table = [b""] * (max(known.values()) + 1)
+    for token, number in known.items():
+        table[number] = token
+    return table
 
 
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of every id, by id; one entry per token of the vocabulary."""
-    if path not in _BYTES:
-        known = ranks(path)
-        table = [b""] * (max(known.values()) + 1)
-        for token, number in known.items():
-            table[number] = token
-        _BYTES[path] = table
-    return _BYTES[path]
+    return once_per_process(f"bytes {path}", lambda: _by_id(ranks(path)))
 
 
 def squeezed(numbers: list[int]) -> bytes:
@@ -73,9 +76,22 @@ def squeezed(numbers: list[int]) -> bytes:
     return zlib.compress(octets.T.tobytes(), 1)
 
 
-def unsqueezed(data: bytes) -> list[int]:
+def unsqueezed(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).tolist()
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def packed(items: list[bytes]) -> bytes:
+    """Byte strings behind their lengths, compressed."""
+    sizes = np.fromiter(map(len, items), dtype="<u4", count=len(items))
+    return zlib.compress(struct.pack("<I", len(items)) + sizes.tobytes() + b"".join(items), 1)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    data = zlib.decompress(data)
+    n = struct.unpack_from("<I", data)[0]
+    ends = (4 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
 class _Block:
@@ -98,6 +114,11 @@ class _Block:
         if self.keep:
             self.positions.append(squeezed(numbers))
 
+    def parts(self, parts: int) -> np.ndarray:
+        """The vocabulary part of every word, by word number."""
+        hashes = (zlib.crc32(word.encode("utf-8")) for word in self.numbers)
+        return np.fromiter(hashes, dtype=np.int64, count=len(self.numbers)) % parts
+
     @property
     def name(self) -> int:
         value = self.digest.intdigest()
@@ -124,53 +145,68 @@ def encode(
     """(id, ids) of every document: its ids as little-endian unsigned 32-bit integers."""
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches, pattern, keep=False):
             known = list(block.numbers)
-            for at in range(0, len(known), WORD_ROWS):
-                part = known[at : at + WORD_ROWS]
-                yield pd.DataFrame({
-                    "block": block.name, "number": range(at, at + len(part)), "word": part,
-                }).astype({"number": "int32"})
+            part = block.parts(parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+            rows = [
+                (block.name, p, packed([known[i].encode() for i in order[a:b]]))
+                for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b
+            ]
+            yield pd.DataFrame(rows, columns=["block", "part", "words"])
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches, pattern, keep=True):
             yield pd.DataFrame({
-                "block": block.name, "at": range(len(block.names)),
-                "id": pd.array(block.names, dtype="Int64"), "positions": block.positions,
-            }).astype({"at": "int32"})
+                "block": block.name, "at": range(-1, len(block.names)),
+                "id": pd.array([None, *block.names], dtype="Int64"),
+                "positions": [squeezed(block.parts(parts)), *block.positions],
+            })
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = encoding(rank_file, pattern)
-        last, ids = None, b""
+        part, known = None, {}
         for batch in batches:
-            out = []
-            for word in batch["word"]:
-                if word != last:
-                    last = word
-                    ids = np.array(model.encode_ordinary(word), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": batch["block"], "number": batch["number"], "ids": out})
-
-    def together(key: tuple, docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        table = [b""] * (int(known["number"].max()) + 1 if len(known) else 0)
-        for number, ids in zip(known["number"], known["ids"], strict=True):
-            table[number] = ids
+            for row in batch.itertuples():
+                if row.part != part:
+                    part, known = row.part, {}
+                sent = unpacked(row.words)
+                for word in set(sent).difference(known):
+                    known[word] = np.array(model.encode_ordinary(word.decode()), dtype="<u4").tobytes()
+                yield pd.DataFrame({
+                    "block": [row.block], "part": [row.part],
+                    "ids": [packed([known[word] for word in sent])],
+                })
+
+    def together(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         docs = docs.sort_values("at")
-        numbers = map(unsqueezed, docs["positions"])
-        try:
-            ids = [b"".join(map(table.__getitem__, n)) for n in numbers]
-        except IndexError:
-            raise RuntimeError("the documents changed between two scans; write them first") from None
-        return pd.DataFrame({"id": docs["id"].astype("Int64"), "ids": ids})
-
-    by_word = (
-        source.mapInPandas(words, "block long, number int, word string")
-        .repartition("word").sortWithinPartitions("word")
-        .mapInPandas(encoded, "block long, number int, ids binary")
+        # Blocks that hold the same documents share a name, and everything else.
+        docs, heads = docs[docs["at"] >= 0], docs[docs["at"] < 0]
+        part = unsqueezed(heads["positions"].iloc[0])
+        ids = [x for answer in answers.drop_duplicates("part").sort_values("part")["ids"] for x in unpacked(answer)]
+        if len(ids) != len(part):
+            raise RuntimeError("the documents changed between two scans; write them first")
+        table = np.empty(len(part), dtype=object)
+        table[np.argsort(part, kind="stable")] = ids
+        table = table.tolist()
+        return pd.DataFrame({
+            "id": docs["id"].astype("Int64"),
+            "ids": [
+                b"".join(map(table.__getitem__, unsqueezed(p).tolist())) for p in docs["positions"]
+            ],
+        })
+
+    by_part = (
+        source.mapInPandas(words, "block long, part int, words binary")
+        .repartition("part").sortWithinPartitions("part")
+        .mapInPandas(encoded, "block long, part int, ids binary")
     )
     by_doc = source.mapInPandas(positions, "block long, at int, id long, positions binary")
-    joined = by_doc.groupBy("block").cogroup(by_word.groupBy("block"))
+    joined = by_doc.groupBy("block").cogroup(by_part.groupBy("block"))
     return joined.applyInPandas(together, "id long, ids binary").withColumnRenamed("id", id)
 
 
