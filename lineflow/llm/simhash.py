@@ -21,6 +21,10 @@ the shared folder, so lost executors cost one step.
 Defined results: NULL, empty and blank texts have fingerprint zero and link like any other.
 Rows without an id take part, but never name a component; a component of such rows only has
 a NULL id. Repeated rows share their component.
+
+The fingerprints take 3 words and link within two bits. Texts that are alike by a given share
+of their shingles differ in far more of 64 bits; a ``Similar`` rule links those instead, by
+the shingles themselves (``nearcopies``).
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from lineflow.llm import nearcopies
 from lineflow.session import written
 
 SHINGLE = 3
@@ -224,13 +229,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", cell_rows: int = CELL_ROWS
+    docs: DataFrame, id: str = "doc_id", text: str = "text", cell_rows: int = CELL_ROWS,
+    rule: nearcopies.Similar | None = None,
 ) -> DataFrame:
     """(id, fp, group, component_id) per row: the fingerprint, the fingerprint that stands for
-    its component, and the component's smallest id."""
-    prints = written(docs.select(F.col(id), fingerprint(F.col(text)).alias("fp")))
-    distinct = prints.groupBy("fp").agg(F.min(id).alias("first"))
-    roots = components(links(distinct, cell_rows)).withColumnRenamed("v", "fp")
+    its component, and the component's smallest id. With a ``rule``, ``fp`` is the hash of the
+    shingle set and links follow the rule."""
+    if rule is None:
+        prints = written(docs.select(F.col(id), fingerprint(F.col(text)).alias("fp")))
+        distinct = prints.groupBy("fp").agg(F.min(id).alias("first"))
+        linked_by = links(distinct, cell_rows)
+    else:
+        sketched = docs.select(F.col(id), nearcopies.sketch(F.col(text), rule.size).alias("_s"))
+        prints = written(sketched.select(F.col(id), "_s.*"))
+        distinct = prints.groupBy("fp").agg(F.min(id).alias("first"))
+        sketches = prints.groupBy("fp").agg(F.min("n").alias("n"), F.first("bands").alias("bands"))
+        linked_by = nearcopies.links(docs, text, sketches, rule, components)
+    roots = components(linked_by).withColumnRenamed("v", "fp")
     linked = written(distinct.join(roots, "fp").select("fp", "root", "first"))
     firsts = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     named = linked.join(firsts, "root").select("fp", "root", "component_id")
@@ -243,9 +258,12 @@ def near_duplicates(
     return prints.join(facts, "fp").select(id, "fp", "group", "component_id")
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", rule: nearcopies.Similar | None = None
+) -> DataFrame:
     """One row of ``docs`` per component: the one with the smallest id."""
-    found = written(near_duplicates(docs, id, text))
+    found = written(near_duplicates(docs, id, text, rule=rule))
+    own = fingerprint(F.col(text)) if rule is None else nearcopies.key(F.col(text), rule.size)
     heads = found.filter(F.col(id) == F.col("component_id")).groupBy(id).agg(
         F.count(F.lit(1)).alias("_heads")
     )
@@ -257,7 +275,7 @@ def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     groups = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(
         F.col(id).alias("_id"), F.col("fp").alias("_fp"), F.col("group").alias("_group")
     ).distinct()
-    odd = odd.withColumn("_print", fingerprint(F.col(text))).join(
+    odd = odd.withColumn("_print", own).join(
         groups, (F.col("_fp") == F.col("_print")) & F.col("_id").eqNullSafe(F.col(id))
     )
     return single.select(docs.columns).unionByName(

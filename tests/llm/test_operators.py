@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lineflow.llm import bpe, langid, packing, pii, quality, simhash, tokenfile, tokens, topk, toxicity, urlrules
 
 LONG = "word " * 60_000
@@ -294,6 +295,39 @@ def test_one_of_each(spark):
     assert found.count() == 0
 
 
+def test_pipeline_drops_texts_alike_by_five_words(spark):
+    rng = np.random.default_rng(11)
+    texts, edits = [], [(60, 1), (200, 1), (200, 4), (500, 5), (500, 12), (2000, 20)]
+    for n, changes in [*edits * 5, *[(300, 40)] * 5]:
+        words = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        copy = list(words)
+        for at in rng.choice(n, changes, replace=False):
+            copy[at] = f"v{at}"
+        texts += [" ".join(words), " ".join(copy)]
+    # A chain of neighbours whose ends are not alike, and copies of one text beyond its letter case.
+    words = [f"c{i}" for i in range(300)]
+    texts += [" ".join(words[i * 20 : 200 + i * 20]) for i in range(5)]
+    texts += [texts[0].upper(), None, "", "two words"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").lower().split()) else set()
+            for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    heads = {i for i in range(len(texts)) if root(i) == i}
+    assert len(texts) - len(heads) > 25
+    kept = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, frame(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(heads)
+
+
 # Language
 
 
