@@ -1,16 +1,18 @@
 """Toxicity by weak supervision.
 
 Voters look at a text: lexicon voters fire on a word or a word beginning, pattern voters on
-shouting, exclamation and repetition. The lexicon is drawn from training rows: entries that
-toxic texts hold far more often than others. A generative label model takes the label as
+shouting, exclamation and repetition. The lexicon is drawn from counts over all training rows:
+entries that toxic texts hold far more often than others, and more often than chance would
+give to one of all entries tried. The ``OWN_COLUMNS`` most frequent are voters and features of
+their own, all others share ``POOLS`` of them, by their odds. A generative label model takes the label as
 hidden; expectation maximisation estimates how often each voter fires on toxic and on clean
 texts, starting from and tempered by the rates in the training rows, and how strongly voters
 agree beyond what the label explains, by which correlated voters share their weight. A linear
 classifier is then trained on the model's posterior labels, put on the scale of the training
 labels by one slope and one shift, and scores every text.
 
-Learning reads at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash of their ids;
-scoring reads every whole text. Neither language, source nor id is an input of a score.
+Label model and classifier read at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash
+of their ids; scoring reads every whole text. Neither language, source nor id is an input of a score.
 
 Defined results: NULL and empty texts are scored as texts in which no voter fires. Without a
 toxic and a clean training row nothing can be learned and every score is 0. Repeated rows get
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from lineflow.session import written
 
 TRAIN_ROWS = 20_000
-MAX_ENTRIES = 400
-MIN_SHARE = 0.005
+OWN_COLUMNS = 400
+POOLS = 16
 MIN_DOCS = 4
 MIN_ODDS = 20.0
 STEMS = (4, 5, 6)
@@ -43,6 +45,8 @@ ROUNDS = 4
 #: Weight of the training rates in the label model, as a number of documents.
 PRIOR_DOCS = 2000.0
 HELD_ENTRIES = 1_000_000
+#: Up to so many labels go to the texts; more meet them by id.
+BROADCAST_ROWS = 1_000_000
 
 _WORD = re.compile(r"\w+")
 PATTERNS = ("shouting", "exclaiming", "repeating")
@@ -71,9 +75,13 @@ class ToxicityModel(NamedTuple):
     weights: np.ndarray
     bias: float
 
+    @property
+    def columns(self) -> int:
+        return 1 + max(self.entries.values(), default=-1)
+
     def features(self, texts: list) -> np.ndarray:
-        """Per text: log counts of each entry, log count of all, the patterns."""
-        k = len(self.entries)
+        """Per text: log counts of each column's entries, log count of all, the patterns."""
+        k = self.columns
         out = np.zeros((len(texts), k + 1 + len(PATTERNS)), dtype=np.float32)
         get = self.entries.get
         for i, text in enumerate(texts):
@@ -148,38 +156,75 @@ def linear_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds:
     return w
 
 
-def _count(known: frozenset | None):
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents per entry and label, counted within the task."""
+    held: tuple[Counter, Counter] = (Counter(), Counter())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple[Counter, Counter] = (Counter(), Counter())
-
-        def out() -> pd.DataFrame:
-            names = list(set(held[0]) | set(held[1]))
-            return pd.DataFrame({
-                "entry": pd.Series(names, dtype=object), "clean": [held[0][n] for n in names],
-                "toxic": [held[1][n] for n in names],
-            }).astype({"clean": "int64", "toxic": "int64"})
-
-        for batch in batches:
-            for text, label in zip(batch["text"], batch["toxic"], strict=True):
-                found = set(entries_of(Counter(_WORD.findall((text or "").lower()))))
-                held[int(label)].update(found if known is None else found & known)
-                if len(held[0]) + len(held[1]) > HELD_ENTRIES:
-                    yield out()
-                    held[0].clear(), held[1].clear()
-        yield out()
+    def out() -> pd.DataFrame:
+        names = list(set(held[0]) | set(held[1]))
+        return pd.DataFrame({
+            "entry": pd.Series(names, dtype=object), "clean": [held[0][n] for n in names],
+            "toxic": [held[1][n] for n in names],
+        }).astype({"clean": "int64", "toxic": "int64"})
 
-    return run
+    for batch in batches:
+        for text, label in zip(batch["text"], batch["toxic"], strict=True):
+            held[int(label)].update(entries_of(Counter(_WORD.findall((text or "").lower()))).keys())
+            if len(held[0]) + len(held[1]) > HELD_ENTRIES:
+                yield out()
+                held[0].clear(), held[1].clear()
+    yield out()
 
 
-def _counted(rows: DataFrame, known: frozenset | None) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
     return (
-        rows.select("text", "toxic").mapInPandas(_count(known), "entry string, clean long, toxic long")
+        rows.select("text", "toxic").mapInPandas(_count, "entry string, clean long, toxic long")
         .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
 
 
+def lexicon(rows: DataFrame) -> list[tuple[str, int, int]]:
+    """(entry, toxic, clean) of the entries that tell, from the labelled texts ``rows``."""
+    sizes = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
+    tried = written(_counted(rows).filter(F.col("toxic") >= MIN_DOCS))
+    n_tried = tried.count()
+    if not n_clean or not n_tried:
+        return []
+    t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    odds = ((t + 0.5) / (n_toxic + 1)) / ((c + 0.5) / (n_clean + 1))
+    # Chernoff's bound on the log odds of so many toxic texts by chance; one false entry in all.
+    base = n_toxic / (n_toxic + n_clean)
+    surprise = t * F.log(t / (t + c) / base) + F.when(
+        c > 0, c * F.log(c / (t + c) / (1 - base))
+    ).otherwise(0.0)
+    told = tried.filter((odds >= MIN_ODDS) & (surprise >= float(np.log(n_tried)))).collect()
+    counts = {r["entry"]: (r["toxic"], r["clean"]) for r in told}
+    return sorted(((e, *n) for e, n in counts.items()), key=lambda r: (-r[1], r[0]))
+
+
+def columns_of(entries: list[tuple[str, int, int]]) -> dict[str, int]:
+    """Each entry's column: the most frequent have their own, the rest share by their odds. A
+    beginning that has the texts of one longer entry only shares the column of that entry."""
+    counts = {e: n for e, *n in entries}
+    longer = {}
+    for e in sorted(counts, reverse=True):
+        for size in STEMS:
+            stem = e[:size] + STEM_MARK
+            if len(e.rstrip(STEM_MARK)) >= size and stem != e and counts.get(stem) == counts[e]:
+                longer[stem] = e if not e.endswith(STEM_MARK) else longer.get(stem, e)
+    own = [r for r in entries if r[0] not in longer]
+    out = {e: i for i, (e, _, _) in enumerate(own[:OWN_COLUMNS])}
+    rest = sorted(own[OWN_COLUMNS:], key=lambda r: ((r[1] + 0.5) / (r[2] + 0.5), r[0]))
+    out |= {e: OWN_COLUMNS + i * POOLS // len(rest) for i, (e, _, _) in enumerate(rest)}
+    for stem in longer:
+        word = stem
+        while word in longer:
+            word = longer[word]
+        out[stem] = out[word]
+    return out
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text",
     label: str = "toxic", train_rows: int = TRAIN_ROWS,
@@ -200,17 +245,10 @@ def fit(
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not n_clean or not n_toxic:
         return ToxicityModel({}, np.zeros(1 + len(PATTERNS)), -np.inf)
-    least = max(MIN_DOCS, MIN_SHARE * n_toxic)
-    often = _counted(rows.filter("toxic = 1"), None).filter(F.col("toxic") >= least)
-    names = frozenset(r["entry"] for r in often.collect())
-    counts = _counted(rows, names).collect()
-    odds = {
-        r["entry"]: ((r["toxic"] + 0.5) / (n_toxic + 1)) / ((r["clean"] + 0.5) / (n_clean + 1))
-        for r in counts
-    }
-    rates = {r["entry"]: (r["toxic"] / n_toxic, r["clean"] / n_clean) for r in counts}
-    chosen = sorted((e for e in odds if odds[e] >= MIN_ODDS), key=lambda e: (-rates[e][0], e))[:MAX_ENTRIES]
-    model = ToxicityModel({e: i for i, e in enumerate(chosen)}, np.zeros(0), 0.0)
+    labelled = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(
+        F.broadcast(known) if total <= BROADCAST_ROWS else known, "id"
+    )
+    model = ToxicityModel(columns_of(lexicon(labelled)), np.zeros(0), 0.0)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

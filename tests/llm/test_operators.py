@@ -119,6 +119,34 @@ def test_toxicity_learns_from_few_labels(spark):
     assert docs.select(toxicity.score(F.col("text"), nothing).alias("s")).distinct().collect()[0].s == 0.0
 
 
+def test_toxicity_counts_every_labelled_row(spark):
+    rng = np.random.default_rng(2)
+    insults = [f"{a}{b}{c}ulous" for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz"][:440]
+    rows, labels = [], []
+    for i in range(6000):
+        words = [f"w{j}" for j in rng.integers(0, 60, 20)]
+        toxic = i % 3 == 0
+        if toxic and i % 600:
+            words[:2] = insults[2 * i // 3 % 440], insults[(2 * i // 3 + 1) % 440]
+        elif toxic:
+            words[0] = "snarfblat"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), train_rows=600)
+    assert "snarfblat" in model.entries and set(insults) <= {w for w in model.entries if w[-1] != "*"}
+    assert model.columns <= toxicity.OWN_COLUMNS + toxicity.POOLS
+    rare, calm = model.scores(model.features(["w1 w2 w3 w4 w5 snarfblat", "w1 w2 w3 w4 w5 w6"]))
+    assert calm < 0.5 < rare
+
+
+def test_columns_of_lexicon_entries():
+    entries = [("vile*", 9, 0), ("scou*", 5, 0), ("scoun*", 5, 0), ("scoundrel", 5, 0), ("vilefoo", 5, 0), ("vilebar", 4, 0)]
+    got = toxicity.columns_of(entries)
+    assert got["scou*"] == got["scoun*"] == got["scoundrel"]
+    assert len({got[e] for e in ("vile*", "scoundrel", "vilefoo", "vilebar")}) == 4
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(1)
     truth = rng.random(2000) < 0.3
