@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import bpe, langid, packing, pii, quality, simhash, sql, tokenfile, topk, toxicity, urlrules
+from lineflow.llm import (
+    bpe, langid, packing, pii, quality, resample, simhash, sql, tokenfile, topk, toxicity, urlrules,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,6 +108,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = resample.scores(docs, _table(spark, sf_dir, "benchmark").select("text"))
+    return resample.drawn(scored).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -117,6 +125,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
+    "op12_resample": op12_resample,
 }
 
 ORACLE = {
