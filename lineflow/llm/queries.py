@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineflow.llm import (
-    bpe, langid, packing, pii, quality, resample, simhash, sql, tokenfile, topk, toxicity, urlrules,
+    bpe, langid, packing, pii, quality, resample, simhash, sql, tokenfile, topk, toxicity, urlrules, warc,
 )
 
 
@@ -114,6 +114,14 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.drawn(scored).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.new_path(spark)
+    warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.read(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
@@ -126,6 +134,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
     "op12_resample": op12_resample,
+    "op13_warc": op13_warc,
 }
 
 ORACLE = {
@@ -133,4 +142,5 @@ ORACLE = {
     "op4_quality": sql.OP4,
     "op5_top_k": sql.OP5,
     "op10_url_rules": sql.OP10,
+    "op13_warc": sql.OP13,
 }

@@ -138,3 +138,19 @@ r AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+# Base32 of a digest: its i-th character stands for the five bits from bit 5 i, which lie in two
+# hexadecimal digits.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    (((strpos('0123456789abcdef', substring(h, CAST(5 * i // 4 AS INTEGER) + 1, 1)) - 1) * 16
+      + strpos('0123456789abcdef', substring(h, CAST(5 * i // 4 AS INTEGER) + 2, 1)) - 1)
+     // CAST(pow(2, 3 - 5 * i % 4) AS INTEGER)) % 32 AS INTEGER), 1)), '')"""
+OP13 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM d
+"""
