@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineflow.llm import (
-    bpe, langid, packing, pii, quality, resample, simhash, sql, tokenfile, topk, toxicity, urlrules, warc,
+    bpe, langid, negatives, packing, pii, quality, resample, simhash, sql, tokenfile, topk, toxicity, urlrules, warc,
 )
 
 
@@ -108,6 +108,12 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = resample.scores(docs, _table(spark, sf_dir, "benchmark").select("text"))
@@ -133,6 +139,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_packing": op9_packing,
     "op10_url_rules": op10_url_rules,
+    "op11_negatives": op11_negatives,
     "op12_resample": op12_resample,
     "op13_warc": op13_warc,
 }
@@ -142,5 +149,6 @@ ORACLE = {
     "op4_quality": sql.OP4,
     "op5_top_k": sql.OP5,
     "op10_url_rules": sql.OP10,
+    "op11_negatives": sql.OP11,
     "op13_warc": sql.OP13,
 }

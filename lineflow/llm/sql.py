@@ -154,3 +154,30 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS pay
   CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM d
 """
+
+OP11 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id,
+    CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+  SELECT a.rid, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS own,
+    CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id
+),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS slot FROM s WHERE own
+),
+n AS (
+  SELECT p.rid, p.slot, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+    s.score AS negative_score, row_number() OVER (PARTITION BY p.rid, p.slot ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.rid = p.rid AND NOT s.own AND p.slot <= 5
+    AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5
+"""
