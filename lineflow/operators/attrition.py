@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lineflow.config import FilterConfig
 from lineflow.functions import text
-from lineflow.functions.diff import derive_flaw_lines
 from lineflow.functions.graph import settled
+from lineflow.operators import linediff
 
 STAGES = (
     "loaded", "vulnerable", "selected_cwes", "has_flaw_lines", "has_code_flaw_lines",
@@ -29,7 +29,8 @@ def staged(df: DataFrame, config: FilterConfig, derive: bool = True) -> DataFram
     """Add ``level``, the last stage (0 = loaded .. 5 = line_count) the row survives, and the
     columns later stages need: code-only ``flaw_line_indices``, ``num_lines``, ``body_hash``.
 
-    Every stage is a flag on the row, so the whole cascade is one pass with no shuffle.
+    Every stage is a flag on the row, so the whole cascade is one pass with no shuffle but for
+    the diffs of functions that list no flaw lines, which are found by ``ordinal``.
     ``derive=False`` skips the diff for corpora known to list their flaw lines.
     """
     vulnerable = F.col("vul") == 1
@@ -39,11 +40,11 @@ def staged(df: DataFrame, config: FilterConfig, derive: bool = True) -> DataFram
     none = F.array().cast("array<int>")
     if derive:
         wanted = selected & (F.size(given) == 0) & (F.col("func_after") != "")
-        derived = derive_flaw_lines(F.col("func_before"), F.col("func_after"), wanted)
-        flawed = df.withColumn("_derived", derived).withColumn(
+        derived = linediff.changed_lines(df.filter(wanted), "ordinal", F.col("func_before"), F.col("func_after"))
+        flawed = df.join(linediff.small_enough(derived), "ordinal", "left").withColumn(
             "_flaws",
-            F.when(F.size(given) > 0, listed).otherwise(F.coalesce(F.col("_derived"), none)),
-        ).drop("_derived")
+            F.when(F.size(given) > 0, listed).otherwise(F.coalesce(F.col("changed"), none)),
+        ).drop("changed")
     else:
         flawed = df.withColumn("_flaws", listed)
     flawed = flawed.withColumn("_selected", F.coalesce(selected, F.lit(False)))

@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from lineflow.config import FilterConfig
 from lineflow.functions import text
-from lineflow.functions.diff import fix_diff
 from lineflow.operators import attrition as cascade
-from lineflow.operators import eda
+from lineflow.operators import eda, linediff
 from lineflow.plans.views import corpus, fixed_corpus, texts
 from lineflow.sources.files import manifest
 
@@ -70,15 +69,21 @@ def derived_flaw_lines(spark, sf):
 
 
 def fix_diff_rows(spark, sf):
-    """Rows of each fix by kind, with the sum of their old line numbers."""
-    rows = fixed_corpus(spark, sf).select(
-        "sample_id", F.inline(fix_diff(F.col("func_before"), F.col("func_after")))
-    )
+    """Rows of each fix by kind, with the sum of their old line numbers and their texts."""
+    rows = linediff.fix_rows(fixed_corpus(spark, sf), "sample_id", F.col("func_before"), F.col("func_after"))
     return rows.groupBy("sample_id", "kind").agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum("line"), F.lit(0)).alias("line_sum")
+        F.count("*").alias("rows"), F.coalesce(F.sum("line"), F.lit(0)).alias("line_sum"),
+        F.sha1(F.encode(F.array_join(F.array_sort(F.collect_list(F.struct("at", "text")))["text"], "|"), "UTF-8")).alias("text_sha1"),
     )
 
 
+def diff_matches(spark, sf):
+    """How many lines of each function its fix keeps, and where the first and last of them go."""
+    rows = linediff.matches(fixed_corpus(spark, sf), "ordinal", F.col("func_before"), F.col("func_after"))
+    pairs = F.transform("matched", lambda m: F.concat_ws(":", m["i"].cast("string"), m["j"].cast("string")))
+    return rows.select("ordinal", F.size("matched").alias("kept"), F.sha1(F.array_join(pairs, ",")).alias("pairs_sha1"))
+
+
 def comment_stripping(spark, sf):
     """Pages hold markup, scripts and URLs: every comment form occurs."""
     html = F.col("html")
@@ -129,7 +134,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_corpus, filtered_functions, filter_attrition, attrition_by_cwe,
-        attrition_from_diff, derived_flaw_lines, fix_diff_rows, comment_stripping,
+        attrition_from_diff, derived_flaw_lines, fix_diff_rows, diff_matches, comment_stripping,
         trivial_lines, vulnerable_cwe_counts, top_cwes, dataset_summary, flaw_positions,
         first_flaw_positions, source_manifest,
     )
@@ -192,6 +197,75 @@ positions AS (
   WHERE length(l.x) % 5 = 0 AND NOT regexp_matches(l.bare, '{S_TRIVIAL}'))
 """
 
+# The diff with the fixed body: lines that occur once on both sides, in their longest rising run,
+# are anchors; in the gaps between them occurrences pair up, counted from either end.
+
+
+def sql_rising(source: str, pairs: str) -> str:
+    """For every ordinal of ``source``, the longest run of its ``pairs`` that rises on both sides."""
+    return f"""(
+  SELECT ordinal, ps, list_reverse(list_reduce(st.tops, lambda run, x: list_append(run,
+      CASE WHEN len(run) = 0 THEN st.tops[-1] ELSE st.back[run[-1] + 1] END), CAST([] AS INTEGER[]))) AS picked
+  FROM (SELECT ordinal, ps, list_reduce(list_transform(range(len(ps)), lambda t: CAST(t AS INTEGER)), lambda acc, t: {{
+      'tops': list_concat(list_append(acc.tops[1:len(list_filter(acc.tops, lambda k: ps[k + 1].j < ps[t + 1].j))], t),
+        acc.tops[len(list_filter(acc.tops, lambda k: ps[k + 1].j < ps[t + 1].j)) + 2:]),
+      'back': list_append(acc.back, coalesce(acc.tops[len(list_filter(acc.tops, lambda k: ps[k + 1].j < ps[t + 1].j))], -1))}},
+      {{'tops': CAST([] AS INTEGER[]), 'back': CAST([] AS INTEGER[])}}) AS st
+    FROM (SELECT ordinal, list({{'i': i, 'j': j}} ORDER BY i, j DESC) AS ps FROM ({pairs}) GROUP BY ordinal)))"""
+
+
+SQL_DIFF = f"""{SQL_CORPUS},
+after_lines AS (
+  SELECT ordinal, list_transform(list_filter(all_lines, lambda x: length(x) % 5 <> 0),
+    lambda x: CASE WHEN length(x) % 7 = 1 THEN regexp_replace(x, '\\.$', ';') ELSE x END) AS ls FROM corpus),
+sided AS MATERIALIZED (
+  SELECT ordinal, 0 AS side, i, x FROM corpus_lines
+  UNION ALL SELECT ordinal, 1, generate_subscripts(ls, 1) - 1, unnest(ls) FROM after_lines),
+anchor AS MATERIALIZED (SELECT ordinal, unnest(list_transform(picked, lambda t: ps[t + 1].i)) AS i, unnest(list_transform(picked, lambda t: ps[t + 1].j)) AS j
+  FROM {sql_rising("sided", "SELECT ordinal, min(i) FILTER (side = 0) AS i, min(i) FILTER (side = 1) AS j FROM sided GROUP BY ordinal, x HAVING count(*) FILTER (side = 0) = 1 AND count(*) FILTER (side = 1) = 1")}),
+gapped AS (
+  SELECT s.*, a.ordinal IS NOT NULL AS anchored, count(a.ordinal) OVER (PARTITION BY s.ordinal, s.side ORDER BY s.i) AS gap
+  FROM sided s LEFT JOIN anchor a ON a.ordinal = s.ordinal AND CASE WHEN side = 0 THEN a.i ELSE a.j END = s.i),
+counted AS (
+  SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY ordinal, side, gap, anchored, x) AS al
+  FROM gapped WINDOW w AS (PARTITION BY ordinal, side, gap, anchored, x ORDER BY i)),
+candidates AS (
+  SELECT DISTINCT b.ordinal, b.i, a.i AS j FROM counted b JOIN counted a ON b.side = 0 AND a.side = 1
+    AND a.ordinal = b.ordinal AND a.gap = b.gap AND a.anchored = b.anchored AND a.x = b.x AND (a.n = b.n OR a.al - a.n = b.al - b.n)),
+matched AS MATERIALIZED (SELECT ordinal, generate_subscripts(picked, 1) - 1 AS g, unnest(list_transform(picked, lambda t: ps[t + 1].i)) AS i,
+    unnest(list_transform(picked, lambda t: ps[t + 1].j)) AS j FROM {sql_rising("candidates", "SELECT * FROM candidates")}),
+removed AS (SELECT l.* FROM corpus_lines l ANTI JOIN matched m ON m.ordinal = l.ordinal AND m.i = l.i),
+changed AS (
+  SELECT ordinal, count(*) AS listed, count(*) FILTER (NOT regexp_matches(bare, '{S_TRIVIAL}')) AS coded,
+    string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (NOT regexp_matches(bare, '{S_TRIVIAL}')) AS idx
+  FROM removed GROUP BY ordinal),
+diff_levels AS (
+  SELECT c.*, d.idx,
+         CASE WHEN vul <> 1 THEN 0 WHEN cwe NOT IN ('CWE-119', 'CWE-125') THEN 1
+              WHEN coalesce(listed, 0) = 0 THEN 2 WHEN coded = 0 THEN 3
+              WHEN len(all_lines) NOT BETWEEN 5 AND 300 THEN 4 ELSE 5 END AS level,
+         {sql_hash('func_before')} AS body_hash
+  FROM corpus c LEFT JOIN changed d USING (ordinal)),
+script AS (
+  SELECT ordinal, kind, line, x, row_number() OVER (PARTITION BY ordinal ORDER BY g, rank, i) - 1 AS p FROM (
+    SELECT ordinal, 'removed' AS kind, 0 AS rank, i, i + 1 AS line, x, (SELECT count(*) FROM matched m WHERE m.ordinal = r.ordinal AND m.i < r.i) AS g FROM removed r
+    UNION ALL
+    SELECT ordinal, 'added', 1, i, NULL, x, (SELECT count(*) FROM matched m WHERE m.ordinal = s.ordinal AND m.j < s.i)
+    FROM sided s WHERE side = 1 AND NOT EXISTS (SELECT 1 FROM matched m WHERE m.ordinal = s.ordinal AND m.j = s.i)
+    UNION ALL
+    SELECT ordinal, 'context', 2, i, i + 1, x, g FROM matched JOIN corpus_lines USING (ordinal, i))),
+near AS (
+  SELECT *, coalesce(p - max(p) FILTER (kind <> 'context') OVER (PARTITION BY ordinal ORDER BY p) <= 2, false)
+    OR coalesce(min(p) FILTER (kind <> 'context') OVER (PARTITION BY ordinal ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - p <= 2, false) AS shown
+  FROM script),
+fix AS (
+  SELECT ordinal, kind, line, x, p, 1 AS o FROM near WHERE shown
+  UNION ALL
+  SELECT ordinal, 'gap', NULL, '', p, 0 FROM (
+    SELECT *, lag(shown) OVER (PARTITION BY ordinal ORDER BY p) AS was, max(p) FILTER (shown) OVER (PARTITION BY ordinal ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM near) WHERE shown AND NOT was AND seen IS NOT NULL)
+"""
+
 _STAGES = "(VALUES " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(cascade.STAGES)) + ") s(position, step)"
 
 
@@ -220,6 +294,14 @@ ORACLE = {
         f" ELSE (SELECT count(*) FROM levels l WHERE level >= s.position AND l.cwe = c.cwe) END AS rows"
         f" FROM {_STAGES}, (VALUES ('CWE-119'), ('CWE-125')) c(cwe) WHERE s.position >= 2"
     ),
+    "diff_matches": f"WITH {SQL_DIFF} SELECT ordinal, CAST(count(*) AS INTEGER) AS kept,"
+        " sha1(string_agg(i || ':' || j, ',' ORDER BY i)) AS pairs_sha1 FROM matched GROUP BY ordinal",
+    "derived_flaw_lines": f"WITH {SQL_DIFF} SELECT sample_id, coalesce(idx, '') AS flaw_indices FROM diff_levels WHERE level >= 3",
+    "attrition_from_diff": f"WITH {SQL_DIFF} SELECT CAST(s.position AS INTEGER) AS position, s.step, CASE WHEN s.position = 6"
+        f" THEN (SELECT count(DISTINCT body_hash) FROM diff_levels WHERE level = 5) ELSE (SELECT count(*) FROM diff_levels WHERE level >= s.position) END"
+        f" AS rows FROM {_STAGES}",
+    "fix_diff_rows": f"WITH {SQL_DIFF} SELECT sample_id, kind, count(*) AS rows, CAST(coalesce(sum(line), 0) AS BIGINT) AS line_sum,"
+        " sha1(string_agg(x, '|' ORDER BY p, o)) AS text_sha1 FROM fix JOIN corpus USING (ordinal) GROUP BY sample_id, kind",
     "comment_stripping": f"""
         WITH p AS (SELECT page_id, html, {sql_strip_comments('html')} AS bare FROM pages)
         SELECT page_id, sha1(bare) AS stripped_sha1, {sql_hash('html')} AS body_hash,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lineflow.config import FilterConfig
 from lineflow.functions import text
-from lineflow.functions.diff import changed_lines, derive_flaw_lines, diff_rows
 from lineflow.operators import attrition, eda
 from lineflow.operators.positions import medians, positioned, running_totals
 from lineflow.sources import corpus, files
@@ -45,17 +44,6 @@ def test_comments_match_regular_expressions(spark):
     assert col_values(spark, singles, text.is_trivial_line) == [True, True, True, True, True, False, True, False]
 
 
-def test_changed_lines_and_fix_rows(spark):
-    assert changed_lines("a\nb\nc", "a\nc") == [1]
-    assert changed_lines("a\nb\nc", "a\nx\nc\nd") == [1]
-    assert changed_lines("a\na\na", "a\na") in ([0], [1], [2])
-    df = spark.createDataFrame([("a\nb", "a"), ("x", "x")], "b string, a string")
-    got = df.select(derive_flaw_lines(F.col("b"), F.col("a")).alias("o")).collect()
-    assert [r.o for r in got] == [[1], []]
-    assert diff_rows("a\nb\nc\n", "a\nx\nc\n", 1) == [
-        ("context", 1, "a"), ("removed", 2, "b"), ("added", None, "x"), ("context", 3, "c")]
-
-
 BODY = "int f() {\n a = 1;\n %s\n b = 2;\n}"
 
 
