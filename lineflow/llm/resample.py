@@ -135,46 +135,37 @@ def scores(
     return weighed.withColumn("score", F.col("weight") + noise(F.col("id"), seed)).withColumnRenamed("id", id)
 
 
-#: A row's place in the order: higher scores first, then smaller ids, those without one last,
-#: then fewer runs; the row's own number makes the key unique.
-KEY = ("low", "nameless", "name", "n_features", "row")
+def order_key(*parts: Column) -> Column:
+    """A string that sorts like the long ``parts``, one after the other."""
+    return F.concat(*[F.lpad(F.hex(p.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") for p in parts])
 
 
-def _before(pivot: tuple, equal: bool = False) -> Column:
-    """Whether a row's key comes before ``pivot`` (or is at it)."""
-    out = F.lit(equal)
-    for name, value in reversed(list(zip(KEY, pivot, strict=True))):
-        out = (F.col(name) < value) | ((F.col(name) == value) & out)
-    return out
-
-
-def kth_key(rows: DataFrame, k: int, seed: int = 0, pivots: int = PIVOTS) -> tuple | None:
-    """The k-th smallest key of ``rows``, a written table with the columns of ``KEY``; None if
-    it has fewer rows."""
+def kth_key(rows: DataFrame, k: int, seed: int = 0, pivots: int = PIVOTS) -> str | None:
+    """The k-th smallest ``key`` of ``rows``, a written table without equal keys; None if it has
+    fewer rows."""
     inside = rows.count()
     if not 0 < k <= inside:
         return None
-    low = high = None
+    low, high = "", None
     skipped, turn = 0, 0  # rows at or before ``low``
     while True:
-        live = rows
-        if low is not None:
-            live = live.filter(~_before(low, True))
+        live = rows.filter(F.col("key") > low)
         if high is not None:
-            live = live.filter(_before(high))
+            live = live.filter(F.col("key") < high)
         # Rows whose hash falls into the smallest share; all of them once few are left.
         turn += 1
-        chosen = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "row"), F.lit(inside)) < pivots
-        cuts = sorted(tuple(r) for r in live.filter(chosen).select(*KEY).collect())
+        chosen = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "key"), F.lit(inside)) < pivots
+        cuts = sorted(r["key"] for r in live.filter(chosen).select("key").collect())
         if not cuts:
             continue
         counted = live.agg(
-            *[F.count_if(_before(p)).alias(f"less{i}") for i, p in enumerate(cuts)],
-            *[F.count_if(_before(p, True)).alias(f"upto{i}") for i, p in enumerate(cuts)],
+            *[F.count_if(F.col("key") < p).alias(f"less{i}") for i, p in enumerate(cuts)],
+            *[F.count_if(F.col("key") == p).alias(f"same{i}") for i, p in enumerate(cuts)],
         ).first()
         end, base = skipped + inside, skipped
         for i, pivot in enumerate(cuts):
-            less, upto = base + counted[f"less{i}"], base + counted[f"upto{i}"]
+            less = base + counted[f"less{i}"]
+            upto = less + counted[f"same{i}"]
             if less < k <= upto:
                 return pivot
             if k <= less:
@@ -192,18 +183,19 @@ def drawn(
     documents, NULL for the others. Of the documents with at least ``least_words`` words the
     share ``share``, rounded down, is drawn."""
     kept = [c for c in scored.columns if c != id]
-    rows = written(
-        scored.withColumnRenamed(id, "id").withColumns({
-            "low": -F.col("score"), "nameless": F.col("id").isNull().cast("int"),
-            "name": F.coalesce("id", F.lit(0)), "row": F.monotonically_increasing_id(),
-        })
+    # Higher scores first, then smaller ids, those without one last, then fewer runs; the row's
+    # own number makes the key unique.
+    key = order_key(
+        -F.col("score"), F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("n_features"),
+        F.monotonically_increasing_id(),
     )
+    rows = written(scored.withColumnRenamed(id, "id").withColumn("key", key))
     able = rows.filter(F.col("n_words") >= least_words)
     last = kth_key(able, able.count() * share[0] // share[1], seed)
-    won = F.lit(False) if last is None else (F.col("n_words") >= least_words) & _before(last, True)
+    won = F.lit(False) if last is None else (F.col("n_words") >= least_words) & (F.col("key") <= last)
     # A winner's number is its partition's, in key order, with its place there.
     winners = written(
-        rows.filter(won).repartitionByRange(*KEY).sortWithinPartitions(*KEY)
+        rows.filter(won).repartitionByRange("key").sortWithinPartitions("key")
         .withColumn("at", F.monotonically_increasing_id())
     )
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)

@@ -95,12 +95,14 @@ def test_empty_tables(spark):
 
 @pytest.mark.parametrize("pivots", [4, 64])
 def test_quickselect(spark, pivots):
-    values = [(i * 7919) % 101 for i in range(1500)]
-    rows = spark.createDataFrame([(-v, 0, v % 5, 1, i) for i, v in enumerate(values)], "low long, nameless int, name long, n_features long, row long")
-    order = sorted(tuple(r) for r in rows.collect())
+    values = [((i * 7919) % 101 - 50, i) for i in range(1500)]
+    rows = spark.createDataFrame(values, "v long, i long").select(resample.order_key(F.col("v"), F.col("i")).alias("key"), "v", "i").cache()
+    order = [r.key for r in sorted(rows.collect(), key=lambda r: (r.v, r.i))]
+    assert order == sorted(order)
     for k in (1, 749):
         assert resample.kth_key(rows, k, pivots=pivots) == order[k - 1]
     assert resample.kth_key(rows, 0) is None and resample.kth_key(rows, 1501) is None
+    rows.unpersist()
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
