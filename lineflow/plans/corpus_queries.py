@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lineflow.config import FilterConfig
 from lineflow.functions import text
 from lineflow.operators import attrition as cascade
 from lineflow.operators import eda, linediff
-from lineflow.plans.views import corpus, fixed_corpus, texts
+from lineflow.plans.views import corpus, fixed_corpus, raw_release, texts
+from lineflow.session import shared_folder
+from lineflow.sources import quoted
+from lineflow.sources.corpus import canonicalise
 from lineflow.sources.files import manifest
 
 CONFIG = FilterConfig()
@@ -84,6 +89,19 @@ def diff_matches(spark, sf):
     return rows.select("ordinal", F.size("matched").alias("kept"), F.sha1(F.array_join(pairs, ",")).alias("pairs_sha1"))
 
 
+def csv_release(spark, sf):
+    """The functions after a round trip through a quoted CSV release, read block by block."""
+    path = f"{shared_folder(spark)}/lineflow-csv/{uuid.uuid4().hex}.csv"
+    raw = raw_release(spark, sf).withColumnRenamed("ordinal", "doc_id")
+    raw.write.csv(path, header=True, quoteAll=True, quote='"', escape='"')
+    rows = quoted.read_csv(spark, path)
+    canonical = canonicalise(rows.drop("ordinal").withColumn("ordinal", F.col("doc_id").cast("long")))
+    return canonical.select(
+        "sample_id", "project", "commit_id", "cwe", "vul", F.sha1(F.encode("func_before", "UTF-8")).alias("before_sha1"),
+        F.array_join(F.col("flaw_line_indices").cast("array<string>"), ",").alias("flaw_indices"),
+    )
+
+
 def comment_stripping(spark, sf):
     """Pages hold markup, scripts and URLs: every comment form occurs."""
     html = F.col("html")
@@ -134,7 +152,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_corpus, filtered_functions, filter_attrition, attrition_by_cwe,
-        attrition_from_diff, derived_flaw_lines, fix_diff_rows, diff_matches, comment_stripping,
+        attrition_from_diff, derived_flaw_lines, fix_diff_rows, diff_matches, csv_release,
+        comment_stripping,
         trivial_lines, vulnerable_cwe_counts, top_cwes, dataset_summary, flaw_positions,
         first_flaw_positions, source_manifest,
     )
@@ -279,6 +298,10 @@ ORACLE = {
         " CAST(0 AS INTEGER) AS after_chars, sha1(coalesce(all_txt, '')) AS flaw_lines_sha1,"
         " coalesce(all_idx, '') AS flaw_indices FROM corpus LEFT JOIN flaws USING (ordinal)"
     ),
+    "csv_release": _sql(
+        "SELECT sample_id, project, commit_id, cwe, vul, sha1(func_before) AS before_sha1,"
+        " coalesce(all_idx, '') AS flaw_indices FROM corpus LEFT JOIN flaws USING (ordinal)"
+    ),
     "filtered_functions": _sql(
         "SELECT sample_id, cwe, CAST(num_lines AS INTEGER) AS num_lines, body_hash, idx AS flaw_indices,"
         " sha1(txt) AS flaw_lines_sha1 FROM survivors"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lineflow.functions import text
 from lineflow.operators.positions import BROADCAST_ROWS
 from lineflow.schema import CANONICAL_COLUMNS
+from lineflow.sources import quoted
 
 # --- Fixed values: the names a canonical column goes by in known releases ----------------
 COLUMN_ALIASES = {
@@ -93,41 +94,32 @@ def canonicalise(raw: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     )
 
 
-def with_ordinals(df: DataFrame, has_row_index: bool) -> DataFrame:
-    """Add ``ordinal``, the row's position over all files taken in name order.
+def with_ordinals(df: DataFrame) -> DataFrame:
+    """Add ``ordinal``, the row's position over all Parquet files taken in name order.
 
-    Parquet rows know their index within the file. Text rows do not, but one split is read
-    in order by one task, so positions count from the split's smallest id. Only one count per
-    file (or split) is ever gathered; the rows themselves are not sorted or shuffled.
+    Rows know their index within the file, so only one count per file is ever gathered; the rows
+    themselves are not sorted or shuffled.
     """
-    keys = ["_file", "_block"]
-    rows = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        (F.lit(0) if has_row_index else F.col("_metadata.file_block_start")).cast("long").alias("_block"),
-        (F.col("_metadata.row_index") if has_row_index else F.monotonically_increasing_id()).alias("_at"),
+    rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip")
     )
-    earlier = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-        .select(*keys, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
-    )
-    if has_row_index and len(df.inputFiles()) <= BROADCAST_ROWS:
+    if len(df.inputFiles()) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    return (
-        rows.join(offsets, keys)
-        .withColumn("ordinal", F.col("_skip") + F.col("_at") - F.col("_first"))
-        .drop(*keys, "_at", "_first", "_skip")
-    )
+    return rows.join(offsets, "_file").withColumn("ordinal", F.col("_skip") + F.col("_at")).drop("_file", "_at", "_skip")
+
+
+def is_csv(path: str) -> bool:
+    return str(path).lower().endswith(".csv")
 
 
 def read_release(spark: SparkSession, path: str) -> DataFrame:
-    """The raw release at ``path``: a Parquet file or directory of them, or a CSV file."""
-    if str(path).lower().endswith(".csv"):
-        return spark.read.csv(
-            str(path), header=True, multiLine=True, quote='"', escape='"', inferSchema=False
-        )
+    """The raw release at ``path``, a Parquet file or directory of them, or CSV, read in as many
+    tasks as it has blocks (a folder of CSV files has to end in ``.csv`` too). CSV rows come with
+    their ``ordinal``."""
+    if is_csv(path):
+        return quoted.read_csv(spark, str(path))
     try:
         return spark.read.parquet(str(path))
     except AnalysisException as error:
@@ -137,15 +129,16 @@ def read_release(spark: SparkSession, path: str) -> DataFrame:
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Canonical columns plus ``ordinal`` from any known release at ``path``."""
     raw = read_release(spark, path)
-    is_csv = str(path).lower().endswith(".csv")
-    if set(CANONICAL_COLUMNS) <= set(raw.columns):
-        kept = with_ordinals(raw.select(*CANONICAL_COLUMNS), not is_csv)
-        if str(path).lower().endswith(".parquet"):
-            return kept
-        return kept.withColumn("sample_id", F.format_string(ID_FORMAT, F.col("ordinal")))
-    wanted = sorted(set(resolve_columns(raw.columns).values()))
-    pruned = raw.select(*[f"`{name}`" for name in wanted])
-    return canonicalise(with_ordinals(pruned, not is_csv))
+    known = [c for c in raw.columns if not (is_csv(path) and c == "ordinal")]
+    canonical = set(CANONICAL_COLUMNS) <= set(known) and not is_csv(path)
+    wanted = CANONICAL_COLUMNS if canonical else sorted(set(resolve_columns(known).values()))
+    pruned = raw.select(*[f"`{name}`" for name in wanted], *(["ordinal"] if is_csv(path) else []))
+    rows = pruned if is_csv(path) else with_ordinals(pruned)
+    if not canonical:
+        return canonicalise(rows)
+    if str(path).lower().endswith(".parquet"):
+        return rows
+    return rows.withColumn("sample_id", F.format_string(ID_FORMAT, F.col("ordinal")))
 
 
 def convert_to_parquet(spark: SparkSession, source: str, destination: str) -> DataFrame:

@@ -74,7 +74,7 @@ def load_background(spark: SparkSession, raw_dir: str, filtered: DataFrame) -> D
     """CVE and commit facts of every filtered function, found by its row position in the raw
     files; empty where the raw row says nothing."""
     raw = with_ordinals(
-        spark.read.parquet(raw_dir).select("`CVE ID`", "`CVE Page`", "commit_message", "codeLink"), True
+        spark.read.parquet(raw_dir).select("`CVE ID`", "`CVE Page`", "commit_message", "codeLink")
     )
     return attach_background(filtered, raw)
 
