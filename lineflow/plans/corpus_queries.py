@@ -14,7 +14,7 @@ from lineflow.plans.views import corpus, fixed_corpus, raw_release, texts
 from lineflow.session import shared_folder
 from lineflow.sources import quoted
 from lineflow.sources.corpus import canonicalise
-from lineflow.sources.files import manifest
+from lineflow.sources.files import manifest, read_sources, write_sources
 
 CONFIG = FilterConfig()
 CWES = ["CWE-119", "CWE-125"]
@@ -148,6 +148,15 @@ def source_manifest(spark, sf):
     return manifest(_survivors(spark, sf), batch_size=50)
 
 
+def source_files(spark, sf):
+    """Every kept function as it reads back from its two source files."""
+    path = f"{shared_folder(spark)}/lineflow-sources/{uuid.uuid4().hex}"
+    write_sources(_survivors(spark, sf), path, batch_size=50)
+    return read_sources(spark, path).select(
+        "sample_id", "batch", "extension", F.sha1(F.encode("text", "UTF-8")).alias("text_sha1")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -155,7 +164,7 @@ QUERIES = {
         attrition_from_diff, derived_flaw_lines, fix_diff_rows, diff_matches, csv_release,
         comment_stripping,
         trivial_lines, vulnerable_cwe_counts, top_cwes, dataset_summary, flaw_positions,
-        first_flaw_positions, source_manifest,
+        first_flaw_positions, source_manifest, source_files,
     )
 }
 
@@ -370,4 +379,9 @@ ORACLE = {
         " printf('batch_%04d', p // 50) || '/' || sample_id || '.c' AS path"
         " FROM (SELECT sample_id, row_number() OVER (ORDER BY ordinal) - 1 AS p FROM survivors)"
     ),
+    "source_files": _sql(
+        "SELECT sample_id, printf('batch_%04d', p // 50) AS batch, extension, sha1(body || chr(10)) AS text_sha1"
+        " FROM (SELECT sample_id, replace(replace(func_before, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS body,"
+        " row_number() OVER (ORDER BY ordinal) - 1 AS p FROM survivors), (VALUES ('.c'), ('.cpp')) e(extension)"
+    ),
 }

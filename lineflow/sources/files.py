@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineflow.operators.positions import positioned
 from lineflow.sources.corpus import with_ordinals
+from lineflow.sources.folder import write_files
 
 # --- Fixed values -----------------------------------------------------------------------
 BATCH_SIZE = 500
@@ -41,33 +37,32 @@ def manifest(df: DataFrame, batch_size: int = BATCH_SIZE) -> DataFrame:
     return with_batches(df, batch_size).select("sample_id", "batch", "path")
 
 
-def _emit(frames: Iterator[pd.DataFrame], out_dir: str) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for row in frame.itertuples(index=False):
-            folder = os.path.join(out_dir, row.batch)
-            os.makedirs(folder, exist_ok=True)
-            for extension in EXTENSIONS:
-                # A retried task writes the same bytes; the rename keeps readers from halves.
-                target = os.path.join(folder, row.sample_id + extension)
-                scratch = f"{target}.{os.getpid()}.tmp"
-                with open(scratch, "w", encoding="utf-8", newline="") as out:
-                    out.write(row.text)
-                os.replace(scratch, target)
-        yield frame[["sample_id", "batch", "path"]]
-
-
 def write_sources(df: DataFrame, out_dir: str, batch_size: int = BATCH_SIZE) -> DataFrame:
-    """Write every function as ``.c`` and ``.cpp`` under ``out_dir`` (a folder all executors
-    share) plus ``manifest.csv``; returns the manifest."""
+    """Write every function as ``.c`` and ``.cpp`` under ``out_dir``, an address of a store that
+    executors and driver share, plus ``manifest.csv``; returns the manifest. Batches appear
+    whole, after all of them are written."""
     repeated = df.groupBy("sample_id").count().filter("count > 1").limit(1)
     if not repeated.isEmpty():
         raise ValueError("sample_id values must be unique")
     body = F.regexp_replace("func_before", "\r\n?", "\n")
     body = F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
     rows = with_batches(df, batch_size).select("sample_id", "batch", "path", body.alias("text"))
-    written = rows.mapInPandas(partial(_emit, out_dir=out_dir), "sample_id string, batch string, path string")
-    written.write.mode("overwrite").csv(os.path.join(out_dir, "manifest.csv"), header=True)
-    return df.sparkSession.read.csv(os.path.join(out_dir, "manifest.csv"), header=True)
+    extensions = F.explode(F.array(*[F.lit(e) for e in EXTENSIONS]))
+    files = rows.withColumn("extension", extensions)
+    write_files(files.select(F.col("batch").alias("folder"), F.concat("sample_id", "extension").alias("name"), "text"), out_dir)
+    listed = f"{out_dir.rstrip('/')}/manifest.csv"
+    rows.select("sample_id", "batch", "path").write.mode("overwrite").csv(listed, header=True)
+    return df.sparkSession.read.csv(listed, header=True)
+
+
+def read_sources(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(sample_id, batch, extension, text) of every source file under ``out_dir``."""
+    found = spark.read.text(f"{out_dir.rstrip('/')}/batch_*", wholetext=True)
+    path = F.col("_metadata.file_path")
+    return found.select(
+        F.regexp_extract(path, r"([^/]+)(\.[a-z]+)$", 1).alias("sample_id"), F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("batch"),
+        F.regexp_extract(path, r"([^/]+)(\.[a-z]+)$", 2).alias("extension"), F.col("value").alias("text"),
+    )
 
 
 def load_background(spark: SparkSession, raw_dir: str, filtered: DataFrame) -> DataFrame:
