@@ -11,9 +11,7 @@ from __future__ import annotations
 import heapq
 from collections import deque
 from collections.abc import Callable
-from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
@@ -208,30 +206,23 @@ def depth_first_walk(n: int, u: list[int], v: list[int], entry: int, backtrack:
     return {"nodes": nodes, "slots": slots}
 
 
-def graph_rng(seed: int, graph_id: str) -> np.random.Generator:
-    """One stream per (seed, graph): results do not depend on which graphs ran before."""
-    return np.random.default_rng([seed, crc32(graph_id.encode())])
-
-
 @row_kernel(WALK)
-def random_walk(
-    n: int, u: list[int], v: list[int], entry: int, backtrack: bool, moves: int, seed: int, graph_id: str
-) -> dict:
-    """``moves`` uniform choices among the successors and, off the entry path, going back."""
+def random_walk(n: int, u: list[int], v: list[int], entry: int, backtrack: bool, draws: list[int]) -> dict:
+    """A choice for every draw, a number of 32 random bits, among the successors and, off the
+    entry path, going back."""
     out = targets(n, u, v)
-    draws = graph_rng(seed, graph_id).random(moves)
     nodes, slots, path = [entry], [], [entry]
     for draw in draws:
-        options = list(range(len(out[path[-1]])))
-        if backtrack and len(path) > 1:
-            options.append(BACKTRACK)
-        if not options:
+        options = len(out[path[-1]])
+        back = backtrack and len(path) > 1
+        if not options + back:
             break
-        slot = options[int(draw * len(options))]
-        if slot == BACKTRACK:
+        slot = draw * (options + back) >> 32
+        if slot == options:
             path.pop()
+            slots.append(BACKTRACK)
         else:
             path.append(out[path[-1]][slot])
-        slots.append(slot)
+            slots.append(slot)
         nodes.append(path[-1])
     return {"nodes": nodes, "slots": slots}

@@ -40,6 +40,12 @@ def _share(flag: str) -> Column:
     return F.avg(F.col(flag).cast("double"))
 
 
+def exact_mean(reward: str) -> Column:
+    """The mean of rewards, which are decimals of few digits, without rounding on the way: sums of
+    doubles depend on their order, and a mean half way between two roundings could go either."""
+    return F.avg(F.col(reward).cast("decimal(20,10)")).cast("double")
+
+
 def metric_columns() -> list[Column]:
     """A failed episode is charged every node and the whole budget; means over successes are
     NULL where there are none."""
@@ -56,7 +62,7 @@ def metric_columns() -> list[Column]:
         F.avg(F.when(won, F.col("actions_taken"))).alias("actions_success"),
         F.avg(actions).alias("actions_all"),
         F.avg(nodes / F.col("num_nodes")).alias("normalised_cost"),
-        F.avg("cumulative_reward").alias("cumulative_reward"),
+        exact_mean("cumulative_reward").alias("cumulative_reward"),
         F.avg(F.when(won & (F.col("dist_to_vuln") > 0), moves)).alias("path_efficiency"),
     ]
 
@@ -106,7 +112,7 @@ def summarize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         _share("success").alias("success_rate"),
         F.avg("nodes_inspected").alias("nodes_inspected"),
         F.avg("actions_taken").alias("actions_taken"),
-        F.avg("cumulative_reward").alias("cumulative_reward"),
+        exact_mean("cumulative_reward").alias("cumulative_reward"),
     )
 
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineflow.config import EnvConfig, RewardConfig
 from lineflow.functions import graph, kernels
+from lineflow.operators.metrics import exact_mean
 from lineflow.operators.rewrite import draw
 from lineflow.schema import EPISODE_COLUMNS
 
@@ -46,6 +47,14 @@ def _by(key: Callable[[Column], Column]) -> Column:
     return F.array_sort(keyed)["id"]
 
 
+def _draws() -> Column:
+    """32 random bits for every step of the budget: a hash of seed, graph and step, so that a
+    draw depends on no other one and can be made anew anywhere."""
+    steps = F.sequence(F.lit(0), F.col("max_steps") - 1)
+    bits = F.transform(steps, lambda t: F.substring(draw(F.col("seed"), F.col("sample_id"), t), 1, 8))
+    return F.transform(bits, lambda x: F.conv(x, 16, 10).cast("long"))
+
+
 METHODS: dict[str, Method] = {
     m.name: m
     for m in (
@@ -62,9 +71,7 @@ METHODS: dict[str, Method] = {
         ),
         Method(
             "random_walk",
-            lambda env: kernels.random_walk(
-                *_flow(), F.lit(env.allow_backtrack), F.col("max_steps"), F.col("seed"), F.col("sample_id")
-            ),
+            lambda env: kernels.random_walk(*_flow(), F.lit(env.allow_backtrack), _draws()),
             walks=True, stochastic=True,
         ),
         Method(
@@ -307,6 +314,11 @@ def run_evaluation(
     return out
 
 
+def _seeded(rows: DataFrame, how: Method, seeds: Sequence[int]) -> DataFrame:
+    used = list(seeds) if how.stochastic else list(seeds)[:1]
+    return rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in used])))
+
+
 def threshold_curve(
     graphs: DataFrame, name: str, thresholds: Sequence[float], env: EnvConfig | None = None,
     reward: RewardConfig | None = None, seeds: Sequence[int] = (0,), scorer: str = "heuristic",
@@ -315,8 +327,7 @@ def threshold_curve(
     then scored against every threshold on the same row."""
     env, reward = env or EnvConfig(), reward or RewardConfig()
     how = method(name)
-    used = list(seeds) if how.stochastic else list(seeds)[:1]
-    rows = prepared(graphs, env).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in used])))
+    rows = _seeded(prepared(graphs, env), how, seeds)
     rows = rows.withColumn("path", graph.settled(how.path(env)))
     rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     rows = rows.withColumn("fires", graph.settled(F.transform("score", lambda s: s >= F.col("threshold"))))
@@ -325,10 +336,113 @@ def threshold_curve(
         F.avg(F.col("success").cast("double")).alias("success_rate"),
         F.avg(F.col("declared_node").isNotNull().cast("double")).alias("declared_rate"),
         F.avg("nodes_inspected").alias("nodes_inspected"),
-        F.avg("cumulative_reward").alias("cumulative_reward"),
+        exact_mean("cumulative_reward").alias("cumulative_reward"),
     ).select(F.lit(name).alias("method"), F.lit(scorer).alias("scorer"), "*")
 
 
+#: What is counted of an ended episode; the reward is a sum of these, each times its price.
+COUNTS = ("episodes", "successes", "declared", "inspected", "moves", "revisits", "wrong", "timeouts")
+
+
+def _endings(rows: DataFrame, how: Method, grid: Sequence[float]) -> DataFrame:
+    """(low, high, counts): for every stretch of the sorted ``grid`` how the episode along
+    ``path`` ends at its thresholds. The first node that reaches a threshold is where the highest
+    score so far passes it, so the path's records cut the grid into stretches."""
+    budget, size = F.col("max_steps"), F.size("_nodes")
+    rows = rows.withColumn("_nodes", graph.settled(F.col("path.nodes") if how.walks else F.col("path")))
+    rows = rows.withColumn("_seen", graph.settled(F.transform(
+        F.slice("_nodes", F.lit(1), budget),
+        lambda n: F.when(F.get(F.col("statement"), n), F.get(F.col("score"), n)),
+    )))
+    record = "struct<best:double,met:array<struct<p:int,low:int,high:int>>>"
+    steps = F.array(*[F.lit(float(t)) for t in grid])
+
+    def reached(score: Column) -> Column:
+        return F.size(F.filter(steps, lambda t: t <= score))
+
+    begin = F.struct(F.lit(float("-inf")).alias("best"), F.array().cast("array<struct<p:int,low:int,high:int>>").alias("met")).cast(record)
+    numbered = F.transform("_seen", lambda s, p: F.struct(s.alias("s"), p.cast("int").alias("p")))
+    folded = F.aggregate(numbered, begin, lambda acc, x: F.when(
+        x["s"] > acc["best"],
+        F.struct(x["s"].alias("best"), F.concat(acc["met"], F.array(F.struct(
+            x["p"].alias("p"), reached(acc["best"]).alias("low"), reached(x["s"]).alias("high")
+        ))).alias("met")).cast(record),
+    ).otherwise(acc))
+    rows = rows.withColumn("_met", graph.settled(F.filter(folded["met"], lambda m: m["low"] < m["high"])))
+    done = F.coalesce(F.array_max(F.transform("_met", lambda m: m["high"])), F.lit(0))
+    last = F.least(budget, size - 1) if how.walks else F.when(size > budget, budget).otherwise(size - 1)
+    rows = rows.withColumn("_rest", F.struct(last.cast("int").alias("p"), done.cast("int").alias("low"), F.lit(len(grid)).alias("high")))
+
+    def counted(m: Column, declares: bool) -> Column:
+        node = F.get(F.col("_nodes"), m["p"])
+        right = F.coalesce(F.get(F.col("labelled"), node), F.lit(False)) & F.lit(declares)
+        inspected, revisits = m["p"] + 1, F.lit(0)
+        if how.walks:
+            seen = F.slice("_nodes", F.lit(1), m["p"] + 1)
+            inspected = F.size(F.array_distinct(seen))
+            # Steps that did not go back and yet led to no new node.
+            forward = F.size(F.filter(F.slice("path.slots", F.lit(1), m["p"]), lambda s: s != kernels.BACKTRACK))
+            revisits = forward - (inspected - 1)
+        values = (F.lit(1), right, F.lit(declares), inspected, m["p"], revisits, ~right & F.lit(declares), F.lit(not declares))
+        return F.struct(m["low"].alias("low"), m["high"].alias("high"), *[
+            v.cast("long").alias(c) for c, v in zip(COUNTS, values, strict=True)
+        ])
+
+    stretches = F.concat(F.transform("_met", lambda m: counted(m, True)), F.transform(F.array("_rest"), lambda m: counted(m, False)))
+    return rows.select("seed", F.explode(stretches).alias("e")).select("seed", "e.*").filter("low < high")
+
+
+def threshold_table(
+    graphs: DataFrame, names: Sequence[str], thresholds: Sequence[float], env: EnvConfig | None = None,
+    reward: RewardConfig | None = None, seeds: Sequence[int] = (0,), scorer: str = "heuristic",
+) -> DataFrame:
+    """``threshold_curve`` of many methods at once, over all seeds, without scoring an episode
+    per threshold: stretches of equal outcome are counted where they begin and taken away where
+    they end, in whole numbers, and one running sum over the grid gives every row."""
+    env, reward = env or EnvConfig(), reward or RewardConfig()
+    if env.max_declares != 1:
+        raise ValueError("a threshold table is for searches that declare once")
+    grid = sorted({float(t) for t in thresholds})
+    rows, ends = prepared(graphs, env), None
+    for name in names:
+        how = method(name)
+        part = _seeded(rows, how, seeds).withColumn("path", graph.settled(how.path(env)))
+        part = _endings(part, how, grid).withColumn("method", F.lit(name))
+        ends = part if ends is None else ends.unionByName(part)
+    signed = F.array(*[
+        F.struct(F.col(at).cast("int").alias("at"), *[(F.col(c) * sign).alias(c) for c in COUNTS])
+        for at, sign in (("low", 1), ("high", -1))
+    ])
+    # Every method has a row at every threshold.
+    blank = graphs.sparkSession.range(len(grid)).select(
+        F.explode(F.array(*[F.lit(n) for n in names])).alias("method"), F.col("id").cast("int").alias("at"),
+        *[F.lit(0).cast("long").alias(c) for c in COUNTS],
+    )
+    sums = ends.select("method", F.inline(signed)).unionByName(blank).groupBy("method", "at").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    # As many rows a method as the grid has steps.
+    upto = Window.partitionBy("method").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    totals = sums.select("method", "at", *[F.sum(c).over(upto).alias(c) for c in COUNTS]).filter(F.col("at") < len(grid))
+    prices = {
+        "moves": reward.step, "revisits": reward.revisit, "successes": reward.correct, "wrong": reward.wrong, "timeouts": reward.timeout,
+    }
+    # Decimals: a mean that lies half way between two roundings is not moved off it.
+    earned = sum((F.col(c) * F.lit(price).cast("decimal(10,6)") for c, price in prices.items()), F.lit(0).cast("decimal(10,6)"))
+    count = F.col("episodes").cast("decimal(11,0)")
+    return totals.select(
+        "method", F.lit(scorer).alias("scorer"), F.element_at(F.array(*[F.lit(t) for t in grid]), F.col("at") + 1).alias("threshold"),
+        "episodes", (F.col("successes") / F.col("episodes")).alias("success_rate"), (F.col("declared") / F.col("episodes")).alias("declared_rate"),
+        (F.col("inspected") / F.col("episodes")).alias("nodes_inspected"),
+        (earned.cast("decimal(20,6)") / count).cast("double").alias("cumulative_reward"),
+    )
+
+
+def best_thresholds(table: DataFrame) -> DataFrame:
+    """The best row of every method of a threshold table."""
+    rank = F.struct("success_rate", -F.col("nodes_inspected"), -F.col("threshold"))
+    rest = [c for c in table.columns if c != "method"]
+    return table.groupBy("method").agg(F.max_by(F.struct(*rest), rank).alias("b")).select("method", "b.*")
+
+
 def best_threshold(curve: DataFrame) -> DataFrame:
     """The best row of a curve: success, then fewer nodes, then the smaller threshold."""
     return curve.orderBy(F.desc("success_rate"), "nodes_inspected", "threshold").limit(1)

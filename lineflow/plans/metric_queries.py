@@ -118,7 +118,7 @@ b AS (SELECT *,
   CASE WHEN success THEN actions_taken ELSE max_steps END AS steps_all FROM ep)"""
 
 
-def _metrics(digits: bool = True) -> str:
+def metric_sql(digits: bool = True) -> str:
     cells = {
         "localization_accuracy": "avg(CAST(first_declare_correct AS INT))",
         "success_rate": "avg(CAST(success AS INT))",
@@ -127,7 +127,7 @@ def _metrics(digits: bool = True) -> str:
         "actions_success": "avg(actions_taken) FILTER (success)",
         "actions_all": "avg(steps_all)",
         "normalised_cost": "avg(nodes_all / num_nodes)",
-        "cumulative_reward": "avg(cumulative_reward)",
+        "cumulative_reward": "CAST(sum(CAST(cumulative_reward AS DECIMAL(20, 10))) AS DOUBLE) / count(*)",
         "path_efficiency": "avg((actions_taken - 1) / dist_to_vuln) FILTER (success AND dist_to_vuln > 0)",
     }
     wrap = (lambda c: f"round({c}, 6)") if digits else (lambda c: c)
@@ -135,7 +135,7 @@ def _metrics(digits: bool = True) -> str:
 
 
 def _by(*keys: str) -> str:
-    return f"{_EP} SELECT {', '.join(keys)}, {_metrics()} FROM b GROUP BY {', '.join(keys)}"
+    return f"{_EP} SELECT {', '.join(keys)}, {metric_sql()} FROM b GROUP BY {', '.join(keys)}"
 
 
 _GRAPH = """, pg AS (SELECT method, graph_id, avg(CAST(success AS INT)) AS success,
@@ -155,14 +155,14 @@ ORACLE = {
         SELECT 'size_bucket' AS breakdown, size_bucket AS bucket, * FROM b UNION ALL
         SELECT 'distance_bucket', distance_bucket, * FROM b UNION ALL
         SELECT 'vuln_bucket', vuln_bucket, * FROM b UNION ALL SELECT 'cwe', cwe, * FROM b)
-        SELECT breakdown, bucket, method, {_metrics()} FROM s GROUP BY ALL""",
-    "metrics_across_seeds": f"""{_EP}, m AS (SELECT method, seed, {_metrics(False)} FROM b GROUP BY method, seed)
+        SELECT breakdown, bucket, method, {metric_sql()} FROM s GROUP BY ALL""",
+    "metrics_across_seeds": f"""{_EP}, m AS (SELECT method, seed, {metric_sql(False)} FROM b GROUP BY method, seed)
         SELECT method, count(DISTINCT seed) AS seeds, """
     + ", ".join(f"round(avg({n}), 6) AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std" for n in metrics.METRIC_COLUMNS[1:])
     + " FROM m GROUP BY method",
     "episode_summary": f"""{_EP} SELECT count(*) AS episodes, round(avg(CAST(success AS INT)), 6) AS success_rate,
         round(avg(nodes_inspected), 6) AS nodes_inspected, round(avg(actions_taken), 6) AS actions_taken,
-        round(avg(cumulative_reward), 6) AS cumulative_reward FROM b""",
+        round(CAST(sum(CAST(cumulative_reward AS DECIMAL(20, 10))) AS DOUBLE) / count(*), 6) AS cumulative_reward FROM b""",
     "end_reason_shares": f"""{_EP} SELECT method, end_reason, round(count(*) / sum(count(*)) OVER (PARTITION BY method), 6) AS share
         FROM b GROUP BY method, end_reason""",
     "graph_means": f"""{_EP}{_GRAPH} SELECT method, graph_id, """

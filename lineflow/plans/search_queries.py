@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from lineflow.config import EnvConfig
 from lineflow.operators import metrics, stats, traces
-from lineflow.operators.search import best_threshold, run_evaluation, threshold_curve
+from lineflow.operators.search import best_threshold, best_thresholds, run_evaluation, threshold_curve, threshold_table
 from lineflow.plans.corpus_queries import _rounded
 from lineflow.plans.graph_queries import SQL_FLAT, SQL_SCORES, graph_sql
+from lineflow.plans.metric_queries import metric_sql
 from lineflow.plans.views import SEARCHERS, THRESHOLDS, episodes, graphs, scored_graphs
 
+SEEDS = (0, 1, 2)
 GRID = tuple(round(0.05 * i, 4) for i in range(1, 20))
 
 
@@ -66,7 +68,16 @@ def dfs_without_backtracking(spark, sf):
 
 
 def _curve(spark, sf, name):
-    return _rounded(threshold_curve(scored_graphs(spark, sf), name, GRID))
+    return _rounded(threshold_curve(scored_graphs(spark, sf), name, GRID, seeds=SEEDS))
+
+
+def all_thresholds(spark, sf):
+    """Every method at every threshold, over all seeds, in one pass."""
+    return _rounded(threshold_table(scored_graphs(spark, sf), SEARCHERS, GRID, seeds=SEEDS))
+
+
+def best_thresholds_by_method(spark, sf):
+    return _rounded(best_thresholds(threshold_table(scored_graphs(spark, sf), SEARCHERS, GRID, seeds=SEEDS)))
 
 
 def best_line_order_threshold(spark, sf):
@@ -121,7 +132,7 @@ QUERIES = {
         line_order_by_size, search_metrics, search_across_seeds, search_end_reasons,
         heuristic_methods, search_comparison, search_intervals, dfs_three_declares,
         dfs_without_backtracking, best_line_order_threshold, trace_checks, running_return,
-        step_table, replay_fold, action_mix,
+        step_table, replay_fold, action_mix, all_thresholds, best_thresholds_by_method,
     )
 }
 for _name in SEARCHERS:
@@ -129,25 +140,29 @@ for _name in SEARCHERS:
     QUERIES[f"{_name}_heuristic_episodes"] = partial(_episodes_of, method=f"{_name}+heuristic")
     QUERIES[f"{_name}_threshold_curve"] = partial(_curve, name=_name)
 
-# --- the same in SQL: methods whose order is a sort, and breadth-first by levels -----------
+# --- the same in SQL: orders are sorts, walks and searches go step by step ------------------
 
+_SEED_ROWS = "(VALUES " + ", ".join(f"({s})" for s in SEEDS) + ") s(seed)"
 _ORDERS = {
     "line_order": "SELECT ordinal, 0 AS seed, id, row_number() OVER (PARTITION BY ordinal ORDER BY line, id) - 1 AS p FROM node",
     "random_order": "SELECT ordinal, s.seed, id, row_number() OVER (PARTITION BY ordinal, s.seed ORDER BY md5(CAST(s.seed AS VARCHAR) || ':' || sample_id || ':' || CAST(id AS VARCHAR))) - 1 AS p"
-    " FROM node, (VALUES (0), (1), (2)) s(seed)",
+    f" FROM node, {_SEED_ROWS}",
     # Among shortest paths the queue prefers the smallest sequence of slots.
     "bfs": "SELECT ordinal, 0 AS seed, id, row_number() OVER (PARTITION BY ordinal ORDER BY depth, path) - 1 AS p FROM wave",
-    # A walk stands on nodes more than once; m counts the different ones so far.
-    "dfs": "SELECT ordinal, 0 AS seed, node AS id, t AS p, len(met) AS m FROM walk",
+    # A walk stands on nodes more than once; m counts the different ones so far, rv the returns to
+    # one of them that were not a step back.
+    "dfs": "SELECT ordinal, 0 AS seed, node AS id, t AS p, len(met) AS m, 0 AS rv FROM walk",
+    "random_walk": "SELECT ordinal, seed, node AS id, t AS p, len(met) AS m, rv FROM rwalk",
     "heuristic_first": "SELECT ordinal, 0 AS seed, node AS id, t AS p FROM best",
 }
+_WALKS = ("dfs", "random_walk")
 _SLOTTED = """, slotted AS MATERIALIZED (
   SELECT e.ordinal, e.u, e.v, row_number() OVER (PARTITION BY e.ordinal, e.u ORDER BY n.line, e.v) AS r
-  FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v)"""
+  FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v),
+leads AS MATERIALIZED (
+  SELECT ordinal, u, list(v ORDER BY r) AS vs FROM slotted GROUP BY ALL)"""
 # Step by step: to the first successor not met, else back along the path.
-_WALK = _SLOTTED + """, leads AS MATERIALIZED (
-  SELECT ordinal, u, list(v ORDER BY r) AS vs FROM slotted GROUP BY ALL),
-walk(ordinal, t, node, path, met) AS (
+_WALK = """, walk(ordinal, t, node, path, met) AS (
   SELECT ordinal, 0, 0, [0], [0] FROM kept
   UNION ALL
   SELECT ordinal, t + 1, coalesce(nx, path[len(path) - 1]),
@@ -156,21 +171,34 @@ walk(ordinal, t, node, path, met) AS (
   FROM (SELECT w.*, CAST(list_filter(l.vs, lambda x: NOT list_contains(w.met, x))[1] AS INTEGER) AS nx
         FROM walk w LEFT JOIN leads l ON l.ordinal = w.ordinal AND l.u = w.node)
   WHERE nx IS NOT NULL OR len(path) > 1)"""
+# Step by step: the hash of seed, graph and step chooses among successors and going back.
+_RANDOM = f""", rwalk(ordinal, sample_id, seed, cap, t, node, path, met, rv) AS (
+  SELECT k.ordinal, k.sample_id, s.seed, least(200, 4 * z.n), 0, 0, [0], [0], 0 FROM kept k JOIN size z USING (ordinal), {_SEED_ROWS}
+  UNION ALL
+  SELECT ordinal, sample_id, seed, cap, t + 1, coalesce(nx, path[len(path) - 1]),
+    CASE WHEN nx IS NULL THEN path[1:len(path) - 1] ELSE list_append(path, nx) END,
+    CASE WHEN nx IS NULL OR list_contains(met, nx) THEN met ELSE list_append(met, nx) END,
+    rv + CASE WHEN list_contains(met, nx) THEN 1 ELSE 0 END
+  FROM (SELECT *, CAST(vs[((bits * ways) >> 32) + 1] AS INTEGER) AS nx FROM (
+    SELECT w.*, l.vs, coalesce(len(l.vs), 0) + CASE WHEN len(w.path) > 1 THEN 1 ELSE 0 END AS ways,
+      CAST('0x' || substr(md5(w.seed || ':' || w.sample_id || ':' || w.t), 1, 8) AS BIGINT) AS bits
+    FROM rwalk w LEFT JOIN leads l ON l.ordinal = w.ordinal AND l.u = w.node))
+  WHERE ways > 0 AND t < cap)"""
 # Step by step: the frontier's highest score, then the earlier line, then the smaller id.
-_BEST = """, leads AS MATERIALIZED (
+_BEST = """, tops AS MATERIALIZED (
   SELECT e.ordinal, e.u, list({'low': -s.score, 'line': n.line, 'id': e.v}) AS vs
   FROM edge e JOIN node n ON n.ordinal = e.ordinal AND n.id = e.v JOIN score s ON s.ordinal = e.ordinal AND s.id = e.v
   GROUP BY ALL),
 best(ordinal, t, node, front, met) AS (
-  SELECT k.ordinal, 0, 0, (SELECT vs[1:0] FROM leads LIMIT 1), [0] FROM kept k
+  SELECT k.ordinal, 0, 0, (SELECT vs[1:0] FROM tops LIMIT 1), [0] FROM kept k
   UNION ALL
   SELECT ordinal, t + 1, nx.id, list_filter(ahead, lambda x: x.id <> nx.id), list_concat(met, list_transform(new, lambda x: x.id))
   FROM (SELECT *, list_sort(ahead)[1] AS nx FROM (
     SELECT *, list_concat(front, new) AS ahead FROM (
       SELECT b.*, coalesce(list_filter(l.vs, lambda x: NOT list_contains(b.met, x.id)), b.front[1:0]) AS new
-      FROM best b LEFT JOIN leads l ON l.ordinal = b.ordinal AND l.u = b.node)))
+      FROM best b LEFT JOIN tops l ON l.ordinal = b.ordinal AND l.u = b.node)))
   WHERE nx IS NOT NULL)"""
-_WAVES = _SLOTTED + """,
+_WAVES = """,
 wave(ordinal, id, depth, path) USING KEY (ordinal, id) AS (
   SELECT ordinal, 0, 0, '' FROM kept
   UNION
@@ -178,35 +206,44 @@ wave(ordinal, id, depth, path) USING KEY (ordinal, id) AS (
   JOIN slotted s ON s.ordinal = w.ordinal AND s.u = w.id
   WHERE NOT EXISTS (SELECT 1 FROM recurring.wave r WHERE r.ordinal = s.ordinal AND r.id = s.v)
   GROUP BY w.ordinal, s.v, w.depth)"""
+_PATHS = {"bfs": _WAVES, "dfs": _WALK, "heuristic_first": _BEST, "random_walk": _RANDOM}
+_BASE = f"{SQL_FLAT}{SQL_SCORES}{_SLOTTED}"
+#: Return of an episode, in decimals.
+_RETURN = "(moves * -0.01 + rv * -0.02 + final)"
+_MEAN_RETURN = f"round(CAST(sum({_RETURN}) AS DOUBLE) / count(*), 6)"
 
 
-def _search_cte(name: str, rules: str) -> str:
+def _outcomes(name: str, rules: str, mark: str = "") -> str:
     """Outcomes ``ep`` of one order under every declare rule of ``rules(ordinal, id, rule)``."""
-    walks = name == "dfs"
+    walks = name in _WALKS
     # The node reached with the last step of an order is inspected, but no hit.
     hit = "hit" if walks else "hit AND p < cap"
     seen = (
-        "y.m AS inspected FROM ep0 e JOIN vis y ON y.ordinal = e.ordinal AND y.seed = e.seed AND y.p = e.moves"
-        if walks else "moves + 1 AS inspected FROM ep0 e"
+        f"y.m AS inspected, y.rv FROM ep0{mark} e JOIN vis{mark} y ON y.ordinal = e.ordinal AND y.seed = e.seed AND y.p = e.moves"
+        if walks else f"moves + 1 AS inspected, 0 AS rv FROM ep0{mark} e"
     )
-    return f"""{SQL_FLAT}{SQL_SCORES}{ {'bfs': _WAVES, 'dfs': _WALK, 'heuristic_first': _BEST}.get(name, '')},
-vis AS MATERIALIZED ({_ORDERS[name]}),
-fire AS MATERIALIZED ({rules}),
-rules AS (SELECT DISTINCT rule FROM fire),
-cap AS (SELECT ordinal, n, least(200, 4 * n) AS cap FROM size),
-o AS (SELECT v.ordinal, v.seed, r.rule, v.id, v.p, c.n, c.cap, f.id IS NOT NULL AND s.kind NOT IN ('ENTRY', 'EXIT') AS fires, l.id IS NOT NULL AS hit
-  FROM vis v CROSS JOIN rules r JOIN cap c USING (ordinal) JOIN node s ON s.ordinal = v.ordinal AND s.id = v.id
-  LEFT JOIN fire f ON f.ordinal = v.ordinal AND f.id = v.id AND f.rule = r.rule
+    return f""",
+vis{mark} AS MATERIALIZED ({_ORDERS[name]}),
+fire{mark} AS MATERIALIZED ({rules}),
+rules{mark} AS (SELECT DISTINCT rule FROM fire{mark}),
+cap{mark} AS (SELECT ordinal, n, least(200, 4 * n) AS cap FROM size),
+o{mark} AS (SELECT v.ordinal, v.seed, r.rule, v.id, v.p, c.n, c.cap, f.id IS NOT NULL AND s.kind NOT IN ('ENTRY', 'EXIT') AS fires, l.id IS NOT NULL AS hit
+  FROM vis{mark} v CROSS JOIN rules{mark} r JOIN cap{mark} c USING (ordinal) JOIN node s ON s.ordinal = v.ordinal AND s.id = v.id
+  LEFT JOIN fire{mark} f ON f.ordinal = v.ordinal AND f.id = v.id AND f.rule = r.rule
   LEFT JOIN label l ON l.ordinal = v.ordinal AND l.id = v.id),
-ends AS (SELECT ordinal, seed, rule, n, cap, count(*) AS len, min(p) FILTER (fires AND p < cap) AS d,
-  min(p) FILTER ({hit}) AS h FROM o GROUP BY ALL),
-ep0 AS (SELECT e.*, k.sample_id, coalesce(x.hit, false) AS success,
+ends{mark} AS (SELECT ordinal, seed, rule, n, cap, count(*) AS len, min(p) FILTER (fires AND p < cap) AS d,
+  min(p) FILTER ({hit}) AS h FROM o{mark} GROUP BY ALL),
+ep0{mark} AS (SELECT e.*, k.sample_id, coalesce(x.hit, false) AS success,
   coalesce(d, CASE WHEN len > e.cap THEN e.cap ELSE len - 1 END) AS moves,
   CASE WHEN d IS NULL THEN -0.5 WHEN x.hit THEN 1.0 ELSE -0.5 END AS final,
   CASE WHEN d IS NOT NULL THEN CASE WHEN x.hit THEN 'correct' ELSE 'wrong_declare' END WHEN len > e.cap THEN 'timeout' ELSE 'exhausted' END AS end_reason
-  FROM ends e JOIN kept k USING (ordinal)
-  LEFT JOIN o x ON x.ordinal = e.ordinal AND x.seed = e.seed AND x.rule = e.rule AND x.p = e.d),
-ep AS (SELECT e.*, {seen})"""
+  FROM ends{mark} e JOIN kept k USING (ordinal)
+  LEFT JOIN o{mark} x ON x.ordinal = e.ordinal AND x.seed = e.seed AND x.rule = e.rule AND x.p = e.d),
+ep{mark} AS (SELECT e.*, {seen})"""
+
+
+def _search_cte(name: str, rules: str) -> str:
+    return _BASE + _PATHS.get(name, "") + _outcomes(name, rules)
 
 
 _ORACLE_RULE = "SELECT ordinal, id, 0 AS rule FROM label"
@@ -219,25 +256,28 @@ def _threshold_rule(limit: float) -> str:
 _GRID_RULE = "SELECT ordinal, id, CAST(t AS DOUBLE) AS rule FROM score, (VALUES " + ", ".join(f"({t})" for t in GRID) + ") g(t) WHERE score >= t UNION ALL SELECT -1, -1, CAST(t AS DOUBLE) FROM (VALUES " + ", ".join(f"({t})" for t in GRID) + ") g(t)"
 
 
-def _episode_sql(name: str, rules: str, label: str) -> str:
-    return graph_sql(
-        f"SELECT '{label}' AS method, CAST(seed AS INTEGER) AS seed, 'val' AS split, ep.sample_id AS graph_id, c.project, c.cwe,"
+def _episode_rows(label: str, mark: str = "") -> str:
+    return (
+        f"SELECT {label} AS method, CAST(seed AS INTEGER) AS seed, 'val' AS split, ep.sample_id AS graph_id, c.project, c.cwe,"
         " CAST(n AS INTEGER) AS num_nodes, CAST((SELECT count(*) FROM label l WHERE l.ordinal = ep.ordinal) AS INTEGER) AS num_vuln,"
         " CAST(coalesce(dist.d, -1) AS INTEGER) AS dist_to_vuln, CAST(cap AS INTEGER) AS max_steps, success,"
         " success AS first_declare_correct, CAST(inspected AS INTEGER) AS nodes_inspected,"
         " CAST(CASE WHEN ep.d IS NULL THEN moves ELSE moves + 1 END AS INTEGER) AS actions_taken,"
-        " round(moves * -0.01::DOUBLE + final, 6) AS cumulative_reward,"
+        f" round(CAST({_RETURN} AS DOUBLE), 6) AS cumulative_reward,"
         " CAST(CASE WHEN h <= moves THEN h END AS INTEGER) AS first_hit_step, end_reason"
-        " FROM ep JOIN corpus c USING (ordinal) LEFT JOIN dist USING (ordinal)",
-        _search_cte(name, rules),
+        f" FROM ep{mark} ep JOIN corpus c USING (ordinal) LEFT JOIN dist USING (ordinal)"
     )
 
 
+def _episode_sql(name: str, rules: str, label: str) -> str:
+    return graph_sql(_episode_rows(f"'{label}'"), _search_cte(name, rules))
+
+
 def _curve_sql(name: str, tail: str = "") -> str:
     return graph_sql(
         f"SELECT '{name}' AS method, 'heuristic' AS scorer, rule AS threshold, round(avg(CAST(success AS INT)), 6) AS success_rate,"
         " round(avg(CAST(d IS NOT NULL AS INT)), 6) AS declared_rate, round(avg(inspected), 6) AS nodes_inspected,"
-        f" round(avg(moves * -0.01::DOUBLE + final), 6) AS cumulative_reward FROM ep WHERE seed = 0 GROUP BY rule{tail}",
+        f" {_MEAN_RETURN} AS cumulative_reward FROM ep GROUP BY rule{tail}",
         _search_cte(name, _GRID_RULE),
     )
 
@@ -247,7 +287,7 @@ ORACLE = {
     "back_edges": graph_sql(
         "SELECT DISTINCT k.sample_id, CAST(e.u AS INTEGER) AS u, CAST(e.v AS INTEGER) AS v FROM edge e JOIN kept k USING (ordinal)"
         " JOIN walk w ON w.ordinal = e.ordinal AND w.node = e.u WHERE list_contains(w.path, e.v)",
-        SQL_FLAT + _WALK.replace("ORDER BY n.line, e.v", "ORDER BY e.v"),
+            SQL_FLAT + _SLOTTED.replace("ORDER BY n.line, e.v", "ORDER BY e.v") + _WALK,
     )
 }
 for _name in _ORDERS:
@@ -267,7 +307,7 @@ ORACLE["line_order_by_size"] = graph_sql(
        round(avg(moves + 1) FILTER (success), 6) AS actions_success,
        round(avg(CASE WHEN success THEN moves + 1 ELSE cap END), 6) AS actions_all,
        round(avg(CASE WHEN success THEN moves + 1 ELSE n END / n), 6) AS normalised_cost,
-       round(avg(moves * -0.01::DOUBLE + final), 6) AS cumulative_reward,
+       """ + _MEAN_RETURN + """ AS cumulative_reward,
        round(avg(moves / dist.d) FILTER (success AND dist.d > 0), 6) AS path_efficiency
        FROM ep LEFT JOIN dist USING (ordinal) GROUP BY 1""",
     _search_cte("line_order", _ORACLE_RULE),
@@ -286,3 +326,33 @@ ORACLE["step_table"] = graph_sql(
     " FROM steps s JOIN node a ON a.ordinal = s.ordinal AND a.id = s.node JOIN node b ON b.ordinal = s.ordinal AND b.id = s.next_node",
     _search_cte("line_order", _ORACLE_RULE) + _STEPS,
 )
+
+# All methods under both rules at once.
+_EPISODES = _BASE + "".join(_PATHS.values()) + "".join(
+    _outcomes(name, f"SELECT ordinal, id, 0 AS rule FROM label UNION ALL SELECT ordinal, id, 1 FROM score WHERE score >= {THRESHOLDS[name]}", f"_{name}")
+    for name in _ORDERS
+) + ", eps AS MATERIALIZED (" + " UNION ALL ".join(
+    _episode_rows(f"'{name}' || CASE rule WHEN 1 THEN '+heuristic' ELSE '' END", f"_{name}") for name in _ORDERS
+) + """), b AS (SELECT *, CASE WHEN success THEN nodes_inspected ELSE num_nodes END AS nodes_all,
+  CASE WHEN success THEN actions_taken ELSE max_steps END AS steps_all FROM eps)"""
+ORACLE["search_metrics"] = graph_sql(f"SELECT method, {metric_sql()} FROM b GROUP BY method", _EPISODES)
+ORACLE["heuristic_methods"] = graph_sql(f"SELECT method, {metric_sql()} FROM b WHERE method LIKE '%+heuristic' GROUP BY method", _EPISODES)
+ORACLE["search_end_reasons"] = graph_sql(
+    "SELECT method, end_reason, round(count(*) / sum(count(*)) OVER (PARTITION BY method), 6) AS share FROM b GROUP BY method, end_reason", _EPISODES
+)
+ORACLE["search_across_seeds"] = graph_sql(
+    "SELECT method, count(DISTINCT seed) AS seeds, "
+    + ", ".join(f"round(avg({n}), 6) AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std" for n in metrics.METRIC_COLUMNS[1:])
+    + " FROM m GROUP BY method",
+    _EPISODES + f", m AS (SELECT method, seed, {metric_sql(False)} FROM b GROUP BY method, seed)",
+)
+_TABLE = _BASE + "".join(_PATHS.values()) + "".join(_outcomes(name, _GRID_RULE, f"_{name}") for name in _ORDERS) + ", curve AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS method, rule, success, d, inspected, moves, rv, final FROM ep_{name}" for name in _ORDERS
+) + f"""), tab AS MATERIALIZED (SELECT method, 'heuristic' AS scorer, rule AS threshold, count(*) AS episodes,
+  round(avg(CAST(success AS INT)), 6) AS success_rate, round(avg(CAST(d IS NOT NULL AS INT)), 6) AS declared_rate,
+  round(avg(inspected), 6) AS nodes_inspected, {_MEAN_RETURN} AS cumulative_reward,
+  sum(CAST(success AS INT)) AS wins, sum(inspected) AS seen FROM curve GROUP BY method, rule)"""
+ORACLE["all_thresholds"] = graph_sql("SELECT * EXCLUDE (wins, seen) FROM tab", _TABLE)
+ORACLE["best_thresholds_by_method"] = graph_sql(
+    "SELECT * EXCLUDE (wins, seen) FROM tab QUALIFY row_number() OVER (PARTITION BY method ORDER BY wins DESC, seen, threshold) = 1", _TABLE
+)
