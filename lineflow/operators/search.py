@@ -246,6 +246,7 @@ def score_walks(rows: DataFrame, reward: RewardConfig, env: EnvConfig) -> DataFr
             + F.size(F.filter(F.col("_made"), lambda d: d["q"] < F.col("_hit"))),
             "end_reason": reason,
             "visit_order": F.array_distinct(seen),
+            "declarations": F.col("_made"),
         }
     ).drop("_nodes", "_at", "_asked", "_allowed", "_right", "_made", "_moves", "_over", "_spent", "_hit")
 

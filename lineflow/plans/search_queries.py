@@ -85,10 +85,21 @@ def best_line_order_threshold(spark, sf):
 
 
 def _all_traces(spark, sf):
+    """Every method declaring on labels, and breadth-first by threshold."""
     rows = scored_graphs(spark, sf)
-    parts = [traces.search_traces(rows, name) for name in ("dfs", "line_order")]
-    parts.append(traces.search_traces(rows, "bfs", threshold=0.1))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = traces.search_traces(rows, "bfs", threshold=0.1)
+    for name in SEARCHERS:
+        out = out.unionByName(traces.search_traces(rows, name))
+    return out
+
+
+def _three_declares(spark, sf):
+    return traces.search_traces(scored_graphs(spark, sf), "dfs", env=EnvConfig(max_declares=3), threshold=0.1)
+
+
+def declared_steps(spark, sf):
+    """Every action of the depth-first walks that may declare three times, with the return so far."""
+    return _rounded(traces.running_return(_three_declares(spark, sf)))
 
 
 def trace_checks(spark, sf):
@@ -111,10 +122,8 @@ def step_table(spark, sf):
     return traces.step_table(rows, graphs(spark, sf))
 
 
-def replay_fold(spark, sf):
-    """Where the depth-first replays stand after all their steps."""
-    rows = traces.replay(traces.search_traces(graphs(spark, sf), "dfs"))
-    return rows.select(
+def _replayed(rows):
+    return traces.replay(rows).select(
         "graph_id", "current", F.size("visits").alias("visited"), F.size("stack").alias("depth"),
         F.array_join(F.col("declared").cast("array<string>"), ",").alias("declared"),
         F.size("taken_edges").alias("edges"), F.round("running_return", 6).alias("running_return"),
@@ -122,6 +131,15 @@ def replay_fold(spark, sf):
     )
 
 
+def replay_fold(spark, sf):
+    """Where the depth-first replays stand after all their steps."""
+    return _replayed(traces.search_traces(graphs(spark, sf), "dfs"))
+
+
+def replay_three_declares(spark, sf):
+    return _replayed(_three_declares(spark, sf))
+
+
 def action_mix(spark, sf):
     return _rounded(metrics.action_mix(traces.step_rows(_all_traces(spark, sf)), ["method"]))
 
@@ -133,6 +151,7 @@ QUERIES = {
         heuristic_methods, search_comparison, search_intervals, dfs_three_declares,
         dfs_without_backtracking, best_line_order_threshold, trace_checks, running_return,
         step_table, replay_fold, action_mix, all_thresholds, best_thresholds_by_method,
+        declared_steps, replay_three_declares,
     )
 }
 for _name in SEARCHERS:
@@ -356,3 +375,96 @@ ORACLE["all_thresholds"] = graph_sql("SELECT * EXCLUDE (wins, seen) FROM tab", _
 ORACLE["best_thresholds_by_method"] = graph_sql(
     "SELECT * EXCLUDE (wins, seen) FROM tab QUALIFY row_number() OVER (PARTITION BY method ORDER BY wins DESC, seen, threshold) = 1", _TABLE
 )
+
+# Walks that may declare several times: the j-th declaration, at position q, is action q + j.
+
+
+def _declares(limit: int, rules: str, backtrack: bool = True) -> str:
+    """Outcomes ``many`` of depth-first walks with ``limit`` declarations under ``rules(ordinal, id)``."""
+    walk = _WALK if backtrack else _WALK.replace("WHERE nx IS NOT NULL OR len(path) > 1)", "WHERE nx IS NOT NULL)")
+    return _BASE + walk + f""",
+fire AS MATERIALIZED ({rules}),
+asked AS MATERIALIZED (
+  SELECT ordinal, id, q, row_number() OVER (PARTITION BY ordinal ORDER BY q) - 1 AS j,
+    EXISTS (SELECT 1 FROM label l WHERE l.ordinal = x.ordinal AND l.id = x.id) AS hit
+  FROM (SELECT w.ordinal, w.node AS id, min(w.t) AS q FROM walk w JOIN fire f ON f.ordinal = w.ordinal AND f.id = w.node
+        JOIN node n ON n.ordinal = w.ordinal AND n.id = w.node WHERE n.kind NOT IN ('ENTRY', 'EXIT') GROUP BY ALL) x),
+may AS (SELECT a.*, min(j) FILTER (a.hit) OVER (PARTITION BY ordinal) AS first_hit FROM asked a JOIN size z USING (ordinal)
+  WHERE j < {limit} AND q + j < least(200, 4 * n)),
+made AS MATERIALIZED (SELECT * FROM may WHERE first_hit IS NULL OR j <= first_hit),
+sums AS (SELECT ordinal, count(*) AS made, coalesce(bool_or(hit), false) AS success, max(q) AS last, max_by(id, j) AS declared_node, min_by(hit, j) AS first_right,
+    string_agg(CAST(id AS VARCHAR), ',' ORDER BY j) AS declared FROM made GROUP BY ordinal),
+many0 AS (SELECT k.ordinal, k.sample_id, z.n, least(200, 4 * z.n) AS cap, coalesce(made, 0) AS made, coalesce(success, false) AS success, last, declared_node,
+    coalesce(first_right, false) AS first_right, coalesce(declared, '') AS declared,
+    (SELECT max(t) FROM walk w WHERE w.ordinal = k.ordinal) AS all_moves
+  FROM kept k JOIN size z USING (ordinal) LEFT JOIN sums USING (ordinal)),
+many1 AS (SELECT *, NOT success AND made = {limit} AS spent, NOT (success OR made = {limit}) AND all_moves + made >= cap AS over FROM many0),
+many AS MATERIALIZED (SELECT m.*, CASE WHEN success OR spent THEN last WHEN over THEN cap - made ELSE all_moves END AS moves FROM many1 m),
+result AS MATERIALIZED (SELECT m.*, w.node AS here, len(w.met) AS inspected, len(w.path) - 1 AS depth,
+    CAST(moves * -0.01 + (made - CASE WHEN success THEN 1 ELSE 0 END) * -0.5 + CASE WHEN success THEN 1.0 WHEN spent THEN 0.0 ELSE -0.5 END AS DOUBLE) AS cumulative_reward,
+    (SELECT min(x.t) FROM walk x JOIN label l ON l.ordinal = x.ordinal AND l.id = x.node WHERE x.ordinal = m.ordinal AND x.t <= m.moves) AS hit_at
+  FROM many m JOIN walk w ON w.ordinal = m.ordinal AND w.t = m.moves)"""
+
+
+def _declare_episodes(label: str, stuck: str) -> str:
+    return (
+        f"SELECT '{label}' AS method, CAST(0 AS INTEGER) AS seed, 'val' AS split, e.sample_id AS graph_id, c.project, c.cwe,"
+        " CAST(n AS INTEGER) AS num_nodes, CAST((SELECT count(*) FROM label l WHERE l.ordinal = e.ordinal) AS INTEGER) AS num_vuln,"
+        " CAST(coalesce(dist.d, -1) AS INTEGER) AS dist_to_vuln, CAST(cap AS INTEGER) AS max_steps, success, first_right AS first_declare_correct,"
+        " CAST(inspected AS INTEGER) AS nodes_inspected, CAST(moves + made AS INTEGER) AS actions_taken, round(cumulative_reward, 6) AS cumulative_reward,"
+        " CAST(hit_at + (SELECT count(*) FROM made m WHERE m.ordinal = e.ordinal AND m.q < hit_at) AS INTEGER) AS first_hit_step,"
+        f" CASE WHEN success THEN 'correct' WHEN spent THEN 'wrong_declare' WHEN over THEN 'timeout' {stuck} ELSE 'exhausted' END AS end_reason"
+        " FROM result e JOIN corpus c USING (ordinal) LEFT JOIN dist USING (ordinal)"
+    )
+
+
+_THREE = _declares(3, "SELECT ordinal, id FROM score WHERE score >= 0.1")
+ORACLE["dfs_three_declares"] = graph_sql(_declare_episodes("dfs+heuristic", ""), _THREE)
+# Without going back a walk is stuck where no edge leads on and nothing is left to declare.
+ORACLE["dfs_without_backtracking"] = graph_sql(
+    _declare_episodes(
+        "dfs",
+        "WHEN NOT EXISTS (SELECT 1 FROM leads l WHERE l.ordinal = e.ordinal AND l.u = e.here) AND (EXISTS (SELECT 1 FROM node x"
+        " WHERE x.ordinal = e.ordinal AND x.id = e.here AND x.kind IN ('ENTRY', 'EXIT')) OR EXISTS (SELECT 1 FROM made m WHERE m.ordinal = e.ordinal AND m.id = e.here))"
+        " THEN 'dead_end'",
+    ),
+    _declares(1, "SELECT ordinal, id FROM label", backtrack=False),
+)
+_ACTIONS = """, acts AS MATERIALIZED (
+  SELECT r.ordinal, r.sample_id, a.t + (SELECT count(*) FROM made m WHERE m.ordinal = r.ordinal AND m.q <= a.t) AS t, a.node,
+    CASE WHEN len(b.path) < len(a.path) THEN 'BACKTRACK' ELSE 'MOVE_' || CAST(list_position(l.vs, b.node) - 1 AS VARCHAR) END AS action,
+    b.node AS next_node, CAST(-0.01 AS DECIMAL(9, 2)) AS gain
+  FROM result r JOIN walk a ON a.ordinal = r.ordinal AND a.t < r.moves JOIN walk b ON b.ordinal = a.ordinal AND b.t = a.t + 1
+  LEFT JOIN leads l ON l.ordinal = a.ordinal AND l.u = a.node
+  UNION ALL SELECT r.ordinal, r.sample_id, m.q + m.j, m.id, 'DECLARE', m.id, CASE WHEN m.hit THEN 1.0 ELSE -0.5 END FROM result r JOIN made m USING (ordinal)),
+charged AS (SELECT a.*, gain + CASE WHEN NOT r.success AND NOT r.spent AND a.t = r.moves + r.made - 1 THEN -0.5 ELSE 0 END AS reward
+  FROM acts a JOIN result r USING (ordinal))"""
+ORACLE["declared_steps"] = graph_sql(
+    "SELECT sample_id AS graph_id, 'dfs+heuristic' AS method, CAST(t AS INTEGER) AS t, node, action, next_node, round(CAST(reward AS DOUBLE), 6) AS reward,"
+    " round(CAST(sum(reward) OVER (PARTITION BY ordinal ORDER BY t) AS DOUBLE), 6) AS total FROM charged",
+    _THREE + _ACTIONS,
+)
+# After all steps: the walk's last node, its path back, and every edge it went forward on.
+_REPLAY = (
+    "SELECT sample_id AS graph_id, CAST(here AS INTEGER) AS current, CAST(inspected AS INTEGER) AS visited, CAST(depth AS INTEGER) AS depth, declared,"
+    " CAST((SELECT count(DISTINCT (node, next_node)) FROM charged a WHERE a.ordinal = r.ordinal AND action LIKE 'MOVE%') AS INTEGER) AS edges,"
+    " round(CAST(coalesce((SELECT sum(reward) FROM charged a WHERE a.ordinal = r.ordinal), 0) AS DOUBLE), 6) AS running_return, true AS finished FROM result r"
+)
+ORACLE["replay_three_declares"] = graph_sql(_REPLAY, _THREE + _ACTIONS)
+ORACLE["replay_fold"] = graph_sql(_REPLAY, _declares(1, "SELECT ordinal, id FROM label") + _ACTIONS)
+# Traces are of seed 0; steps back are what is left of a walk's moves without its forward ones.
+_TRACED = ", traced AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' || CASE rule WHEN 1 THEN '+heuristic' ELSE '' END AS method, moves, CASE WHEN d IS NULL THEN 0 ELSE 1 END AS declares,"
+    + (" moves - (inspected - 1) - rv AS backs" if name in _WALKS else " NULL AS backs")
+    + f" FROM ep_{name} WHERE seed = 0 AND (rule = 0{' OR rule = 1' if name == 'bfs' else ''})"
+    for name in _ORDERS
+) + ")"
+ORACLE["trace_checks"] = graph_sql(
+    "SELECT method, count(*) AS traces, CAST(0 AS BIGINT) AS broken, CAST(sum(moves + declares) AS BIGINT) AS steps FROM traced GROUP BY method", _EPISODES + _TRACED
+)
+ORACLE["action_mix"] = graph_sql(
+    "SELECT method, CAST(sum(moves + declares) AS BIGINT) AS actions, round(coalesce(sum(moves - backs), 0) / sum(moves + declares), 6) AS move_share,"
+    " round(coalesce(sum(backs), 0) / sum(moves + declares), 6) AS backtrack_share, round(sum(declares) / sum(moves + declares), 6) AS declare_share,"
+    " round(CASE WHEN method IN ('dfs', 'random_walk') THEN 0 ELSE sum(moves) END / sum(moves + declares), 6) AS inspect_share FROM traced GROUP BY method",
+    _EPISODES + _TRACED,
+)

@@ -106,6 +106,55 @@ def test_threshold_curve(make_graphs):
     assert best.success_rate == max(r.success_rate for r in curve)
 
 
+def test_threshold_table_is_all_curves(make_graphs):
+    scored, grid, seeds = scored_graphs(make_graphs), (0.99, 0.05, 0.2, 0.2, 0.0, 5.0), (0, 1, 2)
+    names = ("dfs", "bfs", "line_order", "heuristic_first", "random_walk", "random_order")
+    table = {(r.method, r.threshold): r for r in search.threshold_table(scored, names, grid, seeds=seeds).collect()}
+    assert len(table) == len(names) * 5
+    for name in names:
+        for r in search.threshold_curve(scored, name, sorted(set(grid)), seeds=seeds).collect():
+            t = table[name, r.threshold]
+            for column in ("success_rate", "declared_rate", "nodes_inspected", "cumulative_reward"):
+                assert t[column] == pytest.approx(r[column], abs=1e-12), (name, r.threshold, column)
+    best = {r.method: r for r in search.best_thresholds(search.threshold_table(scored, names, grid, seeds=seeds)).collect()}
+    assert all(best[m].success_rate >= t.success_rate for (m, _), t in table.items())
+
+
+def test_random_walks_depend_on_seed_graph_and_step_only(make_graphs):
+    scored = scored_graphs(make_graphs)
+    all_rows = {r.graph_id: r for r in search.run_evaluation(scored, ["random_walk"], seeds=(4,)).collect()}
+    some = search.run_evaluation(scored.filter("sample_id IN ('g3', 'g7')"), ["random_walk"], seeds=(4,)).collect()
+    assert len(some) == 2 and all(all_rows[r.graph_id] == r for r in some)
+    other = {r.graph_id: r for r in search.run_evaluation(scored, ["random_walk"], seeds=(5,)).collect()}
+    assert any(all_rows[i].actions_taken != other[i].actions_taken for i in other)
+
+
+@pytest.mark.parametrize("limit", [2, 3])
+def test_traces_with_several_declarations(make_graphs, limit):
+    from lineflow.config import EnvConfig
+
+    scored, env = scored_graphs(make_graphs), EnvConfig(max_declares=limit)
+    for name in ("dfs", "random_walk"):
+        rows = traces.search_traces(scored, name, env=env, threshold=0.05)
+        assert rows.filter(traces.trace_problem().isNotNull()).count() == 0
+        episodes = {r.graph_id: r for r in search.run_evaluation(scored, [name], env=env, threshold=0.05).collect()}
+        declared = 0
+        state = {r.graph_id: r for r in traces.replay(rows).collect()}
+        for r in rows.collect():
+            e, steps = episodes[r.graph_id], r.steps
+            assert len(steps) == e.actions_taken and r.outcome["return"] == pytest.approx(e.cumulative_reward)
+            assert state[r.graph_id].running_return == pytest.approx(e.cumulative_reward)
+            made = [s for s in steps if s.action == "DECLARE"]
+            assert len(made) <= limit and len({s.node for s in made}) == len(made)
+            assert [s.node for s in made] == state[r.graph_id].declared
+            declared = max(declared, len(made))
+            if e.success:
+                assert steps[-1].action == "DECLARE" and steps[-1].reward == 1.0
+        assert declared > 1
+    with pytest.raises(ValueError):
+        traces.search_traces(scored, "bfs", env=env)
+
+
 def manual_trace(spark):
     steps = [(0, 0, "MOVE_0", 1, -0.01), (1, 1, "MOVE_0", 2, -0.01), (2, 2, "BACKTRACK", 1, -0.01),
              (3, 1, "MOVE_1", 3, -0.01), (4, 3, "DECLARE", 3, 1.0)]
