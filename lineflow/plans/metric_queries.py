@@ -86,7 +86,32 @@ def signed_rank_parts(spark, sf):
 
 
 def wilcoxon_nodes_inspected(spark, sf):
-    return stats.wilcoxon_nodes_inspected(line_episodes(spark, sf), "A", "N")
+    return _rounded(stats.wilcoxon_nodes_inspected(line_episodes(spark, sf), "A", "N"))
+
+
+def signed_rank_tails(spark, sf):
+    """Signed-rank tests of account balances against 5,000 by nation and segment: groups small
+    enough for exact tails and larger ones."""
+    pairs = table(spark, sf, "customer").select(
+        "c_nationkey", "c_mktsegment", F.col("c_acctbal").cast("double").alias("nodes_inspected_a"), F.lit(5000.0).alias("nodes_inspected_b")
+    )
+    keys = ["c_nationkey", "c_mktsegment"]
+    parts = stats.signed_rank_p(stats.signed_rank(pairs, by=keys))
+    return _rounded(parts.select(*keys, "graphs", "nonzero", "tied", "statistic", "p_value"))
+
+
+def interval_facts(spark, sf):
+    """What the intervals of every method and metric stand on."""
+    rows = stats.confidence_intervals(line_episodes(spark, sf), n_resamples=20)
+    return _rounded(rows.withColumn("holds", (F.col("low") <= F.col("high"))).select("method", "metric", "mean", "graphs", "holds"))
+
+
+def comparison_tests(spark, sf):
+    """Both tests of every method against the reference, as in the comparison table."""
+    means = stats.per_graph(line_episodes(spark, sf))
+    solved = stats.mcnemar_against(means, "A").select("method_b", "graphs", F.col("p_value").alias("p_success"))
+    nodes = stats.wilcoxon_against(means, "A").select("method_b", "statistic", F.col("p_value").alias("p_nodes"))
+    return _rounded(solved.join(nodes, "method_b"))
 
 
 def confidence_intervals(spark, sf):
@@ -103,7 +128,7 @@ QUERIES = {
         episode_metrics, metrics_by_size, metrics_by_distance, metrics_by_labels, metrics_by_cwe,
         all_breakdowns, metrics_across_seeds, episode_summary, end_reason_shares, graph_means,
         paired_graphs, mcnemar_success, signed_rank_parts, wilcoxon_nodes_inspected,
-        confidence_intervals, comparison_table,
+        confidence_intervals, comparison_table, signed_rank_tails, interval_facts, comparison_tests,
     )
 }
 
@@ -185,3 +210,54 @@ ORACLE = {
           count(*) AS graphs, round(median(d), 6) AS median_difference, round(avg(d), 6) AS mean_difference,
           count(*) FILTER (d = 0) AS zeros FROM d""",
 }
+
+
+def _sql_p(statistic: str, n: str, ties: str, exact: str) -> str:
+    """Two-sided p-value: signs counted by rank sum, or the normal tail as series and fraction."""
+    x = f"(abs(({statistic} - {n} * ({n} + 1) / 4.0) / sqrt({n} * ({n} + 1.0) * (2 * {n} + 1) / 24.0 - {ties} / 48.0)) / sqrt(2.0))"
+    ways = (
+        f"list_sum(list_reduce(range(1, {n} + 1), lambda w, r: list_transform(range(1, len(w) + 1),"
+        " lambda s: w[s] + CASE WHEN s > r THEN w[s - r] ELSE 0 END),"
+        f" list_transform(range(CAST(floor({statistic}) AS BIGINT) + 1), lambda s: CASE WHEN s = 0 THEN CAST(1 AS BIGINT) ELSE 0 END)))"
+    )
+    series = (
+        f"list_sum(list_transform(range(0, 81), lambda k: {x} * exp(k * ln(2.0 * {x} * {x})"
+        " - list_sum(list_transform(range(0, k + 1), lambda i: ln(2 * i + 1.0))))))"
+    )
+    fraction = f"list_reduce(list_transform(range(80, 0, -1), lambda k: CAST(k AS DOUBLE)), lambda t, k: {x} + k / 2.0 / t, {x})"
+    return (
+        f"CASE WHEN {n} = 0 THEN 1.0 WHEN {exact} THEN least(1.0, 2.0 * {ways} / pow(2.0, {n}))"
+        f" WHEN {x} = 0 THEN 1.0 WHEN {x} < 2.5 THEN 1.0 - 2.0 / sqrt(pi()) * exp(-{x} * {x}) * {series}"
+        f" ELSE exp(-{x} * {x}) / (sqrt(pi()) * {fraction}) END"
+    )
+
+
+def _ranked(by: str, source: str) -> str:
+    """Parts of the signed-rank tests of ``source(by, d)``."""
+    return f"""ranks AS (SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) AS lo, count(*) OVER (PARTITION BY {by}, abs(d)) AS n FROM {source} WHERE d <> 0),
+sr AS (SELECT {by}, least(coalesce(sum(lo + (n - 1) / 2) FILTER (d > 0), 0), coalesce(sum(lo + (n - 1) / 2) FILTER (d < 0), 0)) AS statistic,
+  count(*) AS nonzero, sum(CAST(n AS DOUBLE) * n - 1) AS ties, count(DISTINCT abs(d)) FILTER (n > 1) AS tied FROM ranks GROUP BY {by}),
+whole AS (SELECT {by}, count(*) AS graphs, count(*) FILTER (d = 0) AS zeros, median(d) AS median_difference, avg(d) AS mean_difference FROM {source} GROUP BY {by}),
+tests AS MATERIALIZED (SELECT * EXCLUDE (statistic, nonzero, ties, tied), coalesce(statistic, 0) AS statistic, coalesce(nonzero, 0) AS nonzero, coalesce(ties, 0) AS ties, coalesce(tied, 0) AS tied
+  FROM whole LEFT JOIN sr USING ({by}))"""
+
+
+_P = "round(" + _sql_p("statistic", "nonzero", "ties", f"nonzero <= {stats.EXACT_PAIRS} AND tied = 0 AND zeros = 0") + ", 6)"
+_AGAINST = f"""{_EP}{_GRAPH}, dif AS (SELECT y.method, round(x.nodes_inspected - y.nodes_inspected, 9) AS d, x.success AS sa, y.success AS sb
+  FROM pg x JOIN pg y ON x.method = 'A' AND y.method <> 'A' AND y.graph_id = x.graph_id), """ + _ranked("method", "dif")
+ORACLE["wilcoxon_nodes_inspected"] = (
+    f"{_AGAINST} SELECT 'A' AS method_a, method AS method_b, graphs, round(median_difference, 6) AS median_difference,"
+    f" round(mean_difference, 6) AS mean_difference, round(statistic, 6) AS statistic, {_P} AS p_value FROM tests WHERE method = 'N'"
+)
+ORACLE["signed_rank_tails"] = (
+    "WITH bal AS (SELECT c_nationkey, c_mktsegment, round(CAST(c_acctbal AS DOUBLE) - 5000.0, 9) AS d FROM customer), "
+    + _ranked("c_nationkey, c_mktsegment", "bal")
+    + f" SELECT c_nationkey, c_mktsegment, graphs, nonzero, tied, round(statistic, 6) AS statistic, {_P} AS p_value FROM tests"
+)
+ORACLE["comparison_tests"] = f"""{_AGAINST}, disc AS (SELECT method, count(*) FILTER (sa >= 0.5 AND sb < 0.5) AS a_only, count(*) FILTER (sb >= 0.5 AND sa < 0.5) AS b_only FROM dif GROUP BY method)
+  SELECT method AS method_b, graphs, round(CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, (SELECT 2 * sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1)
+    - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2))) FROM range(least(a_only, b_only) + 1) r(i))) END, 6) AS p_success,
+    round(statistic, 6) AS statistic, {_P} AS p_nodes FROM tests JOIN disc USING (method)"""
+ORACLE["interval_facts"] = f"{_EP}{_GRAPH} " + " UNION ALL ".join(
+    f"SELECT method, '{m}' AS metric, round(avg({m}), 6) AS mean, count({m}) AS graphs, true AS holds FROM pg GROUP BY method" for m in stats.GRAPH_METRICS
+)

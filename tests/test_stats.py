@@ -74,6 +74,47 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
         stats.grouped_bootstrap(df, ["m"], confidence=1.0)
 
 
+def test_bootstrap_spreads_its_leaves(spark):
+    """All leaves are few bytes; they have to be worked on by more than one task all the same."""
+    df = spark.range(6000).selectExpr("'a' AS m", "string(id) AS graph_id", "double(id) AS value")
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("leaves", "leaves")
+    stats.grouped_bootstrap(df, ["m"], n_resamples=20, leaf_values=100).collect()
+    tasks = [before.getStageInfo(s).numTasks for j in before.getJobIdsForGroup("leaves") for s in before.getJobInfo(j).stageIds if before.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) >= 60
+
+
+def test_both_ways_of_drawing_agree():
+    rng = np.random.default_rng(0)
+    values, counts = np.sort(rng.normal(size=40)), rng.integers(1, 5, 40)
+    draws = np.full(4000, counts.sum())
+    one = stats._leaf_totals(np.random.default_rng(1), values, counts, draws)
+    dealt = np.random.default_rng(2).multinomial(draws, counts / counts.sum()) @ values
+    assert abs(one.mean() - dealt.mean()) < 0.15 * dealt.std() and abs(one.std() / dealt.std() - 1) < 0.08
+    none = stats._leaf_totals(np.random.default_rng(1), values, counts, np.zeros(5, dtype=np.int64))
+    assert none.tolist() == [0.0] * 5
+
+
+def test_tails(spark):
+    import itertools
+    import math
+
+    from lineflow.functions import tails
+
+    zs = [0.0, 1e-9, 0.3, 1.0, 2.5, 3.5, 3.54, 6.0, 20.0, -1.96]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(tails.normal_tail(F.col("z")).alias("p")).collect()
+    for z, r in zip(zs, got, strict=True):
+        assert r.p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-10, abs=1e-15)
+    for n in (1, 5, 9):
+        sums = [sum(c) for k in range(n + 1) for c in itertools.combinations(range(1, n + 1), k)]
+        rows = spark.createDataFrame([(float(w), n) for w in range(n * (n + 1) // 4 + 1)], "w double, n int")
+        for r in rows.select("w", tails.signed_rank_tail(F.col("w"), F.col("n")).alias("p")).collect():
+            assert r.p == pytest.approx(min(1.0, 2 * sum(s <= r.w for s in sums) / 2**n))
+    big = spark.createDataFrame([(400.0, 50)], "w double, n int").select(tails.signed_rank_tail(F.col("w"), F.col("n")).alias("p")).first()
+    assert 0.01 < big.p < 0.05
+
+
 def outcomes(spark, a, b, nodes=None):
     rows = []
     for i, (x, y) in enumerate(zip(a, b)):
