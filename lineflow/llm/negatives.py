@@ -183,7 +183,8 @@ class Searcher:
             F.collect_list(F.struct("query", "slot", "floor", "ceiling")).alias("wants"),
         )
         if first:
-            return asked.select("group", F.lit(self.first).alias("bucket"), "wants")
+            # No literal: an equality with one would make the join a product.
+            return asked.select("group", F.when(F.size("wants") > 0, F.lit(self.first)).alias("bucket"), "wants")
         parts = F.array(*[
             F.struct(F.lit(p).alias("part"), F.lit(n).alias("n"), F.lit(longest).alias("longest")) for p, n, longest in self.parts
         ])
@@ -194,7 +195,7 @@ class Searcher:
         chosen = chosen.join(self.buckets.select("bucket", "longest"), "bucket").filter(enough & (F.col("bucket") != self.first))
         return chosen.select("group", "bucket").join(asked.select("group", "wants"), "group")
 
-    def _compare(self, pairs: DataFrame, k: int, own: bool) -> DataFrame:
+    def _compare(self, pairs: DataFrame, buckets: DataFrame, k: int, own: bool) -> DataFrame:
         dims = self.dims
 
         def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +208,8 @@ class Searcher:
             return out
 
         asked = self.anchors.select("group", F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("rows").alias("a_rows"))
-        return pairs.join(asked, "group").join(self.buckets.drop("longest"), "bucket").groupBy("group", "bucket").applyInPandas(
+        met = pairs.join(asked, "group").join(buckets.drop("longest"), "bucket")
+        return met.groupBy("group", "bucket").applyInPandas(
             compare, "group long, query int, slot int, vec_id long, score long"
         )
 
@@ -215,12 +217,14 @@ class Searcher:
         """(group, query, slot, rank, vec_id, score): the best k rows for every wish (group,
         query, slot, length, floor, ceiling)."""
         keys = ["group", "query", "slot"]
-        start = written(self._compare(self.pairs(wishes, True), k, own))
+        # One row, as large as a bucket may be.
+        one = F.broadcast(self.buckets.filter(F.col("bucket") == self.first))
+        start = written(self._compare(self.pairs(wishes, True), one, k, own))
         kth = start.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("known")).filter(F.col("n") >= k)
         raised = wishes.join(kth.drop("n"), keys, "left").withColumn(
             "floor", F.greatest("floor", F.coalesce("known", "floor"))
         ).drop("known")
-        both = start.unionByName(self._compare(self.pairs(raised, False), k, own))
+        both = start.unionByName(self._compare(self.pairs(raised, False), self.buckets, k, own))
         order = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "vec_id")
         return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
