@@ -25,7 +25,7 @@ import base64
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lineflow.llm.tokens import once_per_process
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 BLOCK_DOCS = 100_000
 
 
@@ -140,9 +140,11 @@ def _blocks(batches: Iterator[pd.DataFrame], pattern: str, keep: bool) -> Iterat
 
 
 def encode(
-    docs: DataFrame, rank_file: str, pattern: str, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, rank_file: str, pattern: str, id: str = "doc_id", text: str = "text",
+    back: bool = False,
 ) -> DataFrame:
-    """(id, ids) of every document: its ids as little-endian unsigned 32-bit integers."""
+    """(id, ids) of every document: its ids as little-endian unsigned 32-bit integers. With
+    ``back`` also ``bytes``, decoded from the ids in the same task."""
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -193,12 +195,15 @@ def encode(
         table = np.empty(len(part), dtype=object)
         table[np.argsort(part, kind="stable")] = ids
         table = table.tolist()
-        return pd.DataFrame({
+        out = pd.DataFrame({
             "id": docs["id"].astype("Int64"),
             "ids": [
                 b"".join(map(table.__getitem__, unsqueezed(p).tolist())) for p in docs["positions"]
             ],
         })
+        if back:
+            out["bytes"] = decoder(rank_file)(out["ids"])
+        return out
 
     by_part = (
         source.mapInPandas(words, "block long, part int, words binary")
@@ -207,7 +212,21 @@ def encode(
     )
     by_doc = source.mapInPandas(positions, "block long, at int, id long, positions binary")
     joined = by_doc.groupBy("block").cogroup(by_part.groupBy("block"))
-    return joined.applyInPandas(together, "id long, ids binary").withColumnRenamed("id", id)
+    layout = "id long, ids binary" + ", bytes binary" * back
+    return joined.applyInPandas(together, layout).withColumnRenamed("id", id)
+
+
+def decoder(rank_file: str) -> Callable[[pd.Series], pd.Series]:
+    """A function from encoded ids to their bytes, by lookup in the table of token bytes."""
+    table = token_bytes(rank_file)
+
+    def decode(ids: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
+            for x in ids
+        ], dtype=object)
+
+    return decode
 
 
 def decoded(ids: Column, rank_file: str) -> Column:
@@ -215,11 +234,6 @@ def decoded(ids: Column, rank_file: str) -> Column:
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = token_bytes(rank_file)
-        for batch in batches:
-            yield pd.Series([
-                None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
-                for x in batch
-            ], dtype=object)
+        yield from map(decoder(rank_file), batches)
 
     return decode(ids)

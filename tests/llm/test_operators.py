@@ -76,14 +76,14 @@ def test_bpe_round_trip(spark, ranks, chars, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
     texts = [*EDGES, "Don't stop: 日本語 naïve\r\n  x\t\t12 3", "same same", "same same"]
     docs = frame(spark, texts)
-    got = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    got = got.withColumn("back", bpe.decoded(F.col("ids"), ranks)).collect()
+    got = bpe.encode(docs, ranks, public_tokenizers.PATTERN, back=True)
+    got = got.withColumn("again", bpe.decoded(F.col("ids"), ranks)).collect()
     model = bpe.encoding(ranks, public_tokenizers.PATTERN)
     assert len(got) == len(texts)
     for r in got:
         text = texts[r.doc_id] or ""
         assert np.frombuffer(r.ids, "<u4").tolist() == model.encode_ordinary(text)
-        assert bytes(r.back).decode() == text
+        assert bytes(r.bytes).decode() == bytes(r.again).decode() == text
 
 
 def test_bpe_repeated_and_missing_ids(spark, ranks):
