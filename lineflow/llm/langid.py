@@ -162,8 +162,9 @@ def fit(
     )
 
 
-def predicted(text: Column, model: LanguageModel) -> Column:
-    """Struct of language, score (the cosine, 0 to 1) and whether the text is rejected."""
+def predicted(text: Column, model: LanguageModel, once: bool = False) -> Column:
+    """Struct of language, score (the cosine, 0 to 1) and whether the text is rejected. With
+    ``once`` Spark evaluates it in one place only, also where a filter on it could move."""
     langs = np.array([*model.langs, UNKNOWN], dtype=object)
 
     @F.pandas_udf("lang string, score double, rejected boolean")
@@ -190,4 +191,4 @@ def predicted(text: Column, model: LanguageModel) -> Column:
                 {"lang": [], "score": [], "rejected": []}
             ).astype({"lang": object, "score": float, "rejected": bool})
 
-    return predict(text)
+    return (predict.asNondeterministic() if once else predict)(text)

@@ -23,8 +23,6 @@ as no score lies between. Scores are exact while they stay below 2**53.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,36 +55,42 @@ def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(lengths > 0, lengths, 1.0)[:, None]
 
 
-def _packed(dims: int, size: int, lists: bool):
-    """Blocks of ``size`` rows, in the order in which they come."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, labels = np.zeros(0, "<i8"), np.zeros(0, "<i8")
-        rows = np.zeros((0, dims), "<i8")
-
-        def block(n: int) -> pd.DataFrame:
-            part = rows[:n]
-            out = {"ids": [ids[:n].tobytes()], "labels": [labels[:n].tobytes()], "rows": [part.tobytes()]}
-            if lists:  # one sorted list a coordinate
-                order = np.argsort(_units(part), axis=0, kind="stable").T
-                out |= {"order": [np.ascontiguousarray(order, dtype="<u4").tobytes()], "longest": [float(_lengths(part).max())]}
-            else:
-                out["lengths"] = [_lengths(part).tolist()]
-            return pd.DataFrame(out)
-
-        for batch in batches:
-            ids = np.concatenate((ids, batch["id"].to_numpy(dtype="<i8")))
-            labels = np.concatenate((labels, batch["label"].to_numpy(dtype="<i8")))
-            rows = np.concatenate((rows, _matrix(batch["v"], dims)))
-            while len(ids) >= size:
-                yield block(size)
-                ids, labels, rows = ids[size:], labels[size:], rows[size:]
-        if len(ids):
-            yield block(len(ids))
+def _packed(dims: int, lists: bool):
+    """One row for a block of rows: ids, labels and vectors in order, and what searches need."""
+
+    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("position")
+        rows = _matrix(block["v"], dims)
+        out = {
+            "number": [key[0]], "ids": [block["id"].to_numpy(dtype="<i8").tobytes()],
+            "labels": [block["label"].to_numpy(dtype="<i8").tobytes()], "rows": [rows.tobytes()],
+        }
+        if lists:  # one sorted list a coordinate
+            order = np.argsort(_units(rows), axis=0, kind="stable").T
+            out |= {"order": [np.ascontiguousarray(order, dtype="<u4").tobytes()], "longest": [float(_lengths(rows).max())]}
+        else:
+            out["lengths"] = [_lengths(rows).tolist()]
+        return pd.DataFrame(out)
 
     return run
 
 
+def _in_blocks(rows: DataFrame, order: tuple[Column, ...], size: int) -> DataFrame:
+    """``rows`` with their ``position`` in ``order`` and ``number``, the block of ``size`` rows it
+    lies in: blocks follow from the rows alone, however many partitions they lie in."""
+    laid = written(
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    )
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition, so the running total and the broadcast are as few.
+    firsts = laid.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")
+    )
+    placed = laid.withColumn("part", part).join(F.broadcast(firsts), "part").withColumn("position", F.col("first") + place)
+    return placed.withColumn("number", F.floor(F.col("position") / size))
+
+
 class Bucket:
     """A bucket's vectors with a sorted list for every coordinate."""
 
@@ -157,25 +161,20 @@ class Searcher:
         self.dims = dims
         length = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
         sorted_by = (F.col("length").desc(), F.col("id"))
-        layout = "ids binary, labels binary, rows binary"
+        layout = "number long, ids binary, labels binary, rows binary"
         self.buckets = written(
-            rows.withColumn("length", length).repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by)
-            .mapInPandas(_packed(dims, bucket_rows, True), layout + ", order binary, longest double")
-            .withColumn("bucket", F.monotonically_increasing_id())
+            _in_blocks(rows.withColumn("length", length), sorted_by, bucket_rows).groupBy("number")
+            .applyInPandas(_packed(dims, True), layout + ", order binary, longest double").withColumnRenamed("number", "bucket")
         )
         self.anchors = written(
-            rows.filter("is_anchor").repartitionByRange("id").sortWithinPartitions("id")
-            .mapInPandas(_packed(dims, anchor_rows, False), layout + ", lengths array<double>")
-            .withColumn("group", F.monotonically_increasing_id())
+            _in_blocks(rows.filter("is_anchor"), (F.col("id"),), anchor_rows).groupBy("number")
+            .applyInPandas(_packed(dims, False), layout + ", lengths array<double>").withColumnRenamed("number", "group")
         )
-        # The buckets of each partition: as few rows as there are partitions.
-        part = F.shiftright("bucket", 33)
-        self.parts = [tuple(r) for r in self.buckets.groupBy(part.alias("part")).agg(F.count(F.lit(1)), F.max("longest")).collect()]
-        self.first = self.buckets.agg(F.max_by("bucket", F.struct("longest", -F.col("bucket")))).first()[0]
+        self.count = self.buckets.count()
 
     def pairs(self, wishes: DataFrame, first: bool) -> DataFrame:
         """(group, bucket, wants) of the anchor blocks and buckets that may hold what is wished,
-        by lengths alone."""
+        by lengths alone. Bucket 0 has the longest vectors."""
         reach = F.when(F.col("floor") > 0, F.when(F.col("length") > 0, F.col("floor") / F.col("length")).otherwise(float("inf")))
         asked = wishes.groupBy("group").agg(
             F.min(F.coalesce(reach, F.lit(float("-inf")))).alias("need"),
@@ -184,15 +183,10 @@ class Searcher:
         )
         if first:
             # No literal: an equality with one would make the join a product.
-            return asked.select("group", F.when(F.size("wants") > 0, F.lit(self.first)).alias("bucket"), "wants")
-        parts = F.array(*[
-            F.struct(F.lit(p).alias("part"), F.lit(n).alias("n"), F.lit(longest).alias("longest")) for p, n, longest in self.parts
-        ])
-        enough = (1 + ROOM) * F.col("longest") >= F.col("need")
-        within = asked.withColumn("p", F.explode(F.filter(parts, lambda p: (1 + ROOM) * p["longest"] >= F.col("need"))))
-        numbers = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p.n").cast("long") - 1), lambda i: F.shiftleft(F.col("p.part").cast("long"), 33) + i)
-        chosen = within.select("group", "need", F.explode(numbers).alias("bucket"))
-        chosen = chosen.join(self.buckets.select("bucket", "longest"), "bucket").filter(enough & (F.col("bucket") != self.first))
+            return asked.select("group", F.when(F.size("wants") > 0, F.lit(0).cast("long")).alias("bucket"), "wants")
+        others = F.slice(F.sequence(F.lit(0).cast("long"), F.lit(self.count - 1).cast("long")), 2, self.count)
+        numbers = asked.select("group", "need", F.explode(others).alias("bucket"))
+        chosen = numbers.join(self.buckets.select("bucket", "longest"), "bucket").filter((1 + ROOM) * F.col("longest") >= F.col("need"))
         return chosen.select("group", "bucket").join(asked.select("group", "wants"), "group")
 
     def _compare(self, pairs: DataFrame, buckets: DataFrame, k: int, own: bool) -> DataFrame:
@@ -218,7 +212,7 @@ class Searcher:
         query, slot, length, floor, ceiling)."""
         keys = ["group", "query", "slot"]
         # One row, as large as a bucket may be.
-        one = F.broadcast(self.buckets.filter(F.col("bucket") == self.first))
+        one = F.broadcast(self.buckets.filter("bucket = 0"))
         start = written(self._compare(self.pairs(wishes, True), one, k, own))
         kth = start.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").cast("double").alias("known")).filter(F.col("n") >= k)
         raised = wishes.join(kth.drop("n"), keys, "left").withColumn(
