@@ -141,8 +141,8 @@ def heuristic_score(spark, sf):
 
 
 def structural_features(spark, sf):
-    """Tier S per node: degrees, depth, cycle membership and relative line."""
-    names = ("in_degree", "out_degree", "depth", "in_loop", "rel_line")
+    """All of Tier S per node: kind, degrees, depth, cycle membership, loop headers, relative line."""
+    names = features.TIER_S_NAMES
     rows = features.featurize(graphs(spark, sf), "S").select("sample_id", F.posexplode("x").alias("id", "x"))
     return rows.select(
         "sample_id", "id",
@@ -200,9 +200,18 @@ def json_records(spark, sf):
     rows = graphs(spark, sf)
     texts = jsonl.graph_json(rows)
     parsed = texts.select("sample_id", F.from_json("json", GRAPH_JSON_DDL).alias("r"))
-    again = parsed.select("sample_id", F.size("r.nodes").alias("nodes"), F.size("r.edges").alias("edges"),
-                          F.size("r.vuln_nodes").alias("labels"))
-    return again
+    def joined(parts, by):
+        return F.array_join(parts.cast("array<string>"), by)
+
+    nodes = F.transform(F.array_sort("r.nodes"), lambda n: F.concat_ws(
+        ":", n["id"].cast("string"), n["line"].cast("string"), n["kind"], n["code"], joined(n["calls"], "|"), joined(n["ops"], "|")
+    ))
+    edges = F.transform(F.array_sort("r.edges"), lambda e: joined(e, "-"))
+    content = F.concat_ws("#", "r.project", "r.cwe", joined(nodes, "#"), joined(edges, ","), joined(F.array_sort("r.vuln_nodes"), ","))
+    return parsed.select(
+        "sample_id", F.size("r.nodes").alias("nodes"), F.size("r.edges").alias("edges"), F.size("r.vuln_nodes").alias("labels"),
+        F.sha1(F.encode(content, "UTF-8")).alias("content_sha1"),
+    )
 
 
 def _letter_vectors():
@@ -483,7 +492,7 @@ _FLAGS = {
     "uses_sizeof": _flag(lx.SIZEOF_OPS, lx.SIZEOF),
     "has_cast": _flag(lx.CAST_OPS, lx.CAST, "replace(code, 'sizeof(', 'sizeof#')"),
     "length_like_ident": f"len(list_filter(regexp_extract_all(code, '{_re(lx.IDENTIFIER)}', 1),"
-    f" lambda w: lower(w) <> 'sizeof' AND regexp_matches(lower(w), '{_re(lx.LENGTH_LIKE)}'))) > 0",
+    f" lambda w: lower(w) <> 'sizeof' AND regexp_matches(lower(w), '{_re(lx.length_pattern())}'))) > 0",
 }
 _FLAG_SQL = ", ".join(f"CAST({c} AS DOUBLE) AS {n}" for n, c in _FLAGS.items())
 _TOKENS = f"least(len(regexp_extract_all(code, '{_re(lx.TOKEN)}')), 40) / 40"
@@ -511,7 +520,12 @@ ORACLE |= {
     ),
     "json_records": graph_sql(
         "SELECT k.sample_id, CAST(s.n AS INTEGER) AS nodes, CAST((SELECT count(*) FROM edge e WHERE e.ordinal = k.ordinal) AS INTEGER) AS edges,"
-        " CAST((SELECT count(*) FROM label l WHERE l.ordinal = k.ordinal) AS INTEGER) AS labels FROM kept k JOIN size s USING (ordinal)", SQL_FLAT
+        " CAST((SELECT count(*) FROM label l WHERE l.ordinal = k.ordinal) AS INTEGER) AS labels,"
+        " sha1(c.project || '#' || c.cwe || '#' || (SELECT string_agg(x.id || ':' || x.line || ':' || x.kind || ':' || x.code || ':'"
+        " || x.calls || ':' || x.ops, '#' ORDER BY x.id) FROM node x WHERE x.ordinal = k.ordinal) || '#'"
+        " || (SELECT string_agg(e.u || '-' || e.v, ',' ORDER BY e.u, e.v) FROM edge e WHERE e.ordinal = k.ordinal) || '#'"
+        " || (SELECT string_agg(CAST(l.id AS VARCHAR), ',' ORDER BY l.id) FROM label l WHERE l.ordinal = k.ordinal)) AS content_sha1"
+        " FROM kept k JOIN size s USING (ordinal) JOIN corpus c USING (ordinal)", SQL_FLAT
     ),
     "successor_slots": graph_sql(
         "SELECT n.sample_id, e.u, e.v, CAST(row_number() OVER (PARTITION BY e.ordinal, e.u ORDER BY n.line, e.v) - 1 AS INTEGER) AS slot"
@@ -593,13 +607,4 @@ ORACLE |= {
     ),
 }
 # ``loop_header`` follows back edges, which depend on the search order and have no set form.
-ORACLE["structural_features"] = graph_sql(
-    "SELECT n.sample_id, n.id,"
-    " round(least((SELECT count(*) FROM edge e WHERE e.ordinal = n.ordinal AND e.v = n.id), 4) / 4, 5) AS in_degree,"
-    " round(least((SELECT count(*) FROM edge e WHERE e.ordinal = n.ordinal AND e.u = n.id), 4) / 4, 5) AS out_degree,"
-    " round(CAST(CAST(greatest(coalesce(b.depth, -1), 0) / greatest(1, max(b.depth) OVER (PARTITION BY n.ordinal)) AS FLOAT) AS DOUBLE), 5) AS depth,"
-    " CAST(n.kind NOT IN ('ENTRY', 'EXIT') AND c.u IS NOT NULL AS DOUBLE) AS in_loop,"
-    " round(CAST(CAST(least(n.line / greatest(1, f.num_lines, max(n.line) OVER (PARTITION BY n.ordinal)), 1) AS FLOAT) AS DOUBLE), 5) AS rel_line"
-    " FROM node n JOIN fn f USING (ordinal) LEFT JOIN bfs b ON b.ordinal = n.ordinal AND b.id = n.id"
-    " LEFT JOIN (SELECT ordinal, u FROM reach WHERE u = v) c ON c.ordinal = n.ordinal AND c.u = n.id", SQL_CYCLES
-)
+

@@ -10,8 +10,9 @@ from lineflow.config import EnvConfig
 from lineflow.operators import metrics, stats, traces
 from lineflow.operators.search import best_threshold, best_thresholds, run_evaluation, threshold_curve, threshold_table
 from lineflow.plans.corpus_queries import _rounded
-from lineflow.plans.graph_queries import SQL_FLAT, SQL_SCORES, graph_sql
+from lineflow.plans.graph_queries import SQL_CYCLES, SQL_FLAT, SQL_SCORES, graph_sql
 from lineflow.plans.metric_queries import metric_sql
+from lineflow.schema import NODE_KINDS
 from lineflow.plans.views import SEARCHERS, THRESHOLDS, episodes, graphs, scored_graphs
 
 SEEDS = (0, 1, 2)
@@ -309,6 +310,20 @@ ORACLE = {
             SQL_FLAT + _SLOTTED.replace("ORDER BY n.line, e.v", "ORDER BY e.v") + _WALK,
     )
 }
+ORACLE["structural_features"] = graph_sql(
+    "SELECT n.sample_id, n.id,"
+    + "".join(f" CAST(n.kind = '{kind}' AS DOUBLE) AS kind_{kind.lower()}," for kind in NODE_KINDS) +
+    " CAST(EXISTS (SELECT 1 FROM walk w JOIN edge e ON e.ordinal = w.ordinal AND e.u = w.node WHERE w.ordinal = n.ordinal AND e.v = n.id"
+    " AND list_contains(w.path, e.v)) AS DOUBLE) AS loop_header,"
+    " round(least((SELECT count(*) FROM edge e WHERE e.ordinal = n.ordinal AND e.v = n.id), 4) / 4, 5) AS in_degree,"
+    " round(least((SELECT count(*) FROM edge e WHERE e.ordinal = n.ordinal AND e.u = n.id), 4) / 4, 5) AS out_degree,"
+    " round(CAST(CAST(greatest(coalesce(b.depth, -1), 0) / greatest(1, max(b.depth) OVER (PARTITION BY n.ordinal)) AS FLOAT) AS DOUBLE), 5) AS depth,"
+    " CAST(n.kind NOT IN ('ENTRY', 'EXIT') AND c.u IS NOT NULL AS DOUBLE) AS in_loop,"
+    " round(CAST(CAST(least(n.line / greatest(1, f.num_lines, max(n.line) OVER (PARTITION BY n.ordinal)), 1) AS FLOAT) AS DOUBLE), 5) AS rel_line"
+    " FROM node n JOIN fn f USING (ordinal) LEFT JOIN bfs b ON b.ordinal = n.ordinal AND b.id = n.id"
+    " LEFT JOIN (SELECT ordinal, u FROM reach WHERE u = v) c ON c.ordinal = n.ordinal AND c.u = n.id",
+    SQL_CYCLES + _SLOTTED.replace("ORDER BY n.line, e.v", "ORDER BY e.v") + _WALK,
+)
 for _name in _ORDERS:
     ORACLE[f"{_name}_episodes"] = _episode_sql(_name, _ORACLE_RULE, _name)
     ORACLE[f"{_name}_heuristic_episodes"] = _episode_sql(

@@ -178,7 +178,7 @@ def test_replay(spark, make_graphs):
     text = t.select(traces.outcome_text(F.lit(6)).alias("x")).first().x
     assert text == ("manual found the vulnerable statement (correct): 5 actions, 4 of 6 nodes inspected, return 0.960")
     dot = traces.cfg_dot(t, make_graphs(diamond()), 99, show_truth=True).first().dot
-    assert dot.count("->") == 6 and 'n3 [label="4: s3;", fillcolor="#7bd389", penwidth=2.5, peripheries=2];' in dot
+    assert dot.count("->") == 6 and 'n3 [label="4: s3;", fillcolor="#4caf78", penwidth=2.5, peripheries=2];' in dot
     bad = t.withColumn("steps", F.slice("steps", 2, 3))
     assert bad.select(traces.trace_problem().alias("p")).first().p == "steps not consecutive"
 
