@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineflow.llm.memory import give_back
 from lineflow.llm.tokens import once_per_process
 
 DIM = 4096
@@ -99,6 +100,7 @@ class LanguageModel(NamedTuple):
 
 
 def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    give_back()  # what earlier stages left in this worker
     seen = np.zeros(DIM, dtype=np.int64)
     docs = 0
     for batch in batches:

@@ -6,9 +6,13 @@ of similarity 0.8 miss each other in all bands in about 6 of 100,000 cases, of 0
 than 1 of 10 million. Sets that share a key form a group; equal groups of several bands count
 once. No link is taken from a band: the shingle sets of every pair are compared exactly.
 
-A group first tries neighbours in order of size, one pair a member. Only where that leaves a
-group in several parts are all pairs between the parts tried, so a large group of near copies
-costs no square, and no pair that could join two parts is left out.
+Texts with a common passage share keys without being alike, so pairs are sieved before any set
+moves: a byte of each of ``MINIMA`` minima travels along, and two sets are a pair only if at least
+``SIEVE`` of these bytes agree, which two of similarity 0.8 miss in 1 of 100,000 cases. A group
+first links every member to a leader that agrees with it in ``LIKELY`` bytes; only where that
+leaves the group in several parts are pairs between the parts tried, likely ones first. A group of
+more than ``PART_ROWS`` members is cut into parts, and every two parts meet in a task of their own,
+so nothing that is held together grows with a group.
 
 Defined results: NULL, empty and blank texts have the empty set and equal each other only. A
 text of fewer than ``size`` words has one shingle, all of it.
@@ -25,13 +29,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineflow.llm.memory import give_back, lean
 from lineflow.session import written
 
 BANDS = 32
 ROWS = 6
 SEED = 42
 PART = 1 << 9
-PAIRS = 1 << 16
+#: Hash functions in all; the first BANDS * ROWS of them make the keys.
+MINIMA = 384
+#: Bytes of minima that agree in a pair worth comparing, and in a likely link.
+SIEVE = 274
+LIKELY = 304
+PART_ROWS = 2048
+ROWS_AT_ONCE = 512
 
 
 class Similar(NamedTuple):
@@ -42,8 +53,8 @@ class Similar(NamedTuple):
 
 
 _DRAWS = np.random.default_rng(SEED)
-_ODD = _DRAWS.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _DRAWS.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
+_ODD = _DRAWS.integers(0, 1 << 31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _DRAWS.integers(0, 1 << 32, (MINIMA, 1), dtype=np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,17 +81,20 @@ def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(grams.tobytes(), SEED)
 
 
-def band_keys(grams: np.ndarray) -> np.ndarray:
-    """One key per band; none for the empty set."""
-    if not len(grams):
-        return np.zeros(0, dtype="<i8")
-    low = np.full(BANDS * ROWS, ~np.uint32(0))
+def minima(grams: np.ndarray) -> np.ndarray:
+    """The smallest value of every hash function over a set that is not empty."""
+    low = np.full(MINIMA, ~np.uint32(0))
     # The upper halves of the hashes are mixed as well as the whole.
     halves = (grams >> np.uint64(32)).astype(np.uint32)
     for i in range(0, len(halves), PART):
         low = np.minimum(low, (halves[i : i + PART] * _ODD + _ADD).min(1))
+    return low
+
+
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """One key per band of the minima."""
     out = np.arange(BANDS, dtype=np.uint64)
-    for row in low.astype(np.uint64).reshape(BANDS, ROWS).T:
+    for row in low[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS).T:
         out = _mixed(out + row)
     return out.view("<i8")
 
@@ -97,98 +111,172 @@ def key(text: Column, size: int) -> Column:
 
 
 def sketch(text: Column, size: int) -> Column:
-    """Struct of the set's hash ``fp``, its size ``n`` and its band keys ``bands``."""
+    """Struct of the set's hash ``fp``, its size ``n``, its band keys ``bands`` and a byte of each
+    of its minima ``sig``; the empty set has no bands."""
 
-    @F.pandas_udf("fp long, n int, bands array<long>")
+    @F.pandas_udf("fp long, n int, bands array<long>, sig binary")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         for texts in batches:
-            sets = [shingles(t, size) for t in texts]
+            fps, sizes, bands, sigs = [], [], [], []
+            for text in texts:
+                grams = shingles(text, size)
+                low = minima(grams) if len(grams) else np.zeros(0, dtype=np.uint32)
+                fps.append(set_key(grams))
+                sizes.append(len(grams))
+                bands.append(band_keys(low) if len(grams) else np.zeros(0, dtype="<i8"))
+                sigs.append((low & np.uint32(0xFF)).astype(np.uint8).tobytes())
             yield pd.DataFrame({
-                "fp": np.array([set_key(s) for s in sets], dtype="u8").view("i8"),
-                "n": np.array([len(s) for s in sets], dtype="i4"),
-                "bands": pd.Series([band_keys(s) for s in sets], dtype=object),
+                "fp": np.array(fps, dtype="u8").view("i8"), "n": np.array(sizes, dtype="i4"),
+                "bands": pd.Series(bands, dtype=object), "sig": pd.Series(sigs, dtype=object),
             })
+            del texts, bands, sigs
+            give_back()
 
     return sketched(text)
 
 
-def _pairs(least: float, every: bool):
-    """Pairs of a group's members in different parts: neighbours by size, or all of them."""
+def _agreeing(sigs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many bytes every row of ``sigs`` agrees with ``one``."""
+    return np.count_nonzero(sigs == one, axis=1)
+
+
+def likely_links(sigs: np.ndarray) -> list[tuple[int, int]]:
+    """(leader, member) for every member that likely is alike a leader before it; those that have
+    none become leaders."""
+    out, leaders, held = [], [0], sigs[:1]
+    for i in range(1, len(sigs)):
+        agree = _agreeing(held, sigs[i])
+        j = int(agree.argmax())
+        if agree[j] >= LIKELY:
+            out.append((leaders[j], i))
+        else:
+            leaders.append(i)
+            held = sigs[leaders]
+    return out
+
+
+CELL = ["band", "low", "high"]
+
+
+def _pairs(least: float, agree: int | None):
+    """Pairs of a cell's members worth comparing: to likely leaders, or all between different
+    roots that agree in ``agree`` bytes. A cell is a part of a group, or two parts, of which then
+    only pairs across count. Cells come one after the other."""
+
+    def of_cell(n, fp, root, part, sigs) -> tuple[np.ndarray, np.ndarray]:
+        if root.min() == root.max():
+            return fp[:0], fp[:0]
+        if agree is None:
+            found = np.array(likely_links(sigs), dtype=np.int64).reshape(-1, 2)
+            return fp[found[:, 0]], fp[found[:, 1]]
+        two, a, b = part.min() != part.max(), [], []
+        for i in range(len(fp) - 1):
+            later = slice(i + 1, None)
+            # Sets of similarity s differ in size by a factor of at most s.
+            fits = (root[later] != root[i]) & (n[later] * least <= n[i] + 1e-6) & (n[i] * least <= n[later] + 1e-6)
+            others = i + 1 + np.flatnonzero(fits & (part[later] != part[i]) if two else fits)
+            if len(others):
+                others = others[_agreeing(sigs[others], sigs[i]) >= agree]
+                a.append(np.full(len(others), fp[i])), b.append(fp[others])
+        return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+
+    def of_frame(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        n, fp, root, part = (frame[c].to_numpy(dtype=np.int64) for c in ("n", "fp", "root", "part"))
+        sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(len(frame), MINIMA)
+        found = [of_cell(n[a:b], fp[a:b], root[a:b], part[a:b], sigs[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            a, b, held = [], [], 0
-            for members in batch["members"]:
-                n, fp, root = (np.array([m[c] for m in members], dtype=np.int64) for c in ("n", "fp", "root"))
-                order = np.lexsort((fp, n))
-                n, fp, root = n[order], fp[order], root[order]
-                for i in range(len(fp) - 1):
-                    # Sets of similarity s differ in size by a factor of at most s.
-                    end = np.searchsorted(n, n[i] / least + 1e-6, "right") if every else min(i + 2, len(fp))
-                    others = np.arange(i + 1, end)
-                    others = others[root[others] != root[i]]
-                    a.append(np.full(len(others), fp[i]))
-                    b.append(fp[others])
-                    held += len(others)
-                    if held > PAIRS:
-                        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-                        a, b, held = [], [], 0
-            if held:
-                yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+            frame = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            if not len(frame):
+                continue
+            keys = frame[CELL].to_numpy(dtype=np.int64)
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            if len(cuts) > 1:
+                yield of_frame(frame.iloc[: cuts[-1]], cuts)
+            held = frame.iloc[cuts[-1] :]
+        if held is not None:
+            yield of_frame(held, np.array([0, len(held)]))
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(same >= least * (len(x) + len(y) - same) - 1e-9)
-        return pd.Series(out, dtype=bool)
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        give_back()
+        for a, b in batches:
+            out = []
+            for x, y in zip(a, b, strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(same >= least * (len(x) + len(y) - same) - 1e-9)
+            yield pd.Series(out, dtype=bool)
+            del a, b
+            give_back()
 
     one = sets.select(F.col("fp").alias("a"), F.col("grams").alias("x"))
     two = sets.select(F.col("fp").alias("b"), F.col("grams").alias("y"))
     return written(pairs.join(one, "a").join(two, "b").filter(alike("x", "y")).select("a", "b"))
 
 
+def groups_of(distinct: DataFrame) -> DataFrame:
+    """(band, size, fp, n, sig): the members of every group of two or more sets that share a key;
+    of groups with the same members one is kept."""
+    sent = distinct.select("fp", F.explode("bands").alias("band"))
+    mark = F.xxhash64("fp")
+    sizes = sent.groupBy("band").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("xor"), F.sum(mark.cast("decimal(20,0)")).alias("sum")
+    ).filter("size > 1")
+    kept = sizes.groupBy("size", "xor", "sum").agg(F.min("band").alias("band")).select("band", "size")
+    return sent.join(kept, "band").join(distinct.select("fp", "n", "sig"), "fp")
+
+
+def _cells(members: DataFrame, across: bool) -> DataFrame:
+    """``members`` in cells of at most two parts of a group: ``across`` every two parts of a group
+    meet, else each stays alone. The rows of a cell follow each other."""
+    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    dealt = members.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), parts).cast("int"))
+    met = F.sequence(F.lit(0), parts - 1) if across else F.array("part")
+    cells = dealt.withColumn("other", F.explode(met)).select(
+        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "n", "sig", "root", "part"
+    )
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL, "fp")
+
+
 def links(
     docs: DataFrame, text: str, distinct: DataFrame, rule: Similar,
     components: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Links (a, b) that connect all alike sets; ``distinct`` has (fp, n, bands) of each."""
-    members = F.array_sort(F.collect_set(F.struct("fp", "n")))
-    groups = written(
-        distinct.select("fp", "n", F.explode("bands").alias("band"))
-        .groupBy("band").agg(members.alias("members")).filter(F.size("members") > 1)
-        .select("members").distinct()
-        .select(F.xxhash64("members").alias("group"), F.explode("members").alias("m"))
-        .select("group", "m.fp", "m.n")
-    )
-    wanted = groups.select("fp").distinct()
+    """Links (a, b) that connect all alike sets; ``distinct`` has (fp, n, bands, sig) of each."""
+    groups = written(groups_of(distinct))
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, rule.size) for t in batch["text"]]
-            yield pd.DataFrame({
-                "fp": np.array([set_key(s) for s in sets], dtype="u8").view("i8"),
-                "grams": [s.tobytes() for s in sets],
-            })
-
-    sets = written(
-        docs.select(F.col(text).alias("text")).mapInPandas(gathered, "fp long, grams binary")
-        .join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
-    )
-
-    def tried(rooted: DataFrame, every: bool) -> DataFrame:
-        one = F.collect_list(F.struct("fp", "n", "root")).alias("members")
-        split = rooted.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), one)
-        pairs = split.filter("lo <> hi").select("members").mapInPandas(_pairs(rule.least, every), "a long, b long")
-        return _verified(written(pairs.distinct()), sets, rule.least)
-
-    near = tried(groups.withColumn("root", F.col("fp")), False)
-    labels = components(near).withColumnRenamed("v", "fp")
-    rooted = groups.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return near.unionByName(tried(rooted, True)).distinct()
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                sets = [shingles(t, rule.size) for t in batch["text"].iloc[at : at + ROWS_AT_ONCE]]
+                yield pd.DataFrame({
+                    "fp": np.array([set_key(s) for s in sets], dtype="u8").view("i8"),
+                    "grams": [s.tobytes() for s in sets],
+                })
+
+    def tried(rooted: DataFrame, agree: int | None) -> DataFrame:
+        cells = _cells(rooted, agree is not None)
+        pairs = written(cells.mapInPandas(lean(_pairs(rule.least, agree)), "a long, b long").distinct())
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        sets = written(
+            docs.select(F.col(text).alias("text")).mapInPandas(lean(gathered), "fp long, grams binary")
+            .join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
+        )
+        return _verified(pairs, sets, rule.least)
+
+    found = tried(groups.withColumn("root", F.col("fp")), None)
+    for agree in (LIKELY, SIEVE):
+        labels = components(found).withColumnRenamed("v", "fp")
+        rooted = groups.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        found = written(found.unionByName(tried(rooted, agree)).distinct())
+    return found

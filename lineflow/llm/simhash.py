@@ -243,7 +243,9 @@ def near_duplicates(
         sketched = docs.select(F.col(id), nearcopies.sketch(F.col(text), rule.size).alias("_s"))
         prints = written(sketched.select(F.col(id), "_s.*"))
         distinct = prints.groupBy("fp").agg(F.min(id).alias("first"))
-        sketches = prints.groupBy("fp").agg(F.min("n").alias("n"), F.first("bands").alias("bands"))
+        sketches = written(prints.groupBy("fp").agg(
+            F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+        ))
         linked_by = nearcopies.links(docs, text, sketches, rule, components)
     roots = components(linked_by).withColumnRenamed("v", "fp")
     linked = written(distinct.join(roots, "fp").select("fp", "root", "first"))

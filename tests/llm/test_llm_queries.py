@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -99,3 +100,10 @@ def test_pipeline_stages(spark, docs):
     assert set(texts["near-duplicates"]) <= heads and set(texts["personal data"]) == set(texts["near-duplicates"])
     packed = corpus_pipeline.run(spark, SF_DIR)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(texts["personal data"])
+
+
+def test_languages_are_predicted_once_and_columns_stay(spark):
+    frame = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumn("_lang", F.lit("mine")).withColumn("found", F.lit(1))
+    kept = corpus_pipeline.keep_languages(spark, frame, SF_DIR)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert kept.columns == frame.columns and {(r._lang, r.found) for r in kept.select("_lang", "found").collect()} == {("mine", 1)}
