@@ -224,7 +224,7 @@ def decoder(rank_file: str) -> Callable[[pd.Series], pd.Series]:
         return pd.Series([
             None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist()))
             for x in ids
-        ], dtype=object)
+        ], dtype=object, index=ids.index)
 
     return decode
 
