@@ -15,7 +15,8 @@ Defined results: NULL vectors, vectors that hold NULL or a component that is not
 rows without an id take no part. Vectors of unequal length count as padded with zeros. Rows
 that repeat an id are candidates of their own, though never of a query with that id. Ties go
 to the smaller id. Without queries or candidates the result is empty. Components are scaled and
-floored to integers, and scores are exact while they stay below 2**53.
+floored to integers of any size, scores are exact, and a result that does not fit a long is an
+error.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ QUERY_ROWS = 1024
 COVERED = 0.7
 #: Bounds are compared with this much room for rounding, relative to the lengths.
 ROOM = 1e-9
+#: Doubles hold every whole number up to here.
+WHOLE = 2.0**53
+#: Stands for every score that a long does not hold, with its sign.
+LONGEST = 2**63 - 1
 
 
 def integers(embedding: Column, scale: float = SCALE) -> Column:
@@ -44,8 +49,12 @@ def integers(embedding: Column, scale: float = SCALE) -> Column:
         embedding,
         lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")),
     )
-    scaled = F.transform(embedding, lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    return F.when(usable, scaled)
+
+    def floored(x: Column) -> Column:
+        # Doubles from 2**53 on are whole numbers, and a long may be too short for them.
+        return F.when(F.abs(x) < WHOLE, F.floor(x).cast("double")).otherwise(x)
+
+    return F.when(usable, F.transform(embedding, lambda x: floored(x.cast("double") * scale)))
 
 
 def _gram(dims: int):
@@ -73,7 +82,7 @@ def _pack(dims: int, size: int):
         ids, rows = np.zeros(0, dtype=np.int64), np.zeros((0, dims))
 
         def block(n: int) -> pd.DataFrame:
-            part = rows[:n].astype("<i8")
+            part = rows[:n].astype("<f8")
             return pd.DataFrame({
                 "ids": [ids[:n].astype("<i8").tobytes()], "rows": [part.tobytes()],
                 "longest": [float(np.sqrt((rows[:n] ** 2).sum(1).max()))],
@@ -91,6 +100,28 @@ def _pack(dims: int, size: int):
     return run
 
 
+def exact_scores(rows: np.ndarray, query: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Inner products of whole-numbered ``rows`` and ``query``: longs, or Python integers if one
+    may be longer. ``sizes`` bounds each one's sum of absolute products (Cauchy-Schwarz)."""
+    if not len(rows) or sizes.max() < WHOLE:
+        return (rows @ query).astype(np.int64)
+    # A zero of one side may meet a component of the other that no long holds.
+    short = (sizes < 2.0**62) & (np.abs(rows).max(1) < 2.0**62) & (np.abs(query).max() < 2.0**62)
+    out = np.zeros(len(rows), dtype=np.int64 if short.all() else object)
+    out[short] = rows[short].astype(np.int64) @ query.astype(np.int64) if short.any() else 0
+    whole = [int(x) for x in query]
+    for i in np.flatnonzero(~short):
+        out[i] = sum(int(x) * y for x, y in zip(rows[i], whole, strict=True))
+    return out
+
+
+def best_first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` best scores, ties to the smaller id."""
+    if scores.dtype != object:
+        return np.lexsort((ids, -scores))[:k]
+    return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+
+
 def best_of_block(
     queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
     rows: np.ndarray, ids: np.ndarray, rotation: np.ndarray, first: int, k: int,
@@ -117,10 +148,11 @@ def best_of_block(
                 top = keep[np.argpartition(-bound[i, keep], k)[: 2 * k]]
                 known = np.sort(rows[top] @ queries[query])
                 keep = keep[bound[i, keep] + room[query] >= known[-k]]
-            scores = rows[keep] @ queries[query]
-            order = np.lexsort((ids[keep], -scores))[:k]
-            order = order[scores[order] >= floors[query]]
-            out.append((np.full(len(order), query), ids[keep[order]], scores[order].astype(np.int64)))
+            scores = exact_scores(rows[keep], queries[query], query_lengths[query] * lengths[keep] * (1 + ROOM))
+            order = best_first(scores, ids[keep], k)
+            order = order[scores[order].astype(float) >= floors[query]]
+            reached = [min(max(score, -LONGEST), LONGEST) for score in scores[order].tolist()]
+            out.append((np.full(len(order), query), ids[keep[order]], np.array(reached, dtype=np.int64)))
     if not out:
         return (np.zeros(0, dtype=np.int64),) * 3
     return tuple(np.concatenate(part) for part in zip(*out, strict=True))
@@ -138,8 +170,9 @@ def top_k(
     rows = written(rows)
     dims = rows.agg(F.max(F.size("v"))).first()[0]
     empty = "query_id long, rank int, vec_id long, score long"
-    if not dims:
+    if dims is None:
         return vectors.sparkSession.createDataFrame([], empty)
+    dims = max(dims, 1)  # vectors without components count as zero
     gram = np.zeros(dims * dims)
     for at, v in rows.mapInPandas(_gram(dims), "at int, v double").groupBy("at").agg(F.sum("v")).collect():
         gram[at] = v
@@ -167,9 +200,9 @@ def top_k(
     def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in part.itertuples():
-            q = np.frombuffer(row.q_rows, "<i8").reshape(-1, dims).astype(float)
+            q = np.frombuffer(row.q_rows, "<f8").reshape(-1, dims)
             q_ids = np.frombuffer(row.q_ids, "<i8")
-            x = np.frombuffer(row.rows, "<i8").reshape(-1, dims).astype(float)
+            x = np.frombuffer(row.rows, "<f8").reshape(-1, dims)
             floors = np.full(len(q), -np.inf) if row.floors is None else np.frombuffer(row.floors, "<f8")
             ids = np.frombuffer(row.ids, "<i8")
             query, vec, score = best_of_block(q, q_ids, floors, x, ids, rotation, first, k)
@@ -228,7 +261,11 @@ def top_k(
     )
     rest = against(blocks.filter(F.col("block") != longest), informed)
     order = Window.partitionBy("group", "query").orderBy(F.col("score").desc(), "vec_id")
+    problem = F.concat(F.lit("a score of query "), F.col("query_id"), F.lit(" does not fit a long"))
+    fitting = F.when(F.col("score").between(1 - LONGEST, LONGEST - 1), F.col("score")).otherwise(
+        F.raise_error(problem).cast("long")
+    )
     return (
         start.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", fitting.alias("score"))
     )

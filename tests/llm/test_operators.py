@@ -212,6 +212,30 @@ def test_top_k_brute_force(spark, size):
     assert topk.top_k(vectors.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(8)
+    near = 1e6 * (1 + 1e-7 * rng.normal(size=(300, 8)))  # scores that differ beyond 2**53
+    far = rng.normal(size=(300, 8))
+    far[3] = [0, 0, 0, 0, 0, 0, 0, 1e30]
+    far[:, 7] = np.where(np.arange(300) == 3, 1e30, 0)  # zeros meet a component beyond a long
+    for part in (near, far):
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(part)]
+        vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+        want = []
+        for q, v in whole[::50]:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+        got = topk.top_k(vectors, F.col("vec_id") % 50 == 0, block_rows=64, query_rows=4)
+        assert sorted(map(tuple, got.collect())) == want
+    rows = [(i, [1e30]) for i in range(2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(vectors, F.col("vec_id") == 0).collect()
+    bare = spark.createDataFrame([(i, []) for i in range(3)], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(bare, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
 # Token files
 
 
