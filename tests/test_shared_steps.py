@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import diamond, loop, tree
 from lineflow.functions import kernels
 from lineflow.functions import lexical as lx
+from lineflow.functions import text
 from lineflow.operators import build, features, search
 from lineflow.plans import views
 from lineflow.schema import METHOD_DDL
@@ -86,3 +88,31 @@ def test_calls_before_commas(spark):
     calls = F.regexp_extract_all("x", F.lit("(?<![A-Za-z])([A-Za-z]++),"), F.lit(1))
     got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", calls.alias("c")).collect()
     assert all(r.c == re.findall("([A-Za-z]+),", r.x) for r in got)
+
+
+def test_cycles_cost_no_square():
+    size = 4000
+    out = [[i - 1] if i else [] for i in range(size)]  # every edge leads back against the order of ids
+    begun = time.process_time()
+    assert not any(kernels.on_cycles(out))
+    out[0] = [size - 1]
+    assert all(kernels.on_cycles(out))
+    assert kernels.on_cycles([[0, 1], [2], [1], [3, 0], []]) == [True, True, True, True, False]
+    assert time.process_time() - begun < 1
+
+
+def test_rows_of_no_stage_are_dropped_first(spark):
+    plan = views.filtered(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    before_join = plan[plan.index("Join LeftOuter"):]
+    assert "CWE-119" in before_join and "CWE-125" in before_join
+
+
+def test_blanks_as_the_patterns_have_them(spark):
+    rng = random.Random(4)
+    parts = [*text.BLANKS, *"  ab\n*\u200b\u180e\ufeff\u2060"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(5000)] + [chr(c) for c in range(1, 0x3100)]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").repartition(4)
+    stripped = F.regexp_replace("x", f"^{text.SPACE}+|{text.SPACE}+$", "")
+    collapsed = F.trim(F.regexp_replace("x", f"{text.SPACE}+", " "))
+    wrong = [F.count_if(text.strip(F.col("x")) != stripped), F.count_if(text.collapse(F.col("x")) != collapsed)]
+    assert rows.select(wrong).first() == (0, 0)
