@@ -29,7 +29,7 @@ def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenfile.new_path(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     tokenfile.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
-    return tokenfile.read(spark, path).drop("ids")
+    return tokenfile.read(spark, path, ids=False)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineflow.llm import tokens
+from lineflow.llm.memory import lean
 from lineflow.session import shared_folder
 
 END = 0
@@ -140,11 +141,14 @@ def write(
     ordered = source.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(
         F.col("id").asc_nulls_first()
     )
-    ordered.mapInPandas(segments, SCHEMA).write.option("compression", "zstd").parquet(path)
+    ordered.mapInPandas(lean(segments), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files at ``path``."""
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document in the files at ``path``; the
+    ids themselves only if wanted, as they are what costs to hand on."""
+    wanted = ids
+    columns = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if wanted else "")
     stored = spark.read.schema(SCHEMA).parquet(path)
     order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # One row per shard, so the running total and the broadcast are as small as the file list.
@@ -162,15 +166,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 starts = np.r_[0, ends[:-1]]
                 ids = np.frombuffer(row.ids, dtype=f"<u{row.width}").astype("<u4")
                 parts = [ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pd.DataFrame({
+                found = pd.DataFrame({
                     "doc_id": pd.array(names, dtype="Int64"),
                     "start": row.base + row.before + starts, "n_tokens": ends - starts,
-                    "ids_crc32": [zlib.crc32(p) for p in parts], "ids": parts,
+                    "ids_crc32": [zlib.crc32(p) for p in parts],
                 })
+                yield found.assign(ids=parts) if wanted else found
 
-    return placed.mapInPandas(
-        documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-    )
+    return placed.mapInPandas(lean(documents), columns)
 
 
 def new_path(spark: SparkSession) -> str:

@@ -93,44 +93,55 @@ _BYTES = _byte_characters()
 _SPELLED = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(256)}
 
 
-def _encoded(model: Tokenizer, cutting: Cutting, new: set[str]) -> dict[str, bytes]:
-    out: dict[str, bytes] = {}
-    rest = []
-    match, merges = cutting.plain.fullmatch, model.model.tokenize
-    for piece in new:
-        found = match(piece)
-        if not found:
-            rest.append(piece)
-            continue
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Pieces(dict):
+    """The ids of pieces, each found when first asked for."""
+
+    def __init__(self, model: Tokenizer, cutting: Cutting, older: dict[str, bytes]):
+        self.model, self.merges, self.older = model, model.model.tokenize, older
+        self.match, self.lower = cutting.plain.fullmatch, cutting.lower
+        size = model.get_vocab_size()
+        self.packed = once_per_process(f"packed ids {size}", lambda: [struct.pack("<I", i) for i in range(size)])
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            # A word of ASCII letters, as most new pieces are, needs no pattern to tell its parts.
+            if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                spelled = (piece.lower() if self.lower else piece).replace(" ", _BYTES[32])
+                packed = self.packed
+                ids = b"".join([packed[token.id] for token in self.merges(spelled)])
+            else:
+                ids = self._found(piece)
+        if len(piece) <= LONG:
+            self[piece] = ids
+        return ids
+
+    def _found(self, piece: str) -> bytes:
+        plain = self.match(piece)
+        if not plain:
+            return _packed(self.model.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
         ids: list[int] = []
-        for part in found.groups():
+        for part in plain.groups():
             if part:
-                spelled = (part.lower() if cutting.lower else part).translate(_SPELLED)
-                ids += [token.id for token in merges(spelled)]
-        out[piece] = struct.pack(f"<{len(ids)}I", *ids)
-    for piece, done in zip(rest, model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        out[piece] = struct.pack(f"<{len(done.ids)}I", *done.ids)
-    return out
+                part = part.lower() if self.lower else part
+                spelled = part.replace(" ", _BYTES[32]) if part.isascii() else part.translate(_SPELLED)
+                ids += [token.id for token in self.merges(spelled)]
+        return _packed(ids)
 
 
 def encoder(path: str, cutting: Cutting) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids, as little-endian unsigned 32-bit integers."""
     model = tokenizer(path)
-    tables = once_per_process(f"ids {cutting.name} {path}", lambda: [{}, {}])
+    held = once_per_process(f"ids {cutting.name} {path}", lambda: [Pieces(model, cutting, {})])
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(tables[0]) > REMEMBERED:
-            tables[:] = [{}, tables[0]]
-        table, older = tables
-        cut = [cutting.pieces(text) for text in texts]
-        new = set().union(*cut).difference(table)
-        again = new.intersection(older)
-        table.update((piece, older[piece]) for piece in again)
-        long = {}
-        for piece, ids in _encoded(model, cutting, new - again).items():
-            (table if len(piece) <= LONG else long)[piece] = ids
-        if not long:
-            return [b"".join([table[p] for p in parts]) for parts in cut]
-        return [b"".join([table[p] if p in table else long[p] for p in parts]) for parts in cut]
+        if len(held[0]) > REMEMBERED:
+            held[0] = Pieces(model, cutting, dict(held[0]))
+        ids = held[0].__getitem__
+        return [b"".join(map(ids, cutting.pieces(text))) for text in texts]
 
     return encode

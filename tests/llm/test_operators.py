@@ -465,3 +465,27 @@ def test_url_rules_brute_force(spark, ranges):
     assert urlrules.judge(pages, given.limit(0)).filter("rule IS NOT NULL").count() == 0
     assert urlrules.judge(pages.limit(0), given).count() == 0
 
+
+
+def test_pieces_are_found_once():
+    class Merges:
+        asked: list = []
+
+        class Token:
+            id = 7
+
+        def tokenize(self, spelled):
+            self.asked.append(spelled)
+            return [self.Token]
+
+    class Model:
+        model = Merges()
+
+        def get_vocab_size(self):
+            return 9
+
+    pieces = tokens.Pieces(Model(), tokens.SPACED, {" old": b"old"})
+    found = [pieces[p] for p in (" ab", " ab", " old", " é", "x" * 65, "x" * 65)]
+    seven = (7).to_bytes(4, "little")
+    assert found == [seven, seven, b"old", seven, seven, seven]
+    assert Merges.asked == ["Ġab", "ĠÃ©", "x" * 65, "x" * 65] and set(pieces) == {" ab", " old", " é"}
