@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineflow.llm.memory import give_back
-from lineflow.llm.tokens import once_per_process
+from lineflow.llm.tokens import forget_pieces, once_per_process
 
 DIM = 4096
 CLUSTERS = 4
@@ -100,6 +100,7 @@ class LanguageModel(NamedTuple):
 
 
 def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    forget_pieces()
     give_back()  # what earlier stages left in this worker
     seen = np.zeros(DIM, dtype=np.int64)
     docs = 0
@@ -109,6 +110,7 @@ def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if counts is not None:
                 seen += counts > 0
                 docs += 1
+    give_back()
     if docs:
         yield pd.DataFrame({"slot": np.arange(-1, DIM), "n": np.concatenate(([docs], seen))})
 
@@ -171,6 +173,14 @@ def predicted(text: Column, model: LanguageModel, once: bool = False) -> Column:
 
     @F.pandas_udf("lang string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget_pieces()
+        give_back()
+        try:
+            yield from judged(batches)
+        finally:
+            give_back()
+
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             parts = []
             for i in range(0, len(texts), BLOCK):

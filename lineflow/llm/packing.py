@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lineflow.llm import tokens
+from lineflow.llm.memory import lean
 from lineflow.session import written
 
 CAPACITY = 4096
@@ -69,7 +70,7 @@ def pieces(
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return source.mapInPandas(
-        _nullable_ids(cut), "id long, piece int, start long, length long, ids_crc32 long"
+        lean(_nullable_ids(cut)), "id long, piece int, start long, length long, ids_crc32 long"
     ).withColumnRenamed("id", id)
 
 

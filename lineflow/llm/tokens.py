@@ -43,6 +43,14 @@ def once_per_process(name: str, make: Callable[[], object]) -> object:
     return held[name]
 
 
+def forget_pieces() -> None:
+    """Drop the pieces a worker remembers: for operators that encode nothing, in a worker that has
+    encoded before."""
+    held = sys.modules.get("_lineflow_held", ModuleType("")).__dict__
+    for name in [name for name in held if name.startswith("ids ")]:
+        del held[name]
+
+
 def tokenizer(path: str) -> Tokenizer:
     """The tokenizer in a file, loaded once per process."""
     # Spark already runs one task per core.

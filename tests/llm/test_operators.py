@@ -2,6 +2,7 @@
 
 import math
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -489,3 +490,11 @@ def test_pieces_are_found_once():
     seven = (7).to_bytes(4, "little")
     assert found == [seven, seven, b"old", seven, seven, seven]
     assert Merges.asked == ["Ġab", "ĠÃ©", "x" * 65, "x" * 65] and set(pieces) == {" ab", " old", " é"}
+
+
+def test_pieces_are_forgotten():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    first = tokens.encoder(path, tokens.BARE)(["some words"])
+    tokens.forget_pieces()
+    assert not [name for name in vars(sys.modules["_lineflow_held"]) if name.startswith("ids ")]
+    assert tokens.encoder(path, tokens.BARE)(["some words"]) == first
