@@ -4,10 +4,12 @@ import random
 import re
 import time
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import diamond, loop, tree
+from lineflow import session
 from lineflow.functions import kernels
 from lineflow.functions import lexical as lx
 from lineflow.functions import text
@@ -116,3 +118,15 @@ def test_blanks_as_the_patterns_have_them(spark):
     collapsed = F.trim(F.regexp_replace("x", f"{text.SPACE}+", " "))
     wrong = [F.count_if(text.strip(F.col("x")) != stripped), F.count_if(text.collapse(F.col("x")) != collapsed)]
     assert rows.select(wrong).first() == (0, 0)
+
+
+def test_shared_tables_go_to_python_in_small_batches(spark):
+    @F.pandas_udf("int")
+    def together(x: pd.Series) -> pd.Series:
+        return pd.Series([len(x)] * len(x), dtype="int32")
+
+    before = spark.conf.get(session.BATCH_KEY)
+    rows = session.written_once(spark, "small-batches", lambda: spark.range(0, 2500, 1, 1).select(together("id").alias("n")))
+    assert rows.count() == 2500
+    assert rows.agg(F.max("n")).first()[0] <= session.WIDE_ROWS
+    assert spark.conf.get(session.BATCH_KEY) == before
