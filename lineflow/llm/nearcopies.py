@@ -9,10 +9,13 @@ once. No link is taken from a band: the shingle sets of every pair are compared
 Texts with a common passage share keys without being alike, so pairs are sieved before any set
 moves: a byte of each of ``MINIMA`` minima travels along, and two sets are a pair only if at least
 ``SIEVE`` of these bytes agree, which two of similarity 0.8 miss in 1 of 100,000 cases. A group
-first links every member to a leader that agrees with it in ``LIKELY`` bytes; only where that
-leaves the group in several parts are pairs between the parts tried, likely ones first. A group of
-more than ``PART_ROWS`` members is cut into parts, and every two parts meet in a task of their own,
-so nothing that is held together grows with a group.
+first links every member to a leader that agrees with it in ``LIKELY`` bytes. Where that leaves
+the group in several parts, every member tries the likeliest member of another part; where parts
+remain, members with a possible partner in another part meet once more, with their sets, and are
+compared in place, each pair in the first of the groups that hold both. So what moves are members,
+never pairs in number of a group's square; the comparisons of sieved pairs remain. A group of
+more than ``PART_ROWS`` members, or ``PART_SHINGLES`` shingles, is cut into parts, and every two
+parts meet in a task of their own, so nothing that is held together grows with a group.
 
 Defined results: NULL, empty and blank texts have the empty set and equal each other only. A
 text of fewer than ``size`` words has one shingle, all of it.
@@ -42,6 +45,7 @@ MINIMA = 384
 SIEVE = 274
 LIKELY = 304
 PART_ROWS = 2048
+PART_SHINGLES = 1 << 22
 ROWS_AT_ONCE = 512
 
 
@@ -157,36 +161,65 @@ def likely_links(sigs: np.ndarray) -> list[tuple[int, int]]:
 
 
 CELL = ["band", "low", "high"]
+MEMBER = "band long, low int, high int, fp long, n int, sig binary, bands binary, at int, root long, part int"
+
+
+class Cell(NamedTuple):
+    """The members of a part of a group, or of two parts, of which then only pairs across count."""
+
+    n: np.ndarray
+    fp: np.ndarray
+    root: np.ndarray
+    part: np.ndarray
+    at: np.ndarray
+    sigs: np.ndarray
+    bands: np.ndarray
+    sets: np.ndarray
+
+    def met(self, i: int, least: float) -> np.ndarray:
+        """Members behind ``i`` that count with it, have another root and fit in size."""
+        later = slice(i + 1, None)
+        # Sets of similarity s differ in size by a factor of at most s.
+        fits = (self.root[later] != self.root[i]) & (self.n[later] * least <= self.n[i] + 1e-6)
+        fits &= self.n[i] * least <= self.n[later] + 1e-6
+        if self.part.min() != self.part.max():
+            fits &= self.part[later] != self.part[i]
+        return i + 1 + np.flatnonzero(fits)
+
+    def possible(self, i: int, least: float) -> np.ndarray:
+        """Members behind ``i`` that may be alike it and share no band before this cell's."""
+        others = self.met(i, least)
+        others = others[_agreeing(self.sigs[others], self.sigs[i]) >= SIEVE]
+        at = self.at[0]
+        return others[~(self.bands[others, :at] == self.bands[i, :at]).any(1)]
+
+
+def _cell(frame: pd.DataFrame) -> Cell:
+    """All rows of a frame; what it has no columns for is empty."""
+
+    def table(name: str, kind: str, width: int) -> np.ndarray:
+        joined = b"".join(frame[name]) if name in frame else bytes(len(frame) * width * np.dtype(kind).itemsize)
+        return np.frombuffer(joined, dtype=kind).reshape(len(frame), width)
+
+    sets = frame["grams"].to_numpy() if "grams" in frame else np.zeros(len(frame), dtype=object)
+    return Cell(
+        *(frame[c].to_numpy(dtype=np.int64) for c in ("n", "fp", "root", "part", "at")),
+        table("sig", "u1", MINIMA), table("bands", "<i8", BANDS), sets,
+    )
 
 
-def _pairs(least: float, agree: int | None):
-    """Pairs of a cell's members worth comparing: to likely leaders, or all between different
-    roots that agree in ``agree`` bytes. A cell is a part of a group, or two parts, of which then
-    only pairs across count. Cells come one after the other."""
-
-    def of_cell(n, fp, root, part, sigs) -> tuple[np.ndarray, np.ndarray]:
-        if root.min() == root.max():
-            return fp[:0], fp[:0]
-        if agree is None:
-            found = np.array(likely_links(sigs), dtype=np.int64).reshape(-1, 2)
-            return fp[found[:, 0]], fp[found[:, 1]]
-        two, a, b = part.min() != part.max(), [], []
-        for i in range(len(fp) - 1):
-            later = slice(i + 1, None)
-            # Sets of similarity s differ in size by a factor of at most s.
-            fits = (root[later] != root[i]) & (n[later] * least <= n[i] + 1e-6) & (n[i] * least <= n[later] + 1e-6)
-            others = i + 1 + np.flatnonzero(fits & (part[later] != part[i]) if two else fits)
-            if len(others):
-                others = others[_agreeing(sigs[others], sigs[i]) >= agree]
-                a.append(np.full(len(others), fp[i])), b.append(fp[others])
-        return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+def _by_cell(of_cell: Callable[[Cell], np.ndarray], members: bool = False) -> Callable[[Iterator], Iterator]:
+    """Batches whose cells come one after the other: the links of the pairs that ``of_cell`` finds
+    in every cell, or the ``members`` that it marks."""
 
     def of_frame(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        n, fp, root, part = (frame[c].to_numpy(dtype=np.int64) for c in ("n", "fp", "root", "part"))
-        sigs = np.frombuffer(b"".join(frame["sig"]), dtype=np.uint8).reshape(len(frame), MINIMA)
-        found = [of_cell(n[a:b], fp[a:b], root[a:b], part[a:b], sigs[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        whole = _cell(frame)
+        cells = [Cell(*(x[a:b] for x in whole)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = [of_cell(cell) for cell in cells]
+        if members:
+            return frame[np.concatenate(found)]
+        pairs = np.concatenate([cell.fp[at] for cell, at in zip(cells, found, strict=True)])
+        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -205,6 +238,69 @@ def _pairs(least: float, agree: int | None):
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> np.ndarray:
+    return np.array(found, dtype=np.int64).reshape(-1, 2)
+
+
+def _led(cell: Cell) -> np.ndarray:
+    """Pairs of members and likely leaders."""
+    return _pairs(likely_links(cell.sigs))
+
+
+def _likeliest(least: float) -> Callable[[Cell], np.ndarray]:
+    """For every member the likeliest one behind it that has another root, if any is likely."""
+
+    def of_cell(cell: Cell) -> np.ndarray:
+        found = []
+        if cell.root.min() != cell.root.max():
+            for i in range(len(cell.fp) - 1):
+                others = cell.met(i, least)
+                if len(others):
+                    agree = _agreeing(cell.sigs[others], cell.sigs[i])
+                    if agree.max() >= LIKELY:
+                        found.append((i, others[agree.argmax()]))
+        return _pairs(found)
+
+    return of_cell
+
+
+def _undecided(least: float) -> Callable[[Cell], np.ndarray]:
+    """Which members have a possible partner."""
+
+    def of_cell(cell: Cell) -> np.ndarray:
+        wanted = np.zeros(len(cell.fp), dtype=bool)
+        if cell.root.min() != cell.root.max():
+            for i in range(len(cell.fp) - 1):
+                others = cell.possible(i, least)
+                wanted[others] = True
+                wanted[i] |= len(others) > 0
+        return wanted
+
+    return of_cell
+
+
+def _alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same >= least * (len(x) + len(y) - same) - 1e-9
+
+
+def _compared(least: float) -> Callable[[Cell], np.ndarray]:
+    """Pairs that connect the alike sets; what earlier ones connect is not compared."""
+
+    def of_cell(cell: Cell) -> np.ndarray:
+        found, root = [], cell.root.copy()
+        cell = cell._replace(root=root)
+        sets = [np.frombuffer(x, "<u8") for x in cell.sets]
+        for i in range(len(root) - 1):
+            for j in cell.possible(i, least):
+                if root[i] != root[j] and _alike(sets[i], sets[j], least):
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
+        return _pairs(found)
+
+    return of_cell
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -212,9 +308,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for a, b in batches:
             out = []
             for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(same >= least * (len(x) + len(y) - same) - 1e-9)
+                out.append(_alike(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), least))
             yield pd.Series(out, dtype=bool)
             del a, b
             give_back()
@@ -225,29 +319,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def groups_of(distinct: DataFrame) -> DataFrame:
-    """(band, size, fp, n, sig): the members of every group of two or more sets that share a key;
-    of groups with the same members one is kept."""
-    sent = distinct.select("fp", F.explode("bands").alias("band"))
+    """(band, at, size, shingles, fp, n, sig): the members of every group of two or more sets that
+    share a key, the ``at``-th of their bands; of groups with the same members the first is kept."""
+    sent = distinct.select("fp", "n", F.posexplode("bands").alias("at", "band"))
     mark = F.xxhash64("fp")
     sizes = sent.groupBy("band").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(mark).alias("xor"), F.sum(mark.cast("decimal(20,0)")).alias("sum")
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("at").alias("at"),
+        F.bit_xor(mark).alias("xor"), F.sum(mark.cast("decimal(20,0)")).alias("sum"),
     ).filter("size > 1")
-    kept = sizes.groupBy("size", "xor", "sum").agg(F.min("band").alias("band")).select("band", "size")
-    return sent.join(kept, "band").join(distinct.select("fp", "n", "sig"), "fp")
+    kept = sizes.groupBy("size", "xor", "sum").agg(F.min(F.struct("at", "band", "shingles")).alias("k")).select("k.*", "size")
+    return sent.select("fp", "band").join(kept, "band").join(distinct.select("fp", "n", "sig"), "fp")
 
 
 def _cells(members: DataFrame, across: bool) -> DataFrame:
-    """``members`` in cells of at most two parts of a group: ``across`` every two parts of a group
-    meet, else each stays alone. The rows of a cell follow each other."""
-    parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+    """``members`` with their cells of at most two parts of a group: ``across`` every two parts of
+    a group meet, else each stays alone."""
+    parts = F.ceil(F.greatest(F.col("size") / PART_ROWS, F.col("shingles") / PART_SHINGLES)).cast("int")
     dealt = members.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "fp"), parts).cast("int"))
     met = F.sequence(F.lit(0), parts - 1) if across else F.array("part")
-    cells = dealt.withColumn("other", F.explode(met)).select(
-        "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "fp", "n", "sig", "root", "part"
-    )
+    return dealt.withColumn("other", F.explode(met)).withColumns(
+        {"low": F.least("part", "other"), "high": F.greatest("part", "other")}
+    ).drop("other", "size", "shingles")
+
+
+def _together(cells: DataFrame) -> DataFrame:
+    """The rows of a cell follow each other."""
     return cells.repartition(*CELL).sortWithinPartitions(*CELL, "fp")
 
 
+def _open(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their ``root``, of the groups that hold more than one."""
+    rooted = groups.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    return rooted.join(several.select("band"), "band", "left_semi")
+
+
 def links(
     docs: DataFrame, text: str, distinct: DataFrame, rule: Similar,
     components: Callable[[DataFrame], DataFrame],
@@ -264,19 +370,33 @@ def links(
                     "grams": [s.tobytes() for s in sets],
                 })
 
-    def tried(rooted: DataFrame, agree: int | None) -> DataFrame:
-        cells = _cells(rooted, agree is not None)
-        pairs = written(cells.mapInPandas(lean(_pairs(rule.least, agree)), "a long, b long").distinct())
-        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        sets = written(
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return written(
             docs.select(F.col(text).alias("text")).mapInPandas(lean(gathered), "fp long, grams binary")
             .join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
         )
-        return _verified(pairs, sets, rule.least)
-
-    found = tried(groups.withColumn("root", F.col("fp")), None)
-    for agree in (LIKELY, SIEVE):
-        labels = components(found).withColumnRenamed("v", "fp")
-        rooted = groups.join(labels, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        found = written(found.unionByName(tried(rooted, agree)).distinct())
-    return found
+
+    def tried(cells: DataFrame, pairs_of: Callable) -> DataFrame:
+        pairs = written(_together(cells).mapInPandas(lean(_by_cell(pairs_of)), "a long, b long").distinct())
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        return _verified(pairs, sets_of(wanted), rule.least)
+
+    found = tried(_cells(groups.withColumn("root", F.col("fp")), False), _led)
+    left = _open(groups, components(found))
+    found = written(found.unionByName(tried(_cells(left, True), _likeliest(rule.least))).distinct())
+    # Keys as bytes, which are read without a list in between.
+    keyed = distinct.select("fp", _as_bytes(F.col("bands")).alias("bands"))
+    left = _cells(_open(groups, components(found)).join(keyed, "fp"), True)
+    names = [part.split()[0] for part in MEMBER.split(", ")]
+    rows = written(_together(left.select(names)).mapInPandas(lean(_by_cell(_undecided(rule.least), True)), MEMBER))
+    sets = sets_of(rows.select("fp").distinct())
+    compared = _together(rows.join(sets, "fp")).mapInPandas(lean(_by_cell(_compared(rule.least))), "a long, b long")
+    return written(found.unionByName(compared).distinct())
+
+
+def _as_bytes(keys: Column) -> Column:
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: np.asarray(x, dtype="<i8").tobytes())
+
+    return packed(keys)

@@ -72,6 +72,31 @@ def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
     assert sum(seen) < 5 * 1200  # of 719,400 pairs
 
 
+@pytest.mark.parametrize("part_rows", [2048, 50])
+def test_near_misses_make_no_square_of_pairs(spark, monkeypatch, part_rows):
+    """Around the limit most pairs pass the sieve, and many miss: members move, not their pairs."""
+    monkeypatch.setattr(nearcopies, "PART_ROWS", part_rows)
+    texts = texts_of(5, 1, 300, 150, 5)
+    docs = spark.createDataFrame([(i, t, "en", 1, "s", 2) for i, t in enumerate(texts)], DOCS)
+    seen, stored, exact = [], nearcopies.written, nearcopies._verified
+
+    def counted(pairs, sets, least):
+        seen.append(pairs.count())
+        return exact(pairs, sets, least)
+
+    def kept(df):
+        out = stored(df)
+        if out.columns == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies, "_verified", counted)
+    monkeypatch.setattr(nearcopies, "written", kept)
+    got = simhash.near_duplicates(docs, rule=nearcopies.Similar()).collect()
+    assert {r.doc_id: r.component_id for r in got} == components_of(texts)
+    assert max(seen) < 6 * 300  # of 44,850 pairs
+
+
 def test_sieve_keeps_alike_sets():
     rng = np.random.default_rng(0)
     lost = 0
