@@ -14,6 +14,7 @@ import os
 import re
 import struct
 import sys
+from codecs import charmap_decode
 from collections.abc import Callable
 from types import ModuleType
 from typing import NamedTuple
@@ -97,8 +98,12 @@ def _byte_characters() -> dict[int, str]:
 
 
 _BYTES = _byte_characters()
-#: Latin-1 characters as the characters of their UTF-8 bytes.
-_SPELLED = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(256)}
+_ALL_BYTES = "".join(_BYTES[b] for b in range(256))
+
+
+def _spelled(part: str) -> str:
+    """A text as the characters of its UTF-8 bytes."""
+    return charmap_decode(part.encode(), "strict", _ALL_BYTES)[0]
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -132,13 +137,12 @@ class Pieces(dict):
         plain = self.match(piece)
         if not plain:
             return _packed(self.model.encode_batch_fast([piece], add_special_tokens=False)[0].ids)
-        ids: list[int] = []
+        packed, out = self.packed, []
         for part in plain.groups():
             if part:
                 part = part.lower() if self.lower else part
-                spelled = part.replace(" ", _BYTES[32]) if part.isascii() else part.translate(_SPELLED)
-                ids += [token.id for token in self.merges(spelled)]
-        return _packed(ids)
+                out += [packed[token.id] for token in self.merges(_spelled(part))]
+        return b"".join(out)
 
 
 def encoder(path: str, cutting: Cutting) -> Callable[[list[str]], list[bytes]]:

@@ -498,3 +498,8 @@ def test_pieces_are_forgotten():
     tokens.forget_pieces()
     assert not [name for name in vars(sys.modules["_lineflow_held"]) if name.startswith("ids ")]
     assert tokens.encoder(path, tokens.BARE)(["some words"]) == first
+
+
+def test_spelled_as_the_characters_of_all_bytes():
+    for text in (" old", "".join(map(chr, range(0xD800))), "déjà vu"):
+        assert tokens._spelled(text) == "".join(tokens._BYTES[b] for b in text.encode())
