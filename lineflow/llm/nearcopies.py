@@ -17,6 +17,10 @@ never pairs in number of a group's square; the comparisons of sieved pairs remai
 more than ``PART_ROWS`` members, or ``PART_SHINGLES`` shingles, is cut into parts, and every two
 parts meet in a task of their own, so nothing that is held together grows with a group.
 
+Sets are made anew where they are compared, from the texts that are wanted only: a table of bits,
+set by the hashes of those texts and of bounded size, goes to the texts, and what it lets pass by
+chance is dropped by an exact join. So texts that no group wants are neither cut nor moved.
+
 Defined results: NULL, empty and blank texts have the empty set and equal each other only. A
 text of fewer than ``size`` words has one shingle, all of it.
 """
@@ -47,6 +51,10 @@ LIKELY = 304
 PART_ROWS = 2048
 PART_SHINGLES = 1 << 22
 ROWS_AT_ONCE = 512
+#: Wanted texts for each word of 64 bits that is sent to all texts, and the most words there are:
+#: beyond 8 million wanted texts more others pass by chance.
+WANTED_A_WORD = 4
+MOST_WORDS = 1 << 21
 
 
 class Similar(NamedTuple):
@@ -301,6 +309,22 @@ def _compared(least: float) -> Callable[[Cell], np.ndarray]:
     return of_cell
 
 
+def possibly_wanted(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """The ``text`` of all rows whose hash is a ``mark`` of ``wanted``, and of few others."""
+    words = max(1, min(MOST_WORDS, wanted.count() // WANTED_A_WORD))
+
+    def place(mark: Column) -> list[Column]:
+        bit = F.expr("shiftleft(1L, CAST(shiftrightunsigned(_mark, 58) AS INT))")
+        return [F.pmod(mark, F.lit(words)).alias("_word"), bit.alias("_bit")]
+
+    masks = wanted.select(F.col("mark").alias("_mark")).select(*place(F.col("_mark"))).groupBy("_word").agg(
+        F.bit_or("_bit").alias("_bits")
+    )
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("_mark"))
+    placed = rows.select("text", *place(F.col("_mark"))).join(F.broadcast(masks), "_word")
+    return placed.filter(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select("text")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -358,7 +382,8 @@ def links(
     docs: DataFrame, text: str, distinct: DataFrame, rule: Similar,
     components: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
-    """Links (a, b) that connect all alike sets; ``distinct`` has (fp, n, bands, sig) of each."""
+    """Links (a, b) that connect all alike sets; ``distinct`` has (fp, n, bands, sig) of each, and
+    ``mark``, the hash of one of its texts."""
     groups = written(groups_of(distinct))
 
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -371,10 +396,11 @@ def links(
                 })
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return written(
-            docs.select(F.col(text).alias("text")).mapInPandas(lean(gathered), "fp long, grams binary")
-            .join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams"))
-        )
+        wanted = written(wanted.join(distinct.select("fp", "mark"), "fp"))
+        made = possibly_wanted(docs, text, wanted).mapInPandas(lean(gathered), "fp long, grams binary")
+        # Copies collapse before anything moves.
+        once = made.groupBy("fp").agg(F.first("grams").alias("grams"))
+        return written(once.join(wanted, "fp", "left_semi"))
 
     def tried(cells: DataFrame, pairs_of: Callable) -> DataFrame:
         pairs = written(_together(cells).mapInPandas(lean(_by_cell(pairs_of)), "a long, b long").distinct())

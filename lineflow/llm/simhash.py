@@ -240,11 +240,14 @@ def near_duplicates(
         distinct = prints.groupBy("fp").agg(F.min(id).alias("first"))
         linked_by = links(distinct, cell_rows)
     else:
-        sketched = docs.select(F.col(id), nearcopies.sketch(F.col(text), rule.size).alias("_s"))
-        prints = written(sketched.select(F.col(id), "_s.*"))
+        sketched = docs.select(
+            F.col(id), nearcopies.sketch(F.col(text), rule.size).alias("_s"), F.xxhash64(text).alias("mark")
+        )
+        prints = written(sketched.select(F.col(id), "_s.*", "mark"))
         distinct = prints.groupBy("fp").agg(F.min(id).alias("first"))
         sketches = written(prints.groupBy("fp").agg(
-            F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+            F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+            F.min("mark").alias("mark"),
         ))
         linked_by = nearcopies.links(docs, text, sketches, rule, components)
     roots = components(linked_by).withColumnRenamed("v", "fp")

@@ -97,6 +97,38 @@ def test_near_misses_make_no_square_of_pairs(spark, monkeypatch, part_rows):
     assert max(seen) < 6 * 300  # of 44,850 pairs
 
 
+def test_only_wanted_texts_are_cut_again(spark, monkeypatch, tmp_path):
+    """Shingles are made once for every text, and again only for those that are compared."""
+    calls, made = str(tmp_path / "calls"), nearcopies.shingles
+
+    def counted(text, size):
+        with open(calls, "a") as out:
+            out.write("x")
+        return made(text, size)
+
+    monkeypatch.setattr(nearcopies, "shingles", counted)
+    rng = random.Random(8)
+    texts = texts_of(6, 4, 5, 120, 3) + [" ".join(f"u{rng.randrange(10**9)}" for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, "en", 1, "s", 2) for i, t in enumerate(texts)], DOCS)
+    got = simhash.near_duplicates(docs, rule=nearcopies.Similar()).select("doc_id", "component_id").collect()
+    with open(calls) as seen:
+        assert len(seen.read()) < 1.5 * len(texts)  # four times as many, if all were
+    monkeypatch.setattr(nearcopies, "shingles", made)
+    assert {r.doc_id: r.component_id for r in got} == components_of(texts)
+
+
+@pytest.mark.parametrize("most_words", [1 << 21, 1])
+def test_no_wanted_text_is_lost_on_the_way(spark, monkeypatch, most_words):
+    """Texts pass whose bits are set: all wanted ones, copies too, however few the bits are."""
+    monkeypatch.setattr(nearcopies, "MOST_WORDS", most_words)
+    docs = spark.createDataFrame([(i, f"text {i // 2}", "en", 1, "s", 2) for i in range(2000)] + [(None, None, "en", 1, "s", 2)], DOCS)
+    wanted = docs.filter("doc_id % 200 < 20").select(F.xxhash64("text").alias("mark")).distinct()
+    got = [r.text for r in nearcopies.possibly_wanted(docs, "text", wanted).collect()]
+    sure = {f"text {i // 2}" for i in range(2000) if i % 200 < 20}
+    assert sure <= set(got) and all(got.count(t) == 2 for t in sure)
+    assert most_words == 1 or len(got) < 2 * 2 * len(sure)
+
+
 def test_sieve_keeps_alike_sets():
     rng = np.random.default_rng(0)
     lost = 0
