@@ -8,8 +8,10 @@ the residual lengths bounds each one. What the bounds cannot exclude is scored e
 integers. The first block, with the longest candidates, is scored first and gives every query
 the k-th score that the other blocks have to reach.
 
-The queries are a stated set of rows and meet all other rows in blocks: query blocks times
-candidate blocks, each pair one row in one task. A block pair reports k rows a query at most.
+The queries are a stated set of rows and meet all other rows in blocks. Candidate blocks lie in
+strips of a few; a task holds one strip while every query block passes by, one at a time, so query
+blocks move once a strip and candidate blocks once. Numbers of strips are broadcast, vectors are
+not. A strip reports k rows a query at most.
 
 Defined results: NULL vectors, vectors that hold NULL or a component that is not finite, and
 rows without an id take no part. Vectors of unequal length count as padded with zeros. Rows
@@ -33,6 +35,8 @@ from lineflow.session import written
 SCALE = 256.0
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
+#: Candidate blocks that a task holds at a time; a power of two, as numbers of blocks start at multiples of one.
+STRIP_BLOCKS = 4
 #: Share of the squared lengths that the first coordinates have to cover, on average.
 COVERED = 0.7
 #: Bounds are compared with this much room for rounding, relative to the lengths.
@@ -197,48 +201,49 @@ def top_k(
     )
     longest = blocks.agg(F.max_by("block", F.struct("longest", -F.col("block")))).first()[0]
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in part.itertuples():
-            q = np.frombuffer(row.q_rows, "<f8").reshape(-1, dims)
-            q_ids = np.frombuffer(row.q_ids, "<i8")
-            x = np.frombuffer(row.rows, "<f8").reshape(-1, dims)
-            floors = np.full(len(q), -np.inf) if row.floors is None else np.frombuffer(row.floors, "<f8")
-            ids = np.frombuffer(row.ids, "<i8")
-            query, vec, score = best_of_block(q, q_ids, floors, x, ids, rotation, first, k)
-            out.append(pd.DataFrame({
-                "group": row.group, "query": query, "query_id": q_ids[query], "vec_id": vec,
-                "score": score,
-            }))
-        return pd.concat(out)
-
-    scored = "group long, query int, query_id long, vec_id long, score long"
-    asked = queries.select("group", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    def best_of_strip(row, strip: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        """The best k rows of the strip for every query of a block."""
+        q, q_ids = np.frombuffer(row.rows, "<f8").reshape(-1, dims), np.frombuffer(row.ids, "<i8")
+        floors = np.full(len(q), -np.inf) if row.floors is None else np.frombuffer(row.floors, "<f8")
+        found = [best_of_block(q, q_ids, floors, x, ids, rotation, first, k) for ids, x in strip]
+        query, vec, score = (np.concatenate(part) for part in zip(*found, strict=True))
+        order = np.lexsort((vec, -score, query))
+        # Places within the query.
+        at = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order = order[at < k]
+        return pd.DataFrame({
+            "group": row.number, "query": query[order], "query_id": q_ids[query[order]], "vec_id": vec[order],
+            "score": score[order],
+        })
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, strip = None, []
+        for batch in batches:
+            for row in batch.itertuples():
+                if row.cell != cell:
+                    cell, strip = row.cell, []
+                if row.asks:
+                    yield best_of_strip(row, strip)
+                else:
+                    strip.append((np.frombuffer(row.ids, "<i8"), np.frombuffer(row.rows, "<f8").reshape(-1, dims)))
 
     def against(blocks: DataFrame, asked: DataFrame) -> DataFrame:
-        """Every query block with every block of ``blocks``; each pair is a group of its own."""
-        # The last block each partition packed: as few rows as there are partitions.
-        packed = [
-            (r["part"], r["last"] - (r["part"] << 33) + 1) for r in
-            blocks.groupBy(F.shiftright("block", 33).alias("part")).agg(F.max("block").alias("last"))
-            .collect()
-        ]
-        if not packed:
-            return vectors.sparkSession.createDataFrame([], scored)
-        parts = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(n).alias("n")) for p, n in packed])
-        pairs = asked.withColumn("p", F.explode(parts)).withColumn(
-            "block",
-            F.explode(F.transform(
-                F.sequence(F.lit(0).cast("long"), F.col("p.n") - 1),
-                lambda i: F.shiftleft(F.col("p.part"), 33) + i,
-            )),
+        """Every query block with the candidate blocks of its cell, which come before it."""
+        met = blocks.select(
+            "cell", F.lit(False).alias("asks"), F.col("block").alias("number"), "ids", "rows",
+            F.lit(None).cast("binary").alias("floors"),
+        ).unionByName(
+            asked.select("cell", F.lit(True).alias("asks"), F.col("group").alias("number"), "ids", "rows", "floors")
+        )
+        return met.repartition("cell").sortWithinPartitions("cell", "asks", "number").mapInPandas(
+            compare, "group long, query int, query_id long, vec_id long, score long"
         )
-        return pairs.drop("p").join(blocks.select("block", "ids", "rows"), "block").groupBy(
-            "group", "block"
-        ).applyInPandas(compare, scored)
 
-    unknown = asked.withColumn("floors", F.lit(None).cast("binary"))
-    first_block = blocks.filter(F.col("block") <= longest).filter(F.col("block") >= longest)
+    # One block meets all queries, so every query block is a cell of its own.
+    first_block = blocks.filter(F.col("block") == longest).crossJoin(
+        F.broadcast(queries.select(F.col("group").alias("cell")))
+    )
+    unknown = queries.withColumns({"cell": F.col("group"), "floors": F.lit(None).cast("binary")})
     start = written(against(first_block, unknown))
 
     kth = start.groupBy("group", "query").agg(
@@ -256,10 +261,12 @@ def top_k(
             out.append(table.astype("<f8").tobytes())
         return pd.Series(out, dtype=object)
 
-    informed = asked.join(by_group, "group", "left").select(
-        "group", "q_ids", "q_rows", floor_table("q_ids", "known").alias("floors")
+    informed = queries.join(by_group, "group", "left").select(
+        "group", "ids", "rows", floor_table("ids", "known").alias("floors")
     )
-    rest = against(blocks.filter(F.col("block") != longest), informed)
+    others = blocks.filter(F.col("block") != longest).withColumn("cell", F.col("block") - F.col("block") % STRIP_BLOCKS)
+    strips = F.broadcast(others.select("cell").distinct())
+    rest = against(others, informed.crossJoin(strips))
     order = Window.partitionBy("group", "query").orderBy(F.col("score").desc(), "vec_id")
     problem = F.concat(F.lit("a score of query "), F.col("query_id"), F.lit(" does not fit a long"))
     fitting = F.when(F.col("score").between(1 - LONGEST, LONGEST - 1), F.col("score")).otherwise(

@@ -237,6 +237,38 @@ def test_top_k_of_large_components(spark):
     assert sorted(map(tuple, topk.top_k(bare, F.col("vec_id") == 0).collect())) == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
+def test_top_k_meets_blocks_of_all_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    whole = np.array([[math.floor(256 * x) for x in v] for _, v in rows])
+    scores = whole[::10] @ whole.T
+    scores[np.arange(40), np.arange(0, 400, 10)] = -2**62
+    want = [(10 * q, r + 1, int(i), int(scores[q, i])) for q in range(40)
+            for r, i in enumerate(np.lexsort((np.arange(400), -scores[q]))[:5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = topk.top_k(vectors, F.col("vec_id") % 10 == 0, block_rows=8, query_rows=4)
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_top_k_broadcasts_no_vectors(spark):
+    """Query blocks times candidate blocks are many times the file they come from."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, F.col("vec_id") % 10 == 0, block_rows=16, query_rows=4)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    above = []  # columns of the broadcasts that a line lies under
+    for line in plan:
+        at = len(line) - len(line.lstrip(" :+-"))
+        above = [a for a in above if a < at]
+        assert not above or "rows#" not in line, line
+        above += [at] if "BroadcastExchange" in line else []
+
+
 # Token files
 
 
