@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineflow.operators.positions import positioned
+from lineflow.session import written
 from lineflow.sources.corpus import with_ordinals
-from lineflow.sources.folder import write_files
+from lineflow.sources.folder import read_files, write_files
 
 # --- Fixed values -----------------------------------------------------------------------
 BATCH_SIZE = 500
@@ -41,27 +42,31 @@ def write_sources(df: DataFrame, out_dir: str, batch_size: int = BATCH_SIZE) ->
     """Write every function as ``.c`` and ``.cpp`` under ``out_dir``, an address of a store that
     executors and driver share, plus ``manifest.csv``; returns the manifest. Batches appear
     whole, after all of them are written."""
-    repeated = df.groupBy("sample_id").count().filter("count > 1").limit(1)
+    # Worked out once; places are found without the bodies.
+    kept = written(df.select("sample_id", "ordinal", "func_before"))
+    repeated = kept.groupBy("sample_id").count().filter("count > 1").limit(1)
     if not repeated.isEmpty():
         raise ValueError("sample_id values must be unique")
+    placed = written(manifest(kept, batch_size))
     body = F.regexp_replace("func_before", "\r\n?", "\n")
     body = F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
-    rows = with_batches(df, batch_size).select("sample_id", "batch", "path", body.alias("text"))
-    extensions = F.explode(F.array(*[F.lit(e) for e in EXTENSIONS]))
-    files = rows.withColumn("extension", extensions)
-    write_files(files.select(F.col("batch").alias("folder"), F.concat("sample_id", "extension").alias("name"), "text"), out_dir)
+    places = placed.select(F.col("sample_id").alias("name"), F.col("batch").alias("folder"))
+    # Names pack so well that their file looks small enough to broadcast when its rows are not.
+    files = kept.join(places.hint("merge"), F.col("sample_id").eqNullSafe(F.col("name")))
+    write_files(files.select("folder", "name", body.alias("text")), out_dir, EXTENSIONS)
     listed = f"{out_dir.rstrip('/')}/manifest.csv"
-    rows.select("sample_id", "batch", "path").write.mode("overwrite").csv(listed, header=True)
+    placed.write.mode("overwrite").csv(listed, header=True)
     return df.sparkSession.read.csv(listed, header=True)
 
 
 def read_sources(spark: SparkSession, out_dir: str) -> DataFrame:
-    """(sample_id, batch, extension, text) of every source file under ``out_dir``."""
-    found = spark.read.text(f"{out_dir.rstrip('/')}/batch_*", wholetext=True)
-    path = F.col("_metadata.file_path")
-    return found.select(
-        F.regexp_extract(path, r"([^/]+)(\.[a-z]+)$", 1).alias("sample_id"), F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1).alias("batch"),
-        F.regexp_extract(path, r"([^/]+)(\.[a-z]+)$", 2).alias("extension"), F.col("value").alias("text"),
+    """(sample_id, batch, extension, text) of every source file under ``out_dir``, an address as
+    for ``write_sources``."""
+    def part(i):
+        return F.regexp_extract("name", r"(.+)(\.[a-z]+)$", i)
+
+    return read_files(spark, out_dir.rstrip("/"), "batch_*").select(
+        part(1).alias("sample_id"), F.col("folder").alias("batch"), part(2).alias("extension"), "text"
     )
 
 

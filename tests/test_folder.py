@@ -74,3 +74,45 @@ def test_sources_round_trip(spark, tmp_path):
     want = {s: t.replace("\r\n", "\n").rstrip("\n") + "\n" for s, _, t in rows}
     assert all(r.text == want[r.sample_id] for r in back)
     assert not [p for p in Path(tmp_path, "src").rglob("*") if folder.STAGING in str(p)]
+
+
+def test_sources_are_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    rows = spark.createDataFrame([(f"s{i}", i, f"int f{i}();") for i in range(40)], "sample_id string, ordinal long, text string")
+    kept = rows.withColumnRenamed("text", "func_before").filter(counted("func_before") != "")
+    listed = files.write_sources(kept, f"{tmp_path}/src", batch_size=5)
+    assert seen.value == 40 and listed.count() == 40
+    assert {r.sample_id: r.batch for r in listed.collect()} == {f"s{i}": f"batch_{i // 5:04d}" for i in range(40)}
+
+
+def test_sources_are_read_by_folder(spark, tmp_path):
+    """400 small files in 40 folders are two tasks' work."""
+    rows = [(f"batch_{i // 5:04d}", f"s{i}", f"a\r\nb é {i}\n") for i in range(200)]
+    folder.write_files(spark.createDataFrame(rows, ROW), f"{tmp_path}/src", (".c", ".cpp"))
+    (tmp_path / "src" / "batch_0000" / ".hidden.c").write_text("x")
+    (tmp_path / "src" / "batch_0000" / "empty.c").write_text("")
+    (tmp_path / "src" / "other").mkdir()
+    (tmp_path / "src" / "other" / "s.c").write_text("x")
+    back = files.read_sources(spark, f"file://{tmp_path}/src")
+    assert back.rdd.getNumPartitions() == 2
+    want = [(s, b, e, t) for b, s, t in rows for e in (".c", ".cpp")]
+    assert sorted(map(tuple, back.collect())) == sorted(want)
+    with pytest.raises(Exception, match="no folder"):
+        files.read_sources(spark, f"{tmp_path}/src/other").collect()
+
+
+def test_long_texts_are_handed_on_in_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(folder, "BATCH_BYTES", 10)
+    (tmp_path / "f").mkdir()
+    for i in range(5):
+        (tmp_path / "f" / f"{i}.c").write_bytes(b"\xff" + b"x" * 6)
+    reader = folder.FolderReader(str(tmp_path), "*")
+    got = [batch for part in reader.partitions() for batch in reader.read(part)]
+    assert [b.num_rows for b in got] == [2, 2, 1] and got[0].schema.names == ["folder", "name", "text"]
+    assert sorted(n for b in got for n in b.column("name").to_pylist()) == [f"{i}.c" for i in range(5)]
